@@ -16,6 +16,11 @@ def chunk_of(first_id: Column, chunks: int) -> Column:
     return F.pmod(first_id, F.lit(chunks)).cast("int")
 
 
+def whole_part(value: str, size: int) -> Column:
+    """Which run of ``size`` neighbours the value falls in, by integer division."""
+    return F.expr(f"{value} div {size}")
+
+
 def count_then_smallest_id(count: Column, token_id: Column) -> Column:
     """One BIGINT that orders by count, then by smaller id.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretoken.functions.ids import chunk_of, id_columns
+from foretoken.functions.ids import chunk_of, id_columns, whole_part
 
 
 def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens") -> DataFrame:
@@ -31,7 +31,7 @@ def with_chunk(counts: DataFrame, chunks: int) -> DataFrame:
 
 def ngram_partials(rows: DataFrame, n: int, batch_size: int, chunks: int) -> DataFrame:
     """Counts per batch of rows, with their chunk key."""
-    batched = rows.withColumn("batch", F.floor(F.col("sample") / batch_size))
+    batched = rows.withColumn("batch", whole_part("sample", batch_size))
     return with_chunk(ngram_counts(batched, n, ["batch"]), chunks)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretoken.functions.ids import whole_part
 from foretoken.operators.running_total import running_total
 
 # Documents per block and blocks per group when finding where each no-wrap row starts.
@@ -14,10 +15,6 @@ DOCUMENT_BITS = 16
 BLOCK_GROUP_BITS = 12
 
 
-def _div(left: Column, right: int) -> Column:
-    return F.floor(left / F.lit(right)).cast("bigint")
-
-
 def _join_pieces(pieces: DataFrame) -> DataFrame:
     """``(shard, sample, at, piece)`` to ``(shard, sample, tokens)``; at most one piece per token."""
     return (
@@ -55,8 +52,7 @@ def wrapped_rows(
             "first",
             F.explode(
                 F.sequence(
-                    _div(F.col("first"), row_length),
-                    _div(F.col("first") + F.col("n") - 1, row_length),
+                    whole_part("first", row_length), whole_part("(first + n - 1)", row_length)
                 )
             ).alias("sample"),
         )
@@ -70,7 +66,7 @@ def wrapped_rows(
     if carry is not None:
         left_over = carry.where(F.size("ids") > 0).select(
             "shard",
-            _div(F.col("total"), row_length).alias("sample"),
+            whole_part("total", row_length).alias("sample"),
             F.lit(0).alias("at"),
             F.col("ids").alias("piece"),
         )

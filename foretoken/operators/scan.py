@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretoken.functions.ids import id_columns
+from foretoken.functions.ids import id_columns, whole_part
 from foretoken.operators.encoding import decode_rows
 from foretoken.operators.prefixes import add_tokens, width_of
 from foretoken.operators.scoring import log_softmax
@@ -99,10 +99,9 @@ def next_token_distribution(
     whole = Window.partitionBy(*context)
     counted = long_counts.select(*context, following, "count")
     if min_context > 1:
-        counted = (
-            counted.withColumn("n_context", F.sum("count").over(whole))
-            .where(F.col("n_context") >= min_context)
-            .drop("n_context")
+        kept = counted.groupBy(*context).agg(F.sum("count").alias("n_context"))
+        counted = counted.join(
+            kept.where(F.col("n_context") >= min_context).select(*context), context, "left_semi"
         )
     # The short n-gram of (id0, id1, .., next) is (id1, .., next).
     short = short_distribution(short_counts)
@@ -361,7 +360,7 @@ def _describe(
         "logit_excite_max",
         "logit_inhibit_max",
         "shard",
-        F.floor(F.col("sample") / batch_size).alias("batch"),
+        whole_part("sample", batch_size).alias("batch"),
         F.pmod(F.col("sample"), F.lit(batch_size)).alias("sample"),
         "start",
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretoken.functions.ids import whole_part
+
 SAMPLE_SCHEMA = "sample BIGINT, tokens ARRAY<INT>, shard INT"
 
 
@@ -41,7 +43,7 @@ def cap_per_shard(samples: DataFrame, n: int | None) -> DataFrame:
 
 
 def with_batch(samples: DataFrame, batch_size: int) -> DataFrame:
-    return samples.withColumn("batch", F.floor(F.col("sample") / batch_size))
+    return samples.withColumn("batch", whole_part("sample", batch_size))
 
 
 def cap_batches(samples: DataFrame, batch_size: int, batches: int | None) -> DataFrame:
