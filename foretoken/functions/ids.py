@@ -16,6 +16,24 @@ def chunk_of(first_id: Column, chunks: int) -> Column:
     return F.pmod(first_id, F.lit(chunks)).cast("int")
 
 
+def packed_ids(columns: list[str]) -> Column:
+    """Up to four 16-bit ids as one BIGINT: a single group key of a third of the shuffled bytes."""
+    packed = F.col(columns[0]).cast("bigint")
+    for column in columns[1:]:
+        packed = F.shiftleft(packed, 16).bitwiseOR(F.col(column).cast("bigint"))
+    return packed
+
+
+def unpacked_ids(packed: str, n: int) -> list[Column]:
+    return [
+        F.shiftright(packed, 16 * (n - 1 - k))
+        .bitwiseAND(F.lit(ID_SPAN - 1))
+        .cast("int")
+        .alias(f"id{k}")
+        for k in range(n)
+    ]
+
+
 def whole_part(value: str, size: int) -> Column:
     """Which run of ``size`` neighbours the value falls in, by integer division."""
     return F.expr(f"{value} div {size}")

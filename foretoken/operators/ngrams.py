@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretoken.functions.ids import chunk_of, id_columns, whole_part
+from foretoken.functions.ids import chunk_of, id_columns, packed_ids, unpacked_ids, whole_part
+
+# N-grams up to this long are grouped by one BIGINT.
+PACKED_IDS = 4
 
 
 def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens") -> DataFrame:
@@ -15,15 +18,27 @@ def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "t
     return rows.select(*(keep or []), F.inline(F.arrays_zip(*shifted)))
 
 
-def ngram_counts(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens"):
-    """``(id0.., count)``. Counted before and after the shuffle, so frequent n-grams stay cheap."""
+def _grouped(grams: DataFrame, n: int, keep: list[str], total: Column) -> DataFrame:
+    """Totals per n-gram. Ids must fit 16 bits (``encoding.id_range`` tells)."""
+    if n > PACKED_IDS:
+        return grams.groupBy(*keep, *id_columns(n)).agg(total.alias("count"))
+    others = [c for c in grams.columns if c not in id_columns(n)]
     return (
-        ngrams(rows, n, keep, ids)
-        .groupBy(*(keep or []), *id_columns(n))
-        .agg(F.count("*").alias("count"))
+        grams.select(*others, packed_ids(id_columns(n)).alias("ngram"))
+        .groupBy(*keep, "ngram")
+        .agg(total.alias("count"))
+        .select(*keep, *unpacked_ids("ngram", n), "count")
     )
 
 
+def ngram_counts(
+    rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens"
+) -> DataFrame:
+    """``(id0.., count)``. Counted before and after the shuffle, so frequent n-grams stay cheap."""
+    keep = keep or []
+    return _grouped(ngrams(rows, n, keep, ids), n, keep, F.count("*"))
+
+
 def with_chunk(counts: DataFrame, chunks: int) -> DataFrame:
     """Add the layout key ``id0_chunk``."""
     return counts.withColumn("id0_chunk", chunk_of(F.col("id0"), chunks))
@@ -37,7 +52,7 @@ def ngram_partials(rows: DataFrame, n: int, batch_size: int, chunks: int) -> Dat
 
 def recombine(partials: DataFrame, n: int) -> DataFrame:
     """Totals from partial counts."""
-    return partials.groupBy(*id_columns(n)).agg(F.sum("count").alias("count"))
+    return _grouped(partials.select(*id_columns(n), "count"), n, [], F.sum("count"))
 
 
 def chunk_sizes(counts: DataFrame, chunks: int) -> DataFrame:

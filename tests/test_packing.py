@@ -1,0 +1,89 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from foretoken.operators.packing import nowrap_places, pack_nowrap, pack_wrap
+from foretoken.operators.running_total import running_total
+
+
+def by_loop(lengths, row_length, wrap):
+    rows, buffer, nth = [], [], 0
+    for n in lengths:
+        buffer = buffer + list(range(nth, nth + n))
+        nth += n
+        while len(buffer) >= row_length:
+            rows.append(buffer[:row_length])
+            buffer = buffer[row_length:] if wrap else []
+    return rows
+
+
+def packed(frame):
+    out = {}
+    for r in frame.orderBy("shard", "sample").collect():
+        out.setdefault(r.shard, []).append((r.sample, list(r.tokens)))
+    return {s: [t for _, t in rows] for s, rows in out.items() if dense(rows)}
+
+
+def dense(rows):
+    assert [k for k, _ in rows] == list(range(len(rows)))
+    return True
+
+
+def check(encoded_of, shards, row_length, **options):
+    encoded = encoded_of(shards)
+    for wrap, got in (
+        (True, pack_wrap(encoded, row_length)),
+        (False, pack_nowrap(encoded, row_length, **options)),
+    ):
+        want = {s: by_loop(n, row_length, wrap) for s, n in shards.items()}
+        assert packed(got) == {s: rows for s, rows in want.items() if rows}
+
+
+def test_small(encoded_of):
+    check(encoded_of, {0: [5, 4, 9, 2, 8]}, 8)
+
+
+def test_one_long_document(encoded_of):
+    check(encoded_of, {0: [20]}, 8)
+
+
+def test_packing_restarts_per_shard(encoded_of):
+    check(encoded_of, {0: [5, 6], 1: [7, 4], 3: [2]}, 8)
+
+
+@settings(
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    st.dictionaries(
+        st.integers(0, 3), st.lists(st.integers(2, 30), min_size=1, max_size=40), min_size=1
+    )
+)
+def test_like_a_plain_loop(encoded_of, shards):
+    # Blocks of 4 documents and groups of 2 blocks, so that all levels take part.
+    check(encoded_of, shards, 8, document_bits=2, block_group_bits=1)
+
+
+def test_hot_shard_is_spread_over_blocks(encoded_of):
+    lengths = [(7 * k) % 23 + 2 for k in range(600)]
+    encoded = encoded_of({0: lengths, 1: [3, 9]}).select("shard", "doc_id", "n")
+    got = nowrap_places(encoded, 16, document_bits=4, block_group_bits=3).orderBy("shard", "doc_id")
+    sample, fill, want = 0, 0, []
+    for k, n in enumerate(lengths):
+        want.append((0, 10 * k, sample, fill))
+        fill += n
+        if fill >= 16:
+            sample, fill = sample + 1, 0
+    assert [tuple(r) for r in got.where("shard = 0").collect()] == want
+
+
+@pytest.mark.parametrize("bits", [(22, 44), (3, 6), (2,), (1, 2, 5)])
+def test_running_total_at_any_block_size(spark, bits):
+    rows = [(k % 3, 17 * k - 200, (5 * k) % 11) for k in range(120)]
+    frame = spark.createDataFrame(rows, "g int, k bigint, v bigint")
+    got = running_total(frame, "g", "k", "v", "before", bits)
+    want, sums = [], {}
+    for g, k, v in sorted(rows):
+        want.append((g, k, v, sums.get(g, 0)))
+        sums[g] = sums.get(g, 0) + v
+    assert sorted(tuple(r) for r in got.collect()) == want
