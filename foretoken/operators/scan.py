@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foretoken.functions.ids import id_columns, whole_part
 from foretoken.operators.encoding import decode_rows
 from foretoken.operators.prefixes import add_tokens, width_of
-from foretoken.operators.scoring import log_softmax
+from foretoken.operators.scoring import log_softmax, spread_for_model
 
 # Hit contexts up to this many rows (a few ids each) are sent to every task.
 BROADCAST_ROWS = 1_000_000
@@ -225,7 +225,7 @@ def scan_metrics_by_model(
                 logit_s, logit_l = predict(long_ids[:, 1:], long_ids)
                 yield part.assign(**_model_metrics(logit_s, logit_l))
 
-    return contexts.select(*ids).distinct().mapInPandas(score, schema)
+    return spread_for_model(contexts.select(*ids).distinct(), ids).mapInPandas(score, schema)
 
 
 def _model_metrics(logit_s: np.ndarray, logit_l: np.ndarray) -> dict[str, np.ndarray]:

@@ -59,7 +59,7 @@ def score_by_model(
     """
     n = width_of(top)
     prefix, last = id_columns(n - 1), f"id{n - 1}"
-    out = top
+    out = spread_for_model(top, prefix)
     for name, make_predictor in models.items():
         schema = StructType([*out.schema.fields, StructField(f"p_{name}", DoubleType())])
 
@@ -71,16 +71,19 @@ def score_by_model(
                 p = np.empty(len(frame))
                 for i in range(0, len(frame), batch_size):
                     part = frame.iloc[i : i + batch_size]
-                    dist = softmax(predict(part[prefix].to_numpy(np.int32)))
-                    p[i : i + batch_size] = dist[np.arange(len(part)), part[last].to_numpy()]
+                    log_p = log_softmax(predict(part[prefix].to_numpy(np.int32)))
+                    p[i : i + batch_size] = np.exp(
+                        log_p[np.arange(len(part)), part[last].to_numpy()]
+                    )
                 yield frame.assign(**{column: p})
 
         out = out.mapInPandas(score, schema)
     return out
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    return np.exp(log_softmax(logits))
+def spread_for_model(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows over all cores: a model's time per row calls for far smaller tasks than their bytes."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:

@@ -193,6 +193,23 @@ _VALUES = ", ".join(f"{_six(v)} AS {v}" for v in VALUES)
 _METRIC_ROWS = f"SELECT id0, id1, n_context, {_VALUES}, short_max_id, long_max_id FROM metrics"
 _HIT = "p_long > 0.5 AND js > 0.5"
 
+# The stand-in model: remainders of ids as logits, for each class of contexts.
+MODEL = f""",
+logits AS (
+  SELECT a, b, t, ((t * 31 + a * 17) % 101) / 10 AS ls, ((t * 31 + a * 17 + b * 13) % 101) / 10 AS ll
+  FROM range(8) x(a), range(8) y(b), range({SMALL.vocab_size}) z(t)),
+logp AS (
+  SELECT *, ls - ln(sum(exp(ls)) OVER (PARTITION BY a, b)) AS log_s,
+         ll - ln(sum(exp(ll)) OVER (PARTITION BY a, b)) AS log_l FROM logits),
+classes AS MATERIALIZED (
+  SELECT a, b, max(exp(log_s)) AS p_short, max(exp(log_l)) AS p_long,
+         sum((exp(log_s) - exp(log_l)) * (log_s - log_l)) / 2 AS js,
+         max(abs(exp(log_s) - exp(log_l))) AS p_delta_max,
+         max(ll - ls) AS logit_excite_max, max(ls - ll) AS logit_inhibit_max,
+         CAST(arg_max(t, row(ls, -t)) AS INTEGER) AS short_max_id,
+         CAST(arg_max(t, row(ll, -t)) AS INTEGER) AS long_max_id
+  FROM logp GROUP BY a, b)"""
+
 EXAMPLES = f""",
 hits AS (SELECT * FROM metrics WHERE {_HIT}),
 spots AS MATERIALIZED (
@@ -315,6 +332,16 @@ GROUP BY position""",
     "prefix_rank_in_chunk": _samples() + _grams(3) + _prefixes(3) + RANKED,
     "score_bigrams_by_slice": _score(2),
     "score_trigrams_by_slice": _score(3),
+    "score_bigrams_by_model": _samples()
+    + _grams(2)
+    + _prefixes(2)
+    + _top(2)
+    + f""",
+mass AS (
+  SELECT a, sum(exp(((t * 31 + a * 17) % 101) / 10)) AS z
+  FROM range(8) x(a), range({SMALL.vocab_size}) y(t) GROUP BY a)
+SELECT id0, id1, {_six("exp(((id1 * 31 + a * 17) % 101) / 10) / z")} AS p_arithmetic
+FROM top JOIN mass ON a = id0 % 8""",
     "scan_windows": _samples()
     + f"""
 SELECT shard, sample, cell + 1 AS start, id0 || ' ' || id1 AS long_ids,
@@ -326,6 +353,14 @@ SELECT id0, id1, id2, {_six("p_short")} AS p_short,
 FROM tri t JOIN short USING (id1, id2) JOIN ctx USING (id0, id1)""",
     "scan_metrics": _scan_base() + METRICS + "\n" + _METRIC_ROWS,
     "scan_hits": _scan_base() + METRICS + "\n" + _METRIC_ROWS + f" WHERE {_HIT}",
+    "scan_metrics_by_model": _scan_base()
+    + METRICS
+    + MODEL
+    + f"""
+SELECT id0, id1, {", ".join(f"{_six('c.' + v)} AS {v}" for v in VALUES)},
+       c.short_max_id, c.long_max_id
+FROM metrics m JOIN classes c ON a = id1 % 8 AND b = id0 % 8
+WHERE m.p_long > 0.5 AND m.js > 0.5""",
     "scan_examples": _scan_base() + METRICS + EXAMPLES + "\n" + _EXAMPLE_ROWS + "examples",
     "scan_filter": _scan_base() + METRICS + EXAMPLES + FIRSTS + "\n" + _EXAMPLE_ROWS + "firsts",
     "scan_top": _scan_base()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,6 +223,45 @@ def _score_query(n: int):
     return query
 
 
+def _arithmetic_model(vocab_size: int):
+    """A stand-in for a neural model that SQL can follow: logits from remainders of ids."""
+
+    def logits(last: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        shift = last[:, None] * 17 + extra[None, :] * 13
+        return ((np.arange(vocab_size) * 31 + shift[..., None]) % 101) / 10
+
+    def next_token():
+        weights = logits(np.arange(8), np.zeros(1, int))[:, 0]
+        return lambda prefix: weights[prefix[:, -1] % 8]
+
+    def short_and_long():
+        weights = logits(np.arange(8), np.arange(8))
+        return lambda short, long: (
+            weights[short[:, -1] % 8, 0],
+            weights[short[:, -1] % 8, long[:, 0] % 8],
+        )
+
+    return next_token, short_and_long
+
+
+# Rows per call of the model: few, so that its arrays over the vocabulary stay in cache.
+MODEL_BATCH = 8
+
+
+def score_bigrams_by_model(spark, sf):
+    next_token, _ = _arithmetic_model(SMALL.vocab_size)
+    scored = scoring.score_by_model(
+        pipeline(spark, sf).top(2), {"arithmetic": next_token}, MODEL_BATCH
+    )
+    return _rounded(scored.select("id0", "id1", "p_arithmetic"))
+
+
+def scan_metrics_by_model(spark, sf):
+    _, short_and_long = _arithmetic_model(SMALL.vocab_size)
+    contexts = pipeline(spark, sf).scan_hits().select("id0", "id1")
+    return _rounded(scan.scan_metrics_by_model(contexts, short_and_long, MODEL_BATCH))
+
+
 def _first_shard(p: Pipeline) -> DataFrame:
     return p.samples().where("shard = 0")
 
@@ -371,10 +411,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_rank_in_chunk": prefix_rank_in_chunk,
     "score_bigrams_by_slice": _score_query(2),
     "score_trigrams_by_slice": _score_query(3),
+    "score_bigrams_by_model": score_bigrams_by_model,
     "scan_windows": scan_windows,
     "next_token_dist": next_token_dist,
     "scan_metrics": scan_metrics,
     "scan_hits": scan_hits,
+    "scan_metrics_by_model": scan_metrics_by_model,
     "scan_examples": scan_examples,
     "scan_filter": scan_filter,
     "scan_top": scan_top,

@@ -1,0 +1,53 @@
+import pytest
+
+from foretoken.operators.ngrams import ngram_counts
+from foretoken.operators.packing import pack_wrap
+from foretoken.sources.samples import read_sample_stream, write_samples
+from foretoken.streaming.counts import merge_partials, start_partial_counts, write_partial
+from foretoken.streaming.packing import pack_micro_batch, packed_rows, start_packing
+
+LENGTHS = {0: [5, 4, 9, 2, 8, 30, 3], 1: [7, 2, 2], 2: [64]}
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_stream_counts_are_the_batch_counts(spark, folder, encoded_of, n):
+    samples = pack_wrap(encoded_of(LENGTHS), 8)
+    write_samples(samples, folder + "/samples")
+    arriving = read_sample_stream(spark, folder + "/samples", files_per_trigger=1)
+    start_partial_counts(
+        arriving, n, folder + "/partials", folder + "/checkpoint", 4
+    ).awaitTermination()
+    merged = merge_partials(spark, folder + "/partials", n)
+    assert sorted(merged.collect()) == sorted(ngram_counts(samples, n).collect())
+
+
+def test_replayed_batch_is_counted_once(spark, folder, samples_of):
+    rows = samples_of([[1, 2, 3], [1, 2, 4]])
+    for _ in range(2):
+        write_partial(rows, 0, 2, folder, 4)
+    write_partial(rows, 1, 2, folder, 4)
+    got = {(r.id0, r.id1): r["count"] for r in merge_partials(spark, folder, 2).collect()}
+    assert got == {(1, 2): 4, (2, 3): 2, (2, 4): 2}
+
+
+def parts(encoded):
+    for low, high in ((0, 15), (15, 35), (35, 36), (36, 1000)):
+        yield encoded.where(f"doc_id >= {low} and doc_id < {high}")
+
+
+def test_micro_batches_pack_like_one_batch(spark, folder, encoded_of):
+    encoded = encoded_of(LENGTHS)
+    for k, part in enumerate(parts(encoded)):
+        pack_micro_batch(part, k, folder, 8)
+        pack_micro_batch(part, k, folder, 8)
+    assert sorted(packed_rows(spark, folder).collect()) == sorted(pack_wrap(encoded, 8).collect())
+
+
+def test_stream_of_documents(spark, folder, encoded_of):
+    encoded = encoded_of(LENGTHS)
+    for part in parts(encoded):
+        part.write.mode("append").parquet(folder + "/in")
+        arriving = spark.readStream.schema(encoded.schema).parquet(folder + "/in")
+        start_packing(arriving, folder + "/out", folder + "/checkpoint", 8).awaitTermination()
+    got = sorted(packed_rows(spark, folder + "/out").collect())
+    assert got == sorted(pack_wrap(encoded, 8).collect())
