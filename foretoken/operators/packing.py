@@ -16,9 +16,13 @@ BLOCK_GROUP_BITS = 12
 
 
 def _join_pieces(pieces: DataFrame) -> DataFrame:
-    """``(shard, sample, at, piece)`` to ``(shard, sample, tokens)``; at most one piece per token."""
+    """``(shard, sample, at, piece)`` to ``(shard, sample, tokens)``; at most one piece per token.
+
+    Pieces of a row rarely meet before the shuffle, so they are only collected after it.
+    """
     return (
-        pieces.groupBy("shard", "sample")
+        pieces.repartition("shard", "sample")
+        .groupBy("shard", "sample")
         .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
         .select("shard", "sample", F.flatten("pieces.piece").alias("tokens"))
     )

@@ -19,8 +19,10 @@ from foretoken.operators.encoding import decode_rows
 from foretoken.operators.prefixes import add_tokens, width_of
 from foretoken.operators.scoring import log_softmax, spread_for_model
 
-# Hit contexts up to this many rows (a few ids each) are sent to every task.
-BROADCAST_ROWS = 1_000_000
+# Hit contexts up to this many rows (a few numbers each) are sent to every task.
+BROADCAST_ROWS = 250_000
+# Parts into which the places of one context are divided when they have to be shuffled.
+PLACE_PARTS = 32
 
 METRICS = [
     "p_short",
@@ -261,8 +263,16 @@ def scan_examples(
     ids = _context_columns(hits)
     at = windows(samples, len(ids) - 1)
     if hits.count() <= broadcast_rows:
-        hits = F.broadcast(hits)
-    return _describe(at.join(hits, ids), samples, tokens, batch_size, context_ids)
+        found = at.join(F.broadcast(hits), ids)
+    else:
+        # One context may hold a third of all places: its hit is repeated for each part of them.
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PLACE_PARTS - 1))).alias("part")
+        found = (
+            at.withColumn("part", F.pmod(F.hash("sample", "start"), F.lit(PLACE_PARTS)))
+            .join(hits.select("*", parts), [*ids, "part"])
+            .drop("part")
+        )
+    return _describe(found, samples, tokens, batch_size, context_ids)
 
 
 def scan_filter(

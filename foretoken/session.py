@@ -10,7 +10,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "foretoken", master: str | None = None, **conf: str) -> SparkSession:
+# Bytes of source per shuffle partition, and the range of their number.
+PARTITION_BYTES = 256 << 20
+PARTITIONS = (200, 100_000)
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions for a corpus: n-gram shuffles are about as large as its text, and
+    adaptive execution merges the ones that turn out small."""
+    least, most = PARTITIONS
+    return max(least, min(most, input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "foretoken", master: str | None = None, input_bytes: int = 0, **conf: str
+) -> SparkSession:
     """A session with adaptive execution, skew handling and Arrow transfer switched on."""
     builder = SparkSession.builder.appName(app)
     if master:
@@ -18,6 +32,7 @@ def build_session(app: str = "foretoken", master: str | None = None, **conf: str
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.compression.codec": "zstd",
