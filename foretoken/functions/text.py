@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,11 @@ def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def with_boundaries(ids: Column) -> Column:
+def with_boundaries(
+    ids: Column,
+    begin: Sequence[int] = (TEXT_BOUNDARY_ID,),
+    end: Sequence[int] = (TEXT_BOUNDARY_ID,),
+) -> Column:
     """The ids of one document between its begin and end marks."""
-    mark = F.array(F.lit(TEXT_BOUNDARY_ID).cast("int"))
-    return F.concat(mark, ids, mark)
+    marks = [F.array(*[F.lit(i) for i in mark]).cast("array<int>") for mark in (begin, end)]
+    return F.concat(marks[0], ids, marks[1])

@@ -10,7 +10,6 @@ from pyspark.sql.utils import AnalysisException
 
 from foretoken.sources.samples import write_samples
 
-MANIFEST_SCHEMA = "shard INT, status STRING"
 FINISHED = "finished"
 
 
@@ -38,11 +37,19 @@ def require_complete(expected: DataFrame, present: DataFrame, key: str = "shard"
     return present
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, key: str = "shard INT") -> DataFrame:
+    """What earlier runs finished; empty where none wrote a manifest."""
+    schema = f"{key}, status STRING"
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
+        return spark.createDataFrame([], schema)
+
+
+def mark_finished(spark: SparkSession, path: str, keys: list, key: str = "shard INT") -> None:
+    """Note keys as finished, once what they stand for is committed."""
+    done = spark.createDataFrame([(k, FINISHED) for k in keys], f"{key}, status STRING")
+    done.coalesce(1).write.mode("append").parquet(path)
 
 
 def build_pending_shards(
@@ -67,6 +74,5 @@ def build_pending_shards(
     if not todo:
         return 0
     write_samples(build(documents.where(F.col("shard").isin(todo))), samples_path)
-    done = spark.createDataFrame([(s, FINISHED) for s in todo], MANIFEST_SCHEMA)
-    done.coalesce(1).write.mode("append").parquet(manifest_path)
+    mark_finished(spark, manifest_path, todo)
     return len(todo)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import warnings
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -56,6 +57,46 @@ def encode_documents(
     )
 
 
+def encode_with(
+    documents: DataFrame,
+    make_encoder: Callable[[], Callable[[list[str]], list[list[int]]]],
+    begin: Sequence[int],
+    end: Sequence[int],
+) -> DataFrame:
+    """:func:`encode_documents` with a tokenizer of the caller's.
+
+    ``make_encoder`` is called once per task and returns a function from texts to their ids;
+    ``begin`` and ``end`` are the ids that mark a document's ends.
+    """
+    for name, mark in (("begin", begin), ("end", end)):
+        if len(mark) > 1:
+            warnings.warn(f"the {name} mark is {len(mark)} ids, not one", stacklevel=2)
+    at = documents.columns.index("text")
+    schema = _swap_column(documents, "text", StructField("ids", ArrayType(IntegerType())))
+    names = schema.fieldNames()
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make_encoder()
+        for batch in batches:
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(encoder(texts), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    keep = [c for c in documents.columns if c != "text"]
+    ids = documents.mapInArrow(encode, schema)
+    return ids.select(*keep, with_boundaries(F.col("ids"), begin, end).alias("ids")).withColumn(
+        "n", F.size("ids")
+    )
+
+
+def token_table(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
+    """``(id, token)`` of a tokenizer of the caller's, from the text of every id in order."""
+    if len(texts) > ID_SPAN:
+        raise ValueError(f"{len(texts)} tokens do not fit 16 bits")
+    return spark.createDataFrame(list(enumerate(texts)), "id int, token string")
+
+
 def _encode_by_lookup(split: DataFrame, known: list[str]) -> DataFrame:
     shared = split.sparkSession.sparkContext.broadcast(known)
     at = split.columns.index("text")

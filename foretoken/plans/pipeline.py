@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretoken.operators import scan
+from foretoken.operators.control import FINISHED, mark_finished, read_manifest
 from foretoken.operators.encoding import encode_documents
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.packing import pack_nowrap, pack_wrap
@@ -24,7 +25,8 @@ class Pipeline:
 
     ``documents`` is ``(shard, doc_id, text, *extra)``. Every table is computed when first asked
     for, written, and read back by whatever needs it next: a lost executor repeats one job's tasks
-    and not the jobs before it.
+    and not the jobs before it. In a folder of the caller's, tables an earlier run finished are
+    used as they are.
     """
 
     def __init__(
@@ -41,6 +43,11 @@ class Pipeline:
         self.folder = folder or shared_folder(spark)
         self.wrap = wrap
         self._written: set[str] = set()
+        self._resumable = folder is not None
+        if self._resumable:
+            done = read_manifest(spark, self.path("manifest"), "name STRING")
+            # A handful of table names.
+            self._written = {row.name for row in done.where(f"status = '{FINISHED}'").collect()}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -50,6 +57,8 @@ class Pipeline:
         if name not in self._written:
             write(path)
             self._written.add(name)
+            if self._resumable:
+                mark_finished(self.spark, self.path("manifest"), [name], "name STRING")
         return path
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:

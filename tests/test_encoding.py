@@ -3,7 +3,13 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from foretoken.functions.text import split_tokens
-from foretoken.operators.encoding import decode_rows, encode_documents, id_range
+from foretoken.operators.encoding import (
+    decode_rows,
+    encode_documents,
+    encode_with,
+    id_range,
+    token_table,
+)
 from foretoken.operators.vocabulary import token_counts, vocabulary
 
 TEXTS = ["The cat, the cat!  7 cats\n", "", "été naïve\t\tx_y", "the cat the 日本語 cat"]
@@ -79,3 +85,38 @@ def test_decoding_an_id_without_token_fails(spark, tokens, lookup_bytes):
 def test_id_range_counts_ids_that_do_not_fit(samples_of):
     got = id_range(samples_of([[5, -1, 65535], [65536, 70000, 3]])).first()
     assert (got.n_ids, got.min_id, got.max_id, got.n_outside) == (6, -1, 70000, 3)
+
+
+def test_tokenizer_of_the_caller(documents):
+    def make():
+        return lambda texts: [[5 + len(word) for word in text.split()] for text in texts]
+
+    with pytest.warns(UserWarning, match="the end mark is 2 ids"):
+        got = encode_with(documents, make, [1], [2, 3]).orderBy("doc_id").collect()
+    assert got[0].ids == [1, 8, 9, 8, 9, 6, 9, 2, 3] and got[0].n == 9
+    assert got[1].ids == [1, 2, 3]
+
+
+def test_public_byte_pair_encoding(spark, documents):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+
+    def load():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def make():
+        tokenizer = load()
+        return lambda texts: [
+            e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)
+        ]
+
+    tokenizer = load()
+    got = encode_with(documents, make, [50256], [50256]).orderBy("doc_id").collect()
+    for text, row in zip(TEXTS, got):
+        assert row.ids[0] == row.ids[-1] == 50256
+        assert tokenizer.decode(row.ids[1:-1]) == text
+    size = tokenizer.get_vocab_size()
+    table = token_table(spark, [tokenizer.decode([i]) for i in range(size)])
+    assert table.count() == size
