@@ -113,14 +113,12 @@ def next_token_distribution(
     )
     joined = counted.join(shifted, id_columns(n - 1, 1))
     return (
-        joined.withColumn("seen_rank", F.row_number().over(whole.orderBy("rank")))
+        joined.withColumn("weight", F.col("count") + F.lit(backoff) * F.col("p_short"))
+        .withColumn("seen_rank", F.row_number().over(whole.orderBy("rank")))
         .withColumn("n_context", F.sum("count").over(whole))
         .withColumn("n_long", F.count("*").over(whole))
-        .withColumn(
-            "p_long",
-            (F.col("count") + F.lit(backoff) * F.col("p_short"))
-            / (F.col("n_context") + F.lit(backoff)),
-        )
+        .withColumn("best", F.col("weight") == F.max("weight").over(whole))
+        .withColumn("p_long", F.col("weight") / (F.col("n_context") + F.lit(backoff)))
         .select(
             *context,
             following,
@@ -131,6 +129,7 @@ def next_token_distribution(
             "n_short",
             "rank",
             "seen_rank",
+            "best",
             "top_id",
             "top_p",
         )
@@ -150,16 +149,19 @@ def scan_metrics(
     """
     n = width_of(long_counts)
     context, following = id_columns(n - 1), f"id{n - 1}"
-    seen = next_token_distribution(short_counts, long_counts, backoff, min_context)
-    gain = F.ln("p_long") - F.ln("p_short")
+    seen = next_token_distribution(short_counts, long_counts, backoff, min_context).withColumn(
+        "gain", F.ln("p_long") - F.ln("p_short")
+    )
+    # Only sums, counts and extremes of numbers, on rows the windows already brought together: a
+    # hash aggregate without a shuffle.
     per_context = seen.groupBy(*context).agg(
-        (F.sum((F.col("p_long") - F.col("p_short")) * gain) / 2).alias("js"),
+        (F.sum((F.col("p_long") - F.col("p_short")) * F.col("gain")) / 2).alias("js"),
         F.sum("p_short").alias("mass"),
-        F.max(gain).alias("excite"),
-        F.max(-gain).alias("inhibit"),
+        F.max("gain").alias("excite"),
+        (-F.min("gain")).alias("inhibit"),
         F.max(F.abs(F.col("p_short") - F.col("p_long"))).alias("delta"),
         F.max("p_long").alias("p_seen"),
-        F.max_by(following, F.struct("p_long", -F.col(following))).alias("seen_id"),
+        F.min(F.when(F.col("best"), F.col(following))).alias("seen_id"),
         (F.count_if(F.col("rank") == F.col("seen_rank")) + 1).cast("int").alias("gap"),
         F.first("n_context").alias("n_context"),
         F.first("n_long").alias("n_long"),
