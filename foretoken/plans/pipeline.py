@@ -65,8 +65,10 @@ class Pipeline:
         return self.spark.read.parquet(self._once(name, lambda path: write_table(build(), path)))
 
     def tokens(self) -> DataFrame:
+        # At most 65,536 rows: one file.
         return self._table(
-            "tokens", lambda: vocabulary(token_counts(self.documents), self.settings.vocab_size)
+            "tokens",
+            lambda: vocabulary(token_counts(self.documents), self.settings.vocab_size).coalesce(1),
         )
 
     def encoded(self) -> DataFrame:

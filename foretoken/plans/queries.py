@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -335,39 +336,41 @@ def export_roundtrip(spark, sf):
     return tables.read_chunks(spark, path)
 
 
+def _new_path(p: Pipeline, name: str) -> str:
+    return p.path(f"{name}-{uuid.uuid4().hex}")
+
+
 def stream_bigrams(spark, sf):
+    """Token rows arrive two files at a time."""
     p = pipeline(spark, sf)
     p.samples()
-    out = p.path("stream_bigrams")
+    path = _new_path(p, "stream_bigrams")
     arriving = rows.read_sample_stream(spark, p.path("samples"), files_per_trigger=2)
     stream_counts.start_partial_counts(
-        arriving, 2, out, p.path("stream_bigrams_checkpoint"), SMALL.id_chunks
+        arriving, 2, f"{path}/partials", f"{path}/checkpoint", SMALL.id_chunks
     ).awaitTermination()
-    return stream_counts.merge_partials(spark, out, 2)
+    return stream_counts.merge_partials(spark, f"{path}/partials", 2)
 
 
 def stream_pack(spark, sf):
     """Encoded documents arrive in four parts, in the order of their ids."""
     p = pipeline(spark, sf)
-    landing = p.path("stream_landing")
+    path = _new_path(p, "stream_pack")
     ordered = p.encoded().select("shard", "doc_id", "ids", "n")
-    cuts = ordered.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
-    bounds = [None, *sorted(set(cuts)), None]
-    out, checkpoint = p.path("stream_pack"), p.path("stream_pack_checkpoint")
-    if "stream_landing" not in p._written:
-        p._written.add("stream_landing")
-        for low, high in zip(bounds, bounds[1:]):
-            part = ordered
-            if low is not None:
-                part = part.where(F.col("doc_id") >= low)
-            if high is not None:
-                part = part.where(F.col("doc_id") < high)
-            part.write.mode("append").parquet(landing)
-            arriving = spark.readStream.schema(ordered.schema).parquet(landing)
-            stream_packing.start_packing(
-                arriving, out, checkpoint, SMALL.row_length
-            ).awaitTermination()
-    return _listed(stream_packing.packed_rows(spark, out))
+    cuts = sorted(set(ordered.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)))
+    landing = f"{path}/landing"
+    for part in range(len(cuts) + 1):
+        arrived = F.lit(True)
+        if part:
+            arrived = arrived & (F.col("doc_id") >= cuts[part - 1])
+        if part < len(cuts):
+            arrived = arrived & (F.col("doc_id") < cuts[part])
+        ordered.where(arrived).write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema(ordered.schema).parquet(landing)
+        stream_packing.start_packing(
+            arriving, f"{path}/packed", f"{path}/checkpoint", SMALL.row_length
+        ).awaitTermination()
+    return _listed(stream_packing.packed_rows(spark, f"{path}/packed"))
 
 
 def conversation_bigrams(spark, sf):

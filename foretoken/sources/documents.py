@@ -21,7 +21,10 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 def read_documents(
     spark: SparkSession, path: str, n_shards: int, extra: tuple[str, ...] = (), spread: bool = True
 ) -> DataFrame:
-    """``(shard, doc_id, text, *extra)`` from a Parquet table; only these columns are read."""
+    """``(shard, doc_id, text, *extra)`` from a Parquet table; only these columns are read.
+
+    ``doc_id`` is a BIGINT, different for every document, and sets their order.
+    """
     table = spark.read.parquet(path).select("doc_id", "text", *extra)
     if spread:
         table = _spread(table, "doc_id")
