@@ -12,10 +12,17 @@ PACKED_IDS = 4
 
 
 def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens") -> DataFrame:
-    """Every run of ``n`` neighbouring ids of each row as ``id0..``; none crosses a row. No shuffle."""
-    width = F.greatest(F.size(ids) - (n - 1), F.lit(0))
-    shifted = [F.slice(ids, F.lit(k + 1), width).alias(f"id{k}") for k in range(n)]
-    return rows.select(*(keep or []), F.inline(F.arrays_zip(*shifted)))
+    """Every run of ``n`` neighbouring ids of each row as ``id0..``; none crosses a row.
+
+    No shuffle: places are generated and their ids read from the row's array in one code span.
+    """
+    keep = keep or []
+    places = F.explode(F.sequence(F.lit(0), F.size(ids) - n)).alias("_place")
+    return (
+        rows.where(F.size(ids) >= n)
+        .select(*keep, F.col(ids).alias("_ids"), places)
+        .select(*keep, *[F.get("_ids", F.col("_place") + k).alias(f"id{k}") for k in range(n)])
+    )
 
 
 def _grouped(grams: DataFrame, n: int, keep: list[str], total: Column) -> DataFrame:

@@ -39,13 +39,12 @@ METRICS = [
 def windows(samples: DataFrame, seq_len: int) -> DataFrame:
     """``(shard, sample, start, id0..)``: every long context; ``start`` is where the short one
     begins. A row of L ids has ``L - seq_len`` of them."""
-    width = F.greatest(F.size("tokens") - seq_len, F.lit(0))
-    starts = F.slice(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), F.lit(1), width)
-    shifted = [
-        F.slice("tokens", F.lit(k + 1), width).alias(f"id{k}") for k in range(seq_len + 1)
-    ]
-    return samples.select(
-        "shard", "sample", F.inline(F.arrays_zip(starts.alias("start"), *shifted))
+    starts = F.explode(F.sequence(F.lit(1), F.size("tokens") - seq_len)).alias("start")
+    ids = [F.get("tokens", F.col("start") + (k - 1)).alias(f"id{k}") for k in range(seq_len + 1)]
+    return (
+        samples.where(F.size("tokens") > seq_len)
+        .select("shard", "sample", "tokens", starts)
+        .select("shard", "sample", "start", *ids)
     )
 
 
