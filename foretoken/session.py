@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,15 +41,19 @@ def build_session(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
+    """A new folder that all executors share, removed when the driver ends.
 
-    Only a local session without that setting gets a temporary folder of its own, removed at exit.
+    It lies below the folder named in ``spark.checkpoint.dir``, or else below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/foretoken-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="foretoken-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+    folder = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/foretoken-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, folder)
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete ``folder`` through Spark's file system; a session that has ended leaves it."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
