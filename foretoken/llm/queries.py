@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foretoken.llm.common import read_table
+from foretoken.llm.language_model import language_model_scores
 from foretoken.llm.simhash import simhash_components
 
 
@@ -12,8 +13,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_simhash": op6_simhash,
+    "op9_language_model": op9_language_model,
 }
 
 ORACLE: dict[str, str] = {}
