@@ -369,7 +369,7 @@ def language_model_scores(
     key: str = "doc_id",
     text: str = "text",
     order: int = 2,
-    mu: float = 1000.0,
+    mu: float = 30.0,
     folds: int = 10,
     held_out: int = 0,
 ) -> DataFrame:

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foretoken.llm.common import read_table
 from foretoken.llm.language_model import language_model_scores
+from foretoken.llm.sequence_packing import pack_documents
+from foretoken.llm.sharding import shard_documents
 from foretoken.llm.simhash import simhash_components
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,
 }
 
