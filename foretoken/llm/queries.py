@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from foretoken.llm.chat_format import conversation_digests, format_conversations
 from foretoken.llm.common import read_table
 from foretoken.llm.embedding_dedup import embedding_components
+from foretoken.llm.language import identify_languages
 from foretoken.llm.language_model import language_model_scores
 from foretoken.llm.oracle import ORACLE
 from foretoken.llm.sequence_packing import pack_documents
 from foretoken.llm.sharding import shard_documents
 from foretoken.llm.simhash import simhash_components
 from foretoken.llm.token_counts import count_tokens, read_vocabulary
+from foretoken.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -25,6 +27,16 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +71,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
