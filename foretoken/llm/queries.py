@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foretoken.llm.chat_format import conversation_digests, format_conversations
 from foretoken.llm.common import read_table
+from foretoken.llm.decontamination import find_contamination
 from foretoken.llm.embedding_dedup import embedding_components
 from foretoken.llm.language import identify_languages
 from foretoken.llm.language_model import language_model_scores
@@ -37,6 +38,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +80,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,

@@ -225,3 +225,33 @@ def simhash_components(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def drop_near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4
+) -> DataFrame:
+    """The rows of ``documents`` with one left of each near-duplicate group: that of the smallest key.
+
+    Null keys come after all others; of rows with the same key one stays. All columns are kept.
+    """
+    scratch = Scratch(documents.sparkSession)
+    # Rows are numbered once and stored, so that equal rows can be told apart.
+    rows = scratch.store(
+        documents.select(
+            F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document")
+        ),
+        "rows",
+    )
+    own = F.col(f"document.`{key}`")
+    named = simhash_components(
+        rows.select(
+            F.struct(own.isNull().alias("none"), own.alias("own"), F.col("row")).alias("key"),
+            F.col(f"document.`{text}`").alias("text"),
+        ),
+        "key",
+        "text",
+        shingle,
+        bits,
+    )
+    kept = named.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("kept"))
+    return rows.join(kept, F.col("row") == F.col("kept"), "left_semi").select("document.*")
