@@ -172,6 +172,7 @@ class Index:
         the lists' greatest weights can reach ``least``; its block's bounds decide whether it is
         scored, or the lists skip to where the bound can change.
         """
+        least -= 1e-6  # sums in another order, bounds in single precision
         lists = [[0, *self.postings[t], float(self.postings[t][1].max()), t] for t in terms]
         found = []
         while lists:
