@@ -17,11 +17,18 @@ def chunk_of(first_id: Column, chunks: int) -> Column:
 
 
 def packed_ids(columns: list[str]) -> Column:
-    """Up to four 16-bit ids as one BIGINT: a single group key of a third of the shuffled bytes."""
+    """Up to four 16-bit ids as one BIGINT: a single group key of a third of the shuffled bytes.
+
+    An id that does not fit is an error.
+    """
     packed = F.col(columns[0]).cast("bigint")
+    bits = F.col(columns[0])
     for column in columns[1:]:
         packed = F.shiftleft(packed, 16).bitwiseOR(F.col(column).cast("bigint"))
-    return packed
+        bits = bits.bitwiseOR(F.col(column))
+    shown = F.concat_ws(", ", *[F.col(c).cast("string") for c in columns])
+    outside = F.raise_error(F.concat(F.lit("ids that do not fit 16 bits: "), shown))
+    return F.when(F.shiftrightunsigned(bits, 16) == 0, packed).otherwise(outside)
 
 
 def unpacked_ids(packed: str, n: int) -> list[Column]:

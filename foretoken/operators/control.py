@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from foretoken.session import folder_exists
 from foretoken.sources.samples import write_samples
 
 FINISHED = "finished"
@@ -40,10 +40,9 @@ def require_complete(expected: DataFrame, present: DataFrame, key: str = "shard"
 def read_manifest(spark: SparkSession, path: str, key: str = "shard INT") -> DataFrame:
     """What earlier runs finished; empty where none wrote a manifest."""
     schema = f"{key}, status STRING"
-    try:
+    if folder_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def mark_finished(spark: SparkSession, path: str, keys: list, key: str = "shard INT") -> None:
@@ -58,21 +57,28 @@ def build_pending_shards(
     samples_path: str,
     manifest_path: str,
     n_shards: int,
+    shards_per_job: int | None = None,
+    jobs: int | None = None,
 ) -> int:
     """Build and write the shards that no earlier run finished; return how many.
 
-    Shards are marked only after their rows are committed, and writing a shard again replaces it.
+    A job builds ``shards_per_job`` shards, by default all that are left; ``jobs`` limits how many
+    run now. Shards are marked only after their rows are committed, and writing a shard again
+    replaces it.
     """
     spark = documents.sparkSession
     # At most n_shards small rows.
-    todo = [
+    todo = sorted(
         row.shard
         for row in pending(
             all_shards(spark, n_shards), read_manifest(spark, manifest_path)
         ).collect()
-    ]
-    if not todo:
-        return 0
-    write_samples(build(documents.where(F.col("shard").isin(todo))), samples_path)
-    mark_finished(spark, manifest_path, todo)
-    return len(todo)
+    )
+    size = shards_per_job or max(1, len(todo))
+    parts = [todo[i : i + size] for i in range(0, len(todo), size)][:jobs]
+    for part in parts:
+        write_samples(
+            build(documents.where(F.col("shard").isin(part))), samples_path, keep_others=True
+        )
+        mark_finished(spark, manifest_path, part)
+    return sum(map(len, parts))

@@ -1,10 +1,12 @@
-"""Token text to ids and back, by a table of at most 65,536 tokens."""
+"""Token text to ids and back, without loss, by a table of at most 65,536 tokens."""
 
 from __future__ import annotations
 
+import codecs
 import warnings
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from foretoken.functions.text import split_tokens, with_boundaries
-from foretoken.settings import ID_SPAN, UNKNOWN_ID
+from foretoken.operators.vocabulary import byte_token
+from foretoken.settings import FIRST_BYTE_ID, FIRST_TOKEN_ID, ID_SPAN
 
-# Token tables up to this many bytes of text go to every task; larger ones are joined.
-LOOKUP_BYTES = 64 << 20
+# Bytes of text that a token table may have to go to every task.
+TABLE_BYTES = 64 << 20
 
 
-def _lookup_values(tokens: DataFrame, limit: int) -> list[str] | None:
-    """Token texts by id, or None if they are too large to hand to every task."""
+def _lookup_values(tokens: DataFrame) -> list[str]:
+    """Token texts by id; at most 65,536 of them and ``TABLE_BYTES``, or an error."""
     n, top, size = tokens.agg(
         F.count("*"), F.max("id"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))
     ).first()
     if n > ID_SPAN or n != top + 1:
         raise ValueError("token ids must be dense, from 0, and fit 16 bits")
-    if size > limit:
-        return None
+    if size > TABLE_BYTES:
+        raise ValueError(f"{size} bytes of token texts are too many to hand to every task")
     return [row.token for row in tokens.orderBy("id").select("token").collect()]
 
 
@@ -34,24 +37,54 @@ def _swap_column(frame: DataFrame, name: str, new: StructField) -> StructType:
     return StructType([new if f.name == name else f for f in frame.schema.fields])
 
 
-def _rebuild(batch: pa.RecordBatch, at: int, values: pa.Array, schema_names: list[str]):
-    lists = batch.column(at)
-    columns = list(batch.columns)
-    columns[at] = pa.ListArray.from_arrays(lists.offsets, values)
-    return pa.RecordBatch.from_arrays(columns, names=schema_names)
+def _spelled(tokens: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of tokens, one after the other, and how many each has: one, or one for each byte."""
+    found = pc.index_in(tokens, value_set=known)
+    unknown = found.is_null().to_numpy(zero_copy_only=False)
+    counts = np.ones(len(tokens), np.int64)
+    counts[unknown] = pc.binary_length(tokens.filter(pa.array(unknown))).to_numpy()
+    starts = np.cumsum(counts) - counts
+    ids = np.empty(int(counts.sum()), np.int32)
+    ids[starts[~unknown]] = found.drop_null().to_numpy() + FIRST_TOKEN_ID
+    spelled = "".join(tokens.filter(pa.array(unknown)).to_pylist()).encode()
+    lengths = counts[unknown]
+    inside = np.arange(len(spelled)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ids[np.repeat(starts[unknown], lengths) + inside] = (
+        np.frombuffer(spelled, np.uint8).astype(np.int32) + FIRST_BYTE_ID
+    )
+    return ids, counts
 
 
-def encode_documents(
-    documents: DataFrame, tokens: DataFrame, lookup_bytes: int = LOOKUP_BYTES
-) -> DataFrame:
-    """Replace ``text`` by ``ids`` (begin mark, token ids, end mark) and add their number ``n``."""
+def encode_documents(documents: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Replace ``text`` by ``ids`` (begin mark, token ids, end mark) and add their number ``n``.
+
+    A token that the table does not have is spelled in the ids of its UTF-8 bytes, so that ids
+    always give the text back.
+    """
     split = documents.withColumn("text", split_tokens(F.col("text")))
-    known = _lookup_values(tokens, lookup_bytes)
-    if known is None:
-        ids = _encode_by_join(split, tokens)
-    else:
-        ids = _encode_by_lookup(split, known)
+    known = _lookup_values(tokens)
+    if known[FIRST_BYTE_ID:FIRST_TOKEN_ID] != [byte_token(b) for b in range(256)]:
+        raise ValueError("the token table has no ids for single bytes")
+    shared = documents.sparkSession.sparkContext.broadcast(known[FIRST_TOKEN_ID:])
+    at = split.columns.index("text")
+    schema = _swap_column(split, "text", StructField("ids", ArrayType(IntegerType())))
+    names = schema.fieldNames()
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column(at)
+            ids, counts = _spelled(lists.flatten(), table)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            offsets = lists.offsets.to_numpy()
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(
+                pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(ids, pa.int32())
+            )
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
     keep = [c for c in documents.columns if c != "text"]
+    ids = split.mapInArrow(look_up, schema)
     return ids.select(*keep, with_boundaries(F.col("ids")).alias("ids")).withColumn(
         "n", F.size("ids")
     )
@@ -68,9 +101,12 @@ def encode_with(
     ``make_encoder`` is called once per task and returns a function from texts to their ids;
     ``begin`` and ``end`` are the ids that mark a document's ends.
     """
+    own = [int(i) for i in make_encoder()([""])[0]]
     for name, mark in (("begin", begin), ("end", end)):
         if len(mark) > 1:
             warnings.warn(f"the {name} mark is {len(mark)} ids, not one", stacklevel=2)
+        if mark and any(own[i : i + len(mark)] == list(mark) for i in range(len(own))):
+            warnings.warn(f"the tokenizer adds the {name} mark by itself", stacklevel=2)
     at = documents.columns.index("text")
     schema = _swap_column(documents, "text", StructField("ids", ArrayType(IntegerType())))
     names = schema.fieldNames()
@@ -81,6 +117,10 @@ def encode_with(
             texts = [text or "" for text in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(encoder(texts), pa.list_(pa.int32()))
+            limits = pc.min_max(columns[at].flatten())
+            low, high = limits["min"].as_py(), limits["max"].as_py()
+            if low is not None and not 0 <= low <= high < ID_SPAN:
+                raise ValueError(f"ids from {low} to {high} do not fit 16 bits")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     keep = [c for c in documents.columns if c != "text"]
@@ -97,53 +137,20 @@ def token_table(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "id int, token string")
 
 
-def _encode_by_lookup(split: DataFrame, known: list[str]) -> DataFrame:
-    shared = split.sparkSession.sparkContext.broadcast(known)
-    at = split.columns.index("text")
-    schema = _swap_column(split, "text", StructField("ids", ArrayType(IntegerType())))
-    names = schema.fieldNames()
-
-    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.string())
-        for batch in batches:
-            found = pc.index_in(batch.column(at).flatten(), value_set=table)
-            yield _rebuild(batch, at, pc.fill_null(found, UNKNOWN_ID), names)
-
-    return split.mapInArrow(look_up, schema)
-
-
-def _encode_by_join(split: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The same for any token table: one row per token, regrouped by document."""
-    keep = [c for c in split.columns if c != "text"]
-    return (
-        split.select(*keep, F.posexplode_outer("text").alias("pos", "token"))
-        .join(tokens, "token", "left")
-        .groupBy(*keep)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col("pos").isNotNull(),
-                        F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")),
-                    )
-                )
-            ).alias("pairs")
-        )
-        .select(*keep, F.col("pairs.id").alias("ids"))
-    )
+def _bytes_shown(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(map(byte_token, error.object[error.start : error.end])), error.end
 
 
 def decode_rows(
-    rows: DataFrame,
-    tokens: DataFrame,
-    ids: str = "tokens",
-    out: str = "text",
-    lookup_bytes: int = LOOKUP_BYTES,
+    rows: DataFrame, tokens: DataFrame, ids: str = "tokens", out: str = "text"
 ) -> DataFrame:
-    """Add the text of an array of ids; an id without a token is an error."""
-    known = _lookup_values(tokens, lookup_bytes)
-    if known is None:
-        return _decode_by_join(rows, tokens, ids, out)
+    """Add the text of an array of ids; an id without a token is an error.
+
+    Byte ids next to each other are read as UTF-8. Where a row cuts through a character, the bytes
+    that it has of it are written as they are named in the token table.
+    """
+    known = _lookup_values(tokens)
+    spells = known[FIRST_BYTE_ID:FIRST_TOKEN_ID] == [byte_token(b) for b in range(256)]
     shared = rows.sparkSession.sparkContext.broadcast(known)
     at = rows.columns.index(ids)
     schema = StructType([*rows.schema.fields, StructField(out, StringType())])
@@ -151,29 +158,35 @@ def decode_rows(
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.string())
+        if spells:
+            codecs.register_error("bytes-shown", _bytes_shown)
+            raw = [
+                bytes([i - FIRST_BYTE_ID]) if FIRST_BYTE_ID <= i < FIRST_TOKEN_ID else token.encode()
+                for i, token in enumerate(shared.value)
+            ]
         for batch in batches:
             lists = batch.column(at)
-            words = pa.ListArray.from_arrays(lists.offsets, table.take(lists.flatten()))
+            flat = lists.flatten()
+            words = pa.ListArray.from_arrays(
+                pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32()),
+                table.take(flat),
+            )
             text = pc.binary_join(words, "")
+            numbers = flat.to_numpy()
+            if spells and ((numbers >= FIRST_BYTE_ID) & (numbers < FIRST_TOKEN_ID)).any():
+                text = pa.array(
+                    [
+                        None if row is None
+                        else b"".join(map(raw.__getitem__, row)).decode("utf-8", "bytes-shown")
+                        for row in lists.to_pylist()
+                    ],
+                    pa.string(),
+                )
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=names)
 
     return rows.mapInArrow(look_up, schema)
 
 
-def _decode_by_join(rows: DataFrame, tokens: DataFrame, ids: str, out: str) -> DataFrame:
-    strict = F.when(
-        F.col("pos").isNotNull() & F.col("token").isNull(),
-        F.raise_error(F.concat(F.lit("no token for id "), F.col("id").cast("string"))),
-    ).otherwise(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))
-    return (
-        rows.select(*rows.columns, F.posexplode_outer(ids).alias("pos", "id"))
-        .join(tokens, "id", "left")
-        .groupBy(*rows.columns)
-        .agg(F.sort_array(F.collect_list(strict)).alias("pairs"))
-        .select(*rows.columns, F.array_join(F.col("pairs.token"), "").alias(out))
-    )
-
-
 def id_range(rows: DataFrame, ids: str = "tokens") -> DataFrame:
     """Per shard: how many ids there are, their range, and how many 16 unsigned bits cannot hold."""
     outside = (F.col("id") < 0) | (F.col("id") >= ID_SPAN)

@@ -26,7 +26,7 @@ def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "t
 
 
 def _grouped(grams: DataFrame, n: int, keep: list[str], total: Column) -> DataFrame:
-    """Totals per n-gram. Ids must fit 16 bits (``encoding.id_range`` tells)."""
+    """Totals per n-gram. Up to ``PACKED_IDS`` ids are packed, and must fit 16 bits."""
     if n > PACKED_IDS:
         return grams.groupBy(*keep, *id_columns(n)).agg(total.alias("count"))
     others = [c for c in grams.columns if c not in id_columns(n)]

@@ -19,10 +19,8 @@ from foretoken.operators.encoding import decode_rows
 from foretoken.operators.prefixes import add_tokens, width_of
 from foretoken.operators.scoring import log_softmax, spread_for_model
 
-# Hit contexts up to this many rows (a few numbers each) are sent to every task.
-BROADCAST_ROWS = 250_000
-# Parts into which the places of one context are divided when they have to be shuffled.
-PLACE_PARTS = 32
+# Sample numbers of a shard that fit the key by which places are ordered.
+SAMPLE_BITS = 32
 
 METRICS = [
     "p_short",
@@ -36,15 +34,15 @@ METRICS = [
 ]
 
 
-def windows(samples: DataFrame, seq_len: int) -> DataFrame:
-    """``(shard, sample, start, id0..)``: every long context; ``start`` is where the short one
-    begins. A row of L ids has ``L - seq_len`` of them."""
+def windows(samples: DataFrame, seq_len: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(shard, sample, start, id0.., *keep)``: every long context; ``start`` is where the short
+    one begins. A row of L ids has ``L - seq_len`` of them."""
     starts = F.explode(F.sequence(F.lit(1), F.size("tokens") - seq_len)).alias("start")
     ids = [F.get("tokens", F.col("start") + (k - 1)).alias(f"id{k}") for k in range(seq_len + 1)]
     return (
         samples.where(F.size("tokens") > seq_len)
         .select("shard", "sample", "tokens", starts)
-        .select("shard", "sample", "start", *ids)
+        .select("shard", "sample", "start", *ids, *keep)
     )
 
 
@@ -88,7 +86,7 @@ def short_distribution(short_counts: DataFrame) -> DataFrame:
 
 
 def next_token_distribution(
-    short_counts: DataFrame, long_counts: DataFrame, backoff: float, min_context: int = 1
+    short_counts: DataFrame, long_counts: DataFrame, backoff: float
 ) -> DataFrame:
     """``(id0.., p_short, p_long, n_context, ..)`` for every token seen after a long context.
 
@@ -99,11 +97,6 @@ def next_token_distribution(
     context, following = id_columns(n - 1), f"id{n - 1}"
     whole = Window.partitionBy(*context)
     counted = long_counts.select(*context, following, "count")
-    if min_context > 1:
-        kept = counted.groupBy(*context).agg(F.sum("count").alias("n_context"))
-        counted = counted.join(
-            kept.where(F.col("n_context") >= min_context).select(*context), context, "left_semi"
-        )
     # The short n-gram of (id0, id1, .., next) is (id1, .., next).
     short = short_distribution(short_counts)
     others = [c for c in short.columns if c not in id_columns(n - 1)]
@@ -136,7 +129,7 @@ def next_token_distribution(
 
 
 def scan_metrics(
-    short_counts: DataFrame, long_counts: DataFrame, backoff: float, min_context: int = 1
+    short_counts: DataFrame, long_counts: DataFrame, backoff: float
 ) -> DataFrame:
     """One row per long context with :data:`METRICS`.
 
@@ -148,7 +141,7 @@ def scan_metrics(
     """
     n = width_of(long_counts)
     context, following = id_columns(n - 1), f"id{n - 1}"
-    seen = next_token_distribution(short_counts, long_counts, backoff, min_context).withColumn(
+    seen = next_token_distribution(short_counts, long_counts, backoff).withColumn(
         "gain", F.ln("p_long") - F.ln("p_short")
     )
     # Only sums, counts and extremes of numbers, on rows the windows already brought together: a
@@ -253,36 +246,21 @@ def scan_hits(metrics: DataFrame, min_p: float = 0.5, min_js: float = 0.5) -> Da
 
 
 def scan_examples(
-    samples: DataFrame,
-    hits: DataFrame,
-    tokens: DataFrame,
-    batch_size: int,
-    context_ids: int = 5,
-    broadcast_rows: int = BROADCAST_ROWS,
+    samples: DataFrame, hits: DataFrame, tokens: DataFrame, batch_size: int, context_ids: int = 5
 ) -> DataFrame:
-    """Every place of every hit, with its text, surroundings and metrics."""
+    """Every place of every hit, with its text, surroundings and metrics.
+
+    Rows are read once: surroundings are cut where the places are made, after the join with the
+    hits. Spark broadcasts the hits by their size on storage; a larger list is joined by a shuffle
+    of places, in which a context with a third of all places is split as a skewed partition.
+    """
     ids = _context_columns(hits)
-    at = windows(samples, len(ids) - 1)
-    if hits.count() <= broadcast_rows:
-        found = at.join(F.broadcast(hits), ids)
-    else:
-        # One context may hold a third of all places: its hit is repeated for each part of them.
-        parts = F.explode(F.sequence(F.lit(0), F.lit(PLACE_PARTS - 1))).alias("part")
-        found = (
-            at.withColumn("part", F.pmod(F.hash("sample", "start"), F.lit(PLACE_PARTS)))
-            .join(hits.select("*", parts), [*ids, "part"])
-            .drop("part")
-        )
-    return _describe(found, samples, tokens, batch_size, context_ids)
+    found = windows(samples, len(ids) - 1, ("tokens",)).join(hits, ids)
+    return _describe(_with_surroundings(found, len(ids) - 1, context_ids), tokens, batch_size)
 
 
 def scan_filter(
-    samples: DataFrame,
-    hits: DataFrame,
-    tokens: DataFrame,
-    batch_size: int,
-    context_ids: int = 5,
-    broadcast_rows: int = BROADCAST_ROWS,
+    samples: DataFrame, hits: DataFrame, tokens: DataFrame, batch_size: int, context_ids: int = 5
 ) -> DataFrame:
     """The first place of every hit text, in the order of shard, sample and start.
 
@@ -290,35 +268,33 @@ def scan_filter(
     share a text are few and compared afterwards.
     """
     ids = _context_columns(hits)
-    place = (
-        F.shiftleft(F.col("shard").cast("bigint"), 48)
-        + F.shiftleft(F.col("sample"), 16)
-        + F.col("start")
-    ).alias("place")
-    at = windows(samples, len(ids) - 1).select(*ids, place)
-    keys = hits.select(*ids)
-    if hits.count() <= broadcast_rows:
-        firsts = at.join(F.broadcast(keys), ids).groupBy(*ids).agg(F.min("place").alias("place"))
-    else:
-        firsts = at.groupBy(*ids).agg(F.min("place").alias("place")).join(keys, ids)
-    named = firsts.join(hits, ids)
-    text = _with_text(named, tokens, ids)
+    at = windows(samples, len(ids) - 1).select(*ids, _place().alias("place"))
+    firsts = at.join(hits.select(*ids), ids).groupBy(*ids).agg(F.min("place").alias("place"))
+    text = _with_text(firsts.join(hits, ids), tokens, ids)
     first_of_text = Window.partitionBy("text").orderBy("place")
     kept = (
         text.withColumn("nth", F.row_number().over(first_of_text))
         .where(F.col("nth") == 1)
         .withColumn("shard", F.shiftright("place", 48).cast("int"))
-        .withColumn("sample", F.shiftright("place", 16).bitwiseAND(F.lit((1 << 32) - 1)))
+        .withColumn("sample", F.shiftright("place", 16).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
         .withColumn("start", F.col("place").bitwiseAND(F.lit((1 << 16) - 1)).cast("int"))
         .drop("nth", "place", "text")
     )
-    return _describe(kept, samples, tokens, batch_size, context_ids)
+    placed = kept.join(samples.select("shard", "sample", "tokens"), ["shard", "sample"])
+    return _describe(_with_surroundings(placed, len(ids) - 1, context_ids), tokens, batch_size)
+
 
+def _place() -> Column:
+    """One BIGINT in the order of shard, sample and start; a sample too large for it is an error."""
+    checked = F.when(F.col("sample") < 1 << SAMPLE_BITS, F.col("sample")).otherwise(
+        F.raise_error(F.concat(F.lit("no place for sample "), F.col("sample").cast("string")))
+    )
+    return F.shiftleft(F.col("shard").cast("bigint"), 48) + F.shiftleft(checked, 16) + F.col("start")
 
-def scan_top(found: DataFrame, limit: int | None = None) -> DataFrame:
-    """Examples by falling ``p_long``, the first ``limit`` of them if given."""
-    ordered = found.orderBy(F.desc("p_long"), "text", "shard", "batch", "sample", "start")
-    return ordered if limit is None else ordered.limit(limit)
+
+def scan_top(found: DataFrame) -> DataFrame:
+    """Examples by falling ``p_long``."""
+    return found.orderBy(F.desc("p_long"), "text", "shard", "batch", "sample", "start")
 
 
 def _context_columns(hits: DataFrame) -> list[str]:
@@ -335,20 +311,16 @@ def _with_text(rows: DataFrame, tokens: DataFrame, ids: list[str]) -> DataFrame:
     return named.withColumn("text", _bracketed(F.col(names[0]), names[1:])).drop("seq", *names)
 
 
-def _describe(
-    found: DataFrame, samples: DataFrame, tokens: DataFrame, batch_size: int, context_ids: int
-) -> DataFrame:
-    """Add texts, surroundings and batch to places ``(shard, sample, start, id0.., metrics)``."""
-    ids = [c for c in id_columns(64) if c in found.columns]
-    seq_len = len(ids) - 1
-    # Surroundings are cut from the row after the join, so rows are not copied per place.
+def _with_surroundings(placed: DataFrame, seq_len: int, context_ids: int) -> DataFrame:
+    """Replace a place's row ``tokens`` by the ids around it; they end where the row ends."""
     begin = F.greatest(F.col("start") - context_ids, F.lit(0))
     end = F.least(F.col("start") + seq_len + context_ids, F.size("tokens"))
-    placed = (
-        found.join(samples.select("shard", "sample", "tokens"), ["shard", "sample"])
-        .withColumn("context_ids", F.slice("tokens", begin + 1, end - begin))
-        .drop("tokens")
-    )
+    return placed.withColumn("context_ids", F.slice("tokens", begin + 1, end - begin)).drop("tokens")
+
+
+def _describe(placed: DataFrame, tokens: DataFrame, batch_size: int) -> DataFrame:
+    """Add texts and batch to places ``(shard, sample, start, id0.., context_ids, metrics)``."""
+    ids = [c for c in id_columns(64) if c in placed.columns]
     text = _with_text(placed, tokens, ids)
     for side in ("short", "long"):
         lookup = tokens.select(

@@ -11,19 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foretoken.functions.ids import id_columns
-from foretoken.operators.ngrams import ngram_counts, ngrams
+from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.prefixes import width_of
 
-# Lists of prefixes up to this many rows (three ids each) are sent to every task.
-BROADCAST_ROWS = 1_000_000
-
 
 def score_by_slice(
     top: DataFrame,
     encoded: DataFrame,
     slice_column: str,
     slices: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``p_<slice>``: the share of the prefix's continuations, in the documents of that slice,
     that are the catalogued token; 0 where the slice never continues the prefix."""
@@ -31,14 +27,10 @@ def score_by_slice(
     prefix, last = id_columns(n - 1), f"id{n - 1}"
     wanted = top.select(*prefix, F.col(last).alias("wanted"))
     wanted_slice = encoded.where(F.col(slice_column).isin(slices))
-    if top.count() <= broadcast_rows:
-        # Filter on the map side, then count: one small shuffle of prefixes.
-        hits = ngrams(wanted_slice, n, [slice_column], "ids").join(F.broadcast(wanted), prefix)
-        weight = F.lit(1)
-    else:
-        # Count first: afterwards a prefix has at most one row per token and slice.
-        hits = ngram_counts(wanted_slice, n, [slice_column], "ids").join(wanted, prefix)
-        weight = F.col("count")
+    # Count first: afterwards a prefix has at most one row per token and slice. Spark broadcasts
+    # the prefixes by their size on storage.
+    hits = ngram_counts(wanted_slice, n, [slice_column], "ids").join(wanted, prefix)
+    weight = F.col("count")
     share = F.sum(F.when(F.col(last) == F.col("wanted"), weight).otherwise(0)) / F.sum(weight)
     scores = hits.groupBy(*prefix).pivot(slice_column, slices).agg(share)
     named = scores.withColumnsRenamed({s: f"p_{s}" for s in slices})
@@ -82,8 +74,10 @@ def score_by_model(
 
 
 def spread_for_model(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows over all cores: a model's time per row calls for far smaller tasks than their bytes."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *key)
+    """Rows by key over the session's shuffle partitions, which adaptive execution must not merge: a
+    model's time per row calls for far smaller tasks than their bytes."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *key)
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:

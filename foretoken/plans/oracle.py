@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretoken.plans.queries import SLICES, SMALL, TOP_ROWS
+from foretoken.plans.queries import SLICES, SMALL
 
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^ \t\n\r\f\x0B\p{L}\p{N}]+|[ \t\n\r\f\x0B]+"
 LENGTH = SMALL.row_length
@@ -12,7 +12,7 @@ BATCH = SMALL.batch_size
 SCAN_BATCH = SMALL.scan_batch_size
 AROUND = SMALL.context_ids
 MU = SMALL.backoff
-KEEP = SMALL.vocab_size - 2
+KEEP = SMALL.vocab_size - 258
 
 
 def _source(table: str) -> str:
@@ -35,15 +35,28 @@ tok AS MATERIALIZED (
 VOCAB = f""",
 vocab AS MATERIALIZED (
   SELECT 0 AS id, '<|endoftext|>' AS token UNION ALL SELECT 1, '<unk>' UNION ALL
-  SELECT CAST(row_number() OVER (ORDER BY c DESC, token) + 1 AS INTEGER), token
-  FROM (SELECT token, count(*) AS c FROM tok GROUP BY token ORDER BY c DESC, token LIMIT {KEEP}))"""
+  SELECT CAST(b + 2 AS INTEGER), printf('<0x%02X>', b) FROM range(256) bytes(b) UNION ALL
+  SELECT CAST(row_number() OVER (ORDER BY c DESC, token) + 257 AS INTEGER), token
+  FROM (SELECT token, count(*) AS c FROM tok WHERE strlen(token) <= 64
+        GROUP BY token ORDER BY c DESC, token LIMIT {KEEP}))"""
 
+# A token outside the table is spelled in bytes: two hex digits each.
 ENC = """,
+words AS (SELECT id, token FROM vocab WHERE id >= 258),
+spelled AS (
+  SELECT doc_id, shard, lang, pos, 0 AS sub, v.id FROM tok JOIN words v USING (token)
+  UNION ALL
+  SELECT doc_id, shard, lang, pos, sub, CAST(concat('0x', h[2 * sub + 1 : 2 * sub + 2]) AS INTEGER) + 2
+  FROM (SELECT t.*, hex(encode(token)) AS h, unnest(range(strlen(token))) AS sub
+        FROM tok t ANTI JOIN words USING (token))),
+inner_ids AS (
+  SELECT doc_id, shard, lang, id,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS pos FROM spelled),
 lens AS MATERIALIZED (
   SELECT d.doc_id, d.shard, d.lang, CAST(coalesce(c, 0) + 2 AS INTEGER) AS n FROM docs d
-  LEFT JOIN (SELECT doc_id, count(*) AS c FROM tok GROUP BY doc_id) USING (doc_id)),
+  LEFT JOIN (SELECT doc_id, count(*) AS c FROM inner_ids GROUP BY doc_id) USING (doc_id)),
 enc AS MATERIALIZED (
-  SELECT doc_id, shard, lang, pos, coalesce(v.id, 1) AS id FROM tok LEFT JOIN vocab v USING (token)
+  SELECT doc_id, shard, lang, pos, id FROM inner_ids
   UNION ALL SELECT doc_id, shard, lang, 0, 0 FROM docs
   UNION ALL SELECT doc_id, shard, lang, n - 1, 0 FROM lens)"""
 
@@ -168,19 +181,41 @@ def _scan_base() -> str:
     return _samples() + _grams(2, "bi") + _grams(3, "tri") + SHORT
 
 
-# Every long context against every token its short context knows.
+# Sums over the tokens seen after a long context; those only its short context knows all keep the
+# same share r = mu / (n + mu) of their probability, so theirs are closed forms, and the likeliest of
+# them is among the first n_seen + 1 tokens of the short context.
 METRICS = f""",
-dist AS (
-  SELECT c.id0, c.id1, c.n, s.id2, s.p_short AS ps,
-         (coalesce(t.count, 0) + {MU} * s.p_short) / (c.n + {MU}) AS pl
-  FROM ctx c JOIN short s USING (id1) LEFT JOIN tri t USING (id0, id1, id2)
-  WHERE c.n >= {SMALL.min_context}),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY p_short DESC, id2) AS place FROM short),
+seen AS MATERIALIZED (
+  SELECT t.id0, t.id1, t.id2, c.n, s.p_short AS ps,
+         (t.count + {MU} * s.p_short) / (c.n + {MU}) AS pl
+  FROM tri t JOIN ctx c USING (id0, id1) JOIN short s USING (id1, id2)),
+sums AS MATERIALIZED (
+  SELECT id0, id1, any_value(n) AS n, count(*) AS n_seen, sum(ps) AS mass, max(pl) AS best,
+         arg_max(id2, row(pl, -id2)) AS best_id, max(abs(ps - pl)) AS delta,
+         sum((ps - pl) * (ln(ps) - ln(pl))) / 2 AS js, max(ln(pl) - ln(ps)) AS excite,
+         max(ln(ps) - ln(pl)) AS inhibit
+  FROM seen GROUP BY id0, id1),
+unseen AS (
+  SELECT m.id0, m.id1, arg_min(r.id2, r.place) AS id2, max(r.p_short) AS ps
+  FROM sums m JOIN ranked r ON r.id1 = m.id1 AND r.place <= m.n_seen + 1
+  LEFT JOIN tri t ON t.id0 = m.id0 AND t.id1 = m.id1 AND t.id2 = r.id2
+  WHERE t.id2 IS NULL GROUP BY m.id0, m.id1),
 metrics AS MATERIALIZED (
-  SELECT id0, id1, any_value(n) AS n_context, max(ps) AS p_short, max(pl) AS p_long,
-         sum((ps - pl) * (ln(ps) - ln(pl))) / 2 AS js, max(abs(ps - pl)) AS p_delta_max,
-         max(ln(pl) - ln(ps)) AS logit_excite_max, max(ln(ps) - ln(pl)) AS logit_inhibit_max,
-         arg_max(id2, row(ps, -id2)) AS short_max_id, arg_max(id2, row(pl, -id2)) AS long_max_id
-  FROM dist GROUP BY id0, id1)"""
+  SELECT m.id0, m.id1, n AS n_context, r.p_short,
+         greatest(best, coalesce({MU} * u.ps / (n + {MU}), 0)) AS p_long,
+         js + CASE WHEN u.ps IS NULL THEN 0 ELSE
+           (1 - mass) * (1 - {MU} / (n + {MU})) * -ln({MU} / (n + {MU})) / 2 END AS js,
+         greatest(delta, coalesce((1 - {MU} / (n + {MU})) * u.ps, 0)) AS p_delta_max,
+         excite AS logit_excite_max,
+         CASE WHEN u.ps IS NULL THEN inhibit ELSE -ln({MU} / (n + {MU})) END AS logit_inhibit_max,
+         r.id2 AS short_max_id,
+         CASE WHEN {MU} * u.ps / (n + {MU}) > best
+                OR {MU} * u.ps / (n + {MU}) = best AND u.id2 < best_id
+              THEN u.id2 ELSE best_id END AS long_max_id
+  FROM sums m JOIN ranked r ON r.id1 = m.id1 AND r.place = 1
+  LEFT JOIN unseen u ON u.id0 = m.id0 AND u.id1 = m.id1)"""
 VALUES = [
     "p_short",
     "p_long",
@@ -193,41 +228,25 @@ _VALUES = ", ".join(f"{_six(v)} AS {v}" for v in VALUES)
 _METRIC_ROWS = f"SELECT id0, id1, n_context, {_VALUES}, short_max_id, long_max_id FROM metrics"
 _HIT = "p_long > 0.5 AND js > 0.5"
 
-# The stand-in model: remainders of ids as logits, for each class of contexts.
-MODEL = f""",
-logits AS (
-  SELECT a, b, t, ((t * 31 + a * 17) % 101) / 10 AS ls, ((t * 31 + a * 17 + b * 13) % 101) / 10 AS ll
-  FROM range(8) x(a), range(8) y(b), range({SMALL.vocab_size}) z(t)),
-logp AS (
-  SELECT *, ls - ln(sum(exp(ls)) OVER (PARTITION BY a, b)) AS log_s,
-         ll - ln(sum(exp(ll)) OVER (PARTITION BY a, b)) AS log_l FROM logits),
-classes AS MATERIALIZED (
-  SELECT a, b, max(exp(log_s)) AS p_short, max(exp(log_l)) AS p_long,
-         sum((exp(log_s) - exp(log_l)) * (log_s - log_l)) / 2 AS js,
-         max(abs(exp(log_s) - exp(log_l))) AS p_delta_max,
-         max(ll - ls) AS logit_excite_max, max(ls - ll) AS logit_inhibit_max,
-         CAST(arg_max(t, row(ls, -t)) AS INTEGER) AS short_max_id,
-         CAST(arg_max(t, row(ll, -t)) AS INTEGER) AS long_max_id
-  FROM logp GROUP BY a, b)"""
-
 EXAMPLES = f""",
 hits AS (SELECT * FROM metrics WHERE {_HIT}),
 spots AS MATERIALIZED (
-  SELECT shard, sample, cell, id0, id1 FROM ({_runs(2)}) WHERE shard = 0),
+  SELECT shard, sample, cell, id0, id1 FROM ({_runs(2)})),
 found AS MATERIALIZED (SELECT s.*, h.* EXCLUDE (id0, id1) FROM spots s JOIN hits h USING (id0, id1)),
 around AS (
-  SELECT f.sample, f.cell, string_agg(c.id, ' ' ORDER BY c.cell) AS context_ids,
+  SELECT f.shard, f.sample, f.cell, string_agg(c.id, ' ' ORDER BY c.cell) AS context_ids,
          string_agg(v.token, '' ORDER BY c.cell) AS context
-  FROM found f JOIN cells c ON c.shard = 0 AND c.sample = f.sample
+  FROM found f JOIN cells c ON c.shard = f.shard AND c.sample = f.sample
    AND c.cell BETWEEN f.cell + 1 - {AROUND} AND f.cell + {1 + AROUND}
-  JOIN vocab v ON v.id = c.id GROUP BY f.sample, f.cell),
+  JOIN vocab v ON v.id = c.id GROUP BY f.shard, f.sample, f.cell),
 examples AS MATERIALIZED (
   SELECT '[' || v0.token || ']' || v1.token AS text, vs.token AS token_short,
          vl.token AS token_long, p_short, p_long, js, f.id0 || ' ' || f.id1 AS long_ids,
          short_max_id, long_max_id, context, context_ids, p_delta_max, logit_excite_max,
-         logit_inhibit_max, shard, f.sample // {SCAN_BATCH} AS batch,
+         logit_inhibit_max, f.shard, f.sample // {SCAN_BATCH} AS batch,
          f.sample % {SCAN_BATCH} AS sample, f.cell + 1 AS start
-  FROM found f JOIN around a ON a.sample = f.sample AND a.cell = f.cell
+  FROM found f
+  JOIN around a ON a.shard = f.shard AND a.sample = f.sample AND a.cell = f.cell
   JOIN vocab v0 ON v0.id = f.id0 JOIN vocab v1 ON v1.id = f.id1
   JOIN vocab vs ON vs.id = short_max_id JOIN vocab vl ON vl.id = long_max_id)"""
 FIRSTS = """,
@@ -242,6 +261,29 @@ SELECT CAST(id0 % {CHUNKS} AS INTEGER) AS id0_chunk, id0, id1,
 FROM prefixes"""
 
 
+# Bytes from one leading byte to the next are a character, if the row holds all of it.
+DECODED = """,
+bytes AS (
+  SELECT *, id - 2 AS b, (id - 2) & 192 <> 128 AS leads,
+         cell - row_number() OVER (PARTITION BY shard, sample ORDER BY cell) AS run
+  FROM cells WHERE id BETWEEN 2 AND 257),
+grouped AS (
+  SELECT *, count(*) FILTER (leads) OVER (PARTITION BY shard, sample, run ORDER BY cell) AS nth
+  FROM bytes),
+characters AS (
+  SELECT shard, sample, min(cell) AS cell,
+         CASE WHEN bool_or(leads) AND count(*) = CASE WHEN min_by(b, cell) < 128 THEN 1
+                WHEN min_by(b, cell) < 224 THEN 2 WHEN min_by(b, cell) < 240 THEN 3 ELSE 4 END
+              THEN decode(unhex(string_agg(printf('%02X', b), '' ORDER BY cell)))
+              ELSE string_agg(printf('<0x%02X>', b), '' ORDER BY cell) END AS piece
+  FROM grouped GROUP BY shard, sample, run, nth)
+SELECT shard, sample, string_agg(piece, '' ORDER BY cell) AS text
+FROM (SELECT * FROM characters UNION ALL
+      SELECT shard, sample, cell, token FROM cells JOIN vocab USING (id)
+      WHERE id NOT BETWEEN 2 AND 257)
+GROUP BY shard, sample"""
+
+
 def _count_rows(n: int, table: str = "documents", extra: str = "") -> str:
     return _samples(table) + _grams(n) + f"\nSELECT {_ids(n)}, count{extra} FROM grams"
 
@@ -289,10 +331,8 @@ GROUP BY shard, sample HAVING count(*) = {LENGTH}""",
     "batch_cap": _samples()
     + ROWS
     + f" SELECT *, CAST(sample // {BATCH} AS BIGINT) AS batch FROM rows WHERE sample < {2 * BATCH}",
-    "decode_samples": _samples()
-    + """
-SELECT shard, sample, string_agg(token, '' ORDER BY cell) AS text
-FROM cells JOIN vocab USING (id) GROUP BY shard, sample""",
+    "decode_samples": _samples() + DECODED,
+    "decoded_documents": "SELECT doc_id, text FROM documents",
     "id_range_check": _samples()
     + """
 SELECT shard, count(*) AS n_ids, min(id) AS min_id, max(id) AS max_id,
@@ -320,7 +360,7 @@ SELECT CAST(id0 % {CHUNKS} AS INTEGER) AS id0_chunk, count(*) AS n_ngrams,
     + _grams(3)
     + _prefixes(3)
     + _top(3)
-    + f" SELECT * FROM top ORDER BY sum_count DESC, id0, id1, id2 LIMIT {TOP_ROWS}",
+    + " SELECT *, row_number() OVER (ORDER BY sum_count DESC, id0, id1, id2) AS rank FROM top",
     "token_lookup_misses": _samples()
     + _grams(3)
     + """
@@ -332,16 +372,6 @@ GROUP BY position""",
     "prefix_rank_in_chunk": _samples() + _grams(3) + _prefixes(3) + RANKED,
     "score_bigrams_by_slice": _score(2),
     "score_trigrams_by_slice": _score(3),
-    "score_bigrams_by_model": _samples()
-    + _grams(2)
-    + _prefixes(2)
-    + _top(2)
-    + f""",
-mass AS (
-  SELECT a, sum(exp(((t * 31 + a * 17) % 101) / 10)) AS z
-  FROM range(8) x(a), range({SMALL.vocab_size}) y(t) GROUP BY a)
-SELECT id0, id1, {_six("exp(((id1 * 31 + a * 17) % 101) / 10) / z")} AS p_arithmetic
-FROM top JOIN mass ON a = id0 % 8""",
     "scan_windows": _samples()
     + f"""
 SELECT shard, sample, cell + 1 AS start, id0 || ' ' || id1 AS long_ids,
@@ -353,14 +383,6 @@ SELECT id0, id1, id2, {_six("p_short")} AS p_short,
 FROM tri t JOIN short USING (id1, id2) JOIN ctx USING (id0, id1)""",
     "scan_metrics": _scan_base() + METRICS + "\n" + _METRIC_ROWS,
     "scan_hits": _scan_base() + METRICS + "\n" + _METRIC_ROWS + f" WHERE {_HIT}",
-    "scan_metrics_by_model": _scan_base()
-    + METRICS
-    + MODEL
-    + f"""
-SELECT id0, id1, {", ".join(f"{_six('c.' + v)} AS {v}" for v in VALUES)},
-       c.short_max_id, c.long_max_id
-FROM metrics m JOIN classes c ON a = id1 % 8 AND b = id0 % 8
-WHERE m.p_long > 0.5 AND m.js > 0.5""",
     "scan_examples": _scan_base() + METRICS + EXAMPLES + "\n" + _EXAMPLE_ROWS + "examples",
     "scan_filter": _scan_base() + METRICS + EXAMPLES + FIRSTS + "\n" + _EXAMPLE_ROWS + "firsts",
     "scan_top": _scan_base()
@@ -369,8 +391,9 @@ WHERE m.p_long > 0.5 AND m.js > 0.5""",
     + FIRSTS
     + "\n"
     + _EXAMPLE_ROWS
-    + f"""
-(SELECT * FROM firsts ORDER BY p_long DESC, text, shard, batch, sample, start LIMIT {TOP_ROWS})""",
+    + """
+(SELECT *, row_number() OVER (ORDER BY p_long DESC, text, shard, batch, sample, start) AS rank
+ FROM firsts)""",
     "pending_shards": f"""
 SELECT CAST(shard AS INTEGER) AS shard FROM range({SHARDS}) t(shard)
 WHERE shard NOT IN (SELECT doc_id % {SHARDS} FROM documents WHERE doc_id % {SHARDS} < {SHARDS // 2})""",

@@ -123,24 +123,23 @@ class Pipeline:
             self.ngrams(length + 1).drop("id0_chunk"),
             self.ngrams(length + 2).drop("id0_chunk"),
             self.settings.backoff,
-            self.settings.min_context,
         )
 
     def scan_hits(self) -> DataFrame:
         return self._table("scan_hits", lambda: scan.scan_hits(self.scan_metrics()))
 
-    def scan_filter(self, shards: DataFrame | None = None) -> DataFrame:
-        """Published scan result over ``shards``, by default the first one."""
-        samples = self.samples().where("shard = 0") if shards is None else shards
-        return self._table(
-            "scan_filter",
-            lambda: scan.scan_top(
-                scan.scan_filter(
-                    samples,
-                    self.scan_hits(),
-                    self.tokens(),
-                    self.settings.scan_batch_size,
-                    self.settings.context_ids,
-                )
-            ),
-        )
+    def scan_filter(self, samples: DataFrame | None = None) -> DataFrame:
+        """Published scan result over all rows. That over other ``samples`` is not kept."""
+
+        def found(rows: DataFrame) -> DataFrame:
+            return scan.scan_filter(
+                rows,
+                self.scan_hits(),
+                self.tokens(),
+                self.settings.scan_batch_size,
+                self.settings.context_ids,
+            )
+
+        if samples is not None:
+            return scan.scan_top(found(samples))
+        return self._table("scan_filter", lambda: scan.scan_top(found(self.samples())))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +26,8 @@ SMALL = Settings(
     batch_size=256,
     seq_len=1,
     min_trigram_count=20,
-    min_context=21,
 )
 SLICES = ["de", "en", "es", "fr"]
-TOP_ROWS = 100
 
 _pipelines: dict[tuple, Pipeline] = {}
 
@@ -127,7 +124,7 @@ def pack_nowrap(spark, sf):
 
 def samples_roundtrip(spark, sf):
     p = pipeline(spark, sf)
-    path = p.path("samples_roundtrip")
+    path = _new_path(p, "samples_roundtrip")
     rows.write_samples(packing.pack_wrap(p.encoded(), SMALL.row_length), path)
     return _listed(rows.read_samples(spark, path))
 
@@ -146,6 +143,13 @@ def decode_samples(spark, sf):
     return encoding.decode_rows(p.samples(), p.tokens()).drop("tokens")
 
 
+def decoded_documents(spark, sf):
+    """The text of every document, from its ids."""
+    p = pipeline(spark, sf)
+    inner = p.encoded().select("doc_id", F.slice("ids", F.lit(2), F.col("n") - 2).alias("ids"))
+    return encoding.decode_rows(inner, p.tokens(), "ids").drop("ids")
+
+
 def id_range_check(spark, sf):
     return encoding.id_range(pipeline(spark, sf).samples())
 
@@ -161,7 +165,7 @@ def ngram_partials(spark, sf):
 
 def ngram_recombine(spark, sf):
     p = pipeline(spark, sf)
-    path = p.path("partials_3")
+    path = _new_path(p, "partials_3")
     tables.write_partials(
         ngrams.ngram_partials(p.samples(), 3, SMALL.batch_size, SMALL.id_chunks), path
     )
@@ -201,7 +205,8 @@ def _top_query(n: int):
 
 
 def top_trigrams_by_count(spark, sf):
-    return prefixes.by_count(pipeline(spark, sf).top(3)).limit(TOP_ROWS)
+    p = pipeline(spark, sf)
+    return tables.write_ranked(prefixes.by_count(p.top(3)), _new_path(p, "top_trigrams_by_count"))
 
 
 def token_lookup_misses(spark, sf):
@@ -224,51 +229,10 @@ def _score_query(n: int):
     return query
 
 
-def _arithmetic_model(vocab_size: int):
-    """A stand-in for a neural model that SQL can follow: logits from remainders of ids."""
-
-    def logits(last: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        shift = last[:, None] * 17 + extra[None, :] * 13
-        return ((np.arange(vocab_size) * 31 + shift[..., None]) % 101) / 10
-
-    def next_token():
-        weights = logits(np.arange(8), np.zeros(1, int))[:, 0]
-        return lambda prefix: weights[prefix[:, -1] % 8]
-
-    def short_and_long():
-        weights = logits(np.arange(8), np.arange(8))
-        return lambda short, long: (
-            weights[short[:, -1] % 8, 0],
-            weights[short[:, -1] % 8, long[:, 0] % 8],
-        )
-
-    return next_token, short_and_long
-
-
-# Rows per call of the model: few, so that its arrays over the vocabulary stay in cache.
-MODEL_BATCH = 8
-
-
-def score_bigrams_by_model(spark, sf):
-    next_token, _ = _arithmetic_model(SMALL.vocab_size)
-    scored = scoring.score_by_model(
-        pipeline(spark, sf).top(2), {"arithmetic": next_token}, MODEL_BATCH
-    )
-    return _rounded(scored.select("id0", "id1", "p_arithmetic"))
-
-
-def scan_metrics_by_model(spark, sf):
-    _, short_and_long = _arithmetic_model(SMALL.vocab_size)
-    contexts = pipeline(spark, sf).scan_hits().select("id0", "id1")
-    return _rounded(scan.scan_metrics_by_model(contexts, short_and_long, MODEL_BATCH))
-
-
-def _first_shard(p: Pipeline) -> DataFrame:
-    return p.samples().where("shard = 0")
-
-
 def scan_windows(spark, sf):
-    return _listed(scan.paired_windows(_first_shard(pipeline(spark, sf)), SMALL.seq_len))
+    """The windows of one shard: a filter on the folder that is read."""
+    first = pipeline(spark, sf).samples().where("shard = 0")
+    return _listed(scan.paired_windows(first, SMALL.seq_len))
 
 
 def next_token_dist(spark, sf):
@@ -288,23 +252,19 @@ def scan_hits(spark, sf):
 def scan_examples(spark, sf):
     p = pipeline(spark, sf)
     found = scan.scan_examples(
-        _first_shard(p), p.scan_hits(), p.tokens(), SMALL.scan_batch_size, SMALL.context_ids
+        p.samples(), p.scan_hits(), p.tokens(), SMALL.scan_batch_size, SMALL.context_ids
     )
     return _rounded(_listed(found))
 
 
-def _scan_filter(p: Pipeline) -> DataFrame:
-    return scan.scan_filter(
-        _first_shard(p), p.scan_hits(), p.tokens(), SMALL.scan_batch_size, SMALL.context_ids
-    )
-
-
 def scan_filter(spark, sf):
-    return _rounded(_listed(_scan_filter(pipeline(spark, sf))))
+    return _rounded(_listed(pipeline(spark, sf).scan_filter()))
 
 
 def scan_top(spark, sf):
-    return _rounded(_listed(scan.scan_top(_scan_filter(pipeline(spark, sf)), TOP_ROWS)))
+    p = pipeline(spark, sf)
+    ranked = tables.write_ranked(scan.scan_top(p.scan_filter()), _new_path(p, "scan_top"))
+    return _rounded(_listed(ranked))
 
 
 def _marked_first_half(p: Pipeline) -> DataFrame:
@@ -331,7 +291,7 @@ def shard_completeness(spark, sf):
 
 def export_roundtrip(spark, sf):
     p = pipeline(spark, sf)
-    path = p.path("export_bigrams")
+    path = _new_path(p, "export_bigrams")
     tables.write_chunked(_counts(p, 2), path, SMALL.id_chunks)
     return tables.read_chunks(spark, path)
 
@@ -394,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "samples_capped": samples_capped,
     "batch_cap": batch_cap,
     "decode_samples": decode_samples,
+    "decoded_documents": decoded_documents,
     "id_range_check": id_range_check,
     "ngrams_exploded": ngrams_exploded,
     "ngram_partials": ngram_partials,
@@ -414,12 +375,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_rank_in_chunk": prefix_rank_in_chunk,
     "score_bigrams_by_slice": _score_query(2),
     "score_trigrams_by_slice": _score_query(3),
-    "score_bigrams_by_model": score_bigrams_by_model,
     "scan_windows": scan_windows,
     "next_token_dist": next_token_dist,
     "scan_metrics": scan_metrics,
     "scan_hits": scan_hits,
-    "scan_metrics_by_model": scan_metrics_by_model,
     "scan_examples": scan_examples,
     "scan_filter": scan_filter,
     "scan_top": scan_top,

@@ -57,3 +57,8 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(path)

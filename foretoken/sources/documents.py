@@ -31,17 +31,17 @@ def read_documents(
     return table.select(_shard("doc_id", n_shards), "doc_id", "text", *extra)
 
 
-# Turns a conversation may have when each is numbered as a document of its own.
-TURN_BITS = 20
-
-
 def read_conversations(spark: SparkSession, path: str, n_shards: int) -> DataFrame:
-    """The turns of conversations as documents, in the order of conversation and turn."""
-    table = spark.read.parquet(path).select("conv_id", "turn", "text")
-    number = F.shiftleft("conv_id", TURN_BITS) + F.col("turn")
-    return _spread(table, "conv_id").select(
-        _shard("conv_id", n_shards), number.alias("doc_id"), "text"
+    """The turns of conversations as documents, in the order of conversation and turn.
+
+    A document's number is its place in the sorted table, with gaps between the sorted ranges, so
+    any turn of any conversation has one, and a long conversation is spread over ranges.
+    """
+    table = spark.read.parquet(path).select("conv_id", "turn", "text").orderBy("conv_id", "turn")
+    numbered = table.select(
+        _shard("conv_id", n_shards), F.monotonically_increasing_id().alias("doc_id"), "text"
     )
+    return numbered
 
 
 def shard_range(rows: DataFrame, n_shards: int, begin: int = 0, end: int = -1) -> DataFrame:

@@ -10,14 +10,15 @@ from foretoken.functions.ids import whole_part
 SAMPLE_SCHEMA = "sample BIGINT, tokens ARRAY<INT>, shard INT"
 
 
-def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_samples(samples: DataFrame, path: str, keep_others: bool = False) -> None:
     """One folder per shard. A rebalance keeps files near the advisory size: small shards get one
-    file, a shard that outgrows it is split over several tasks. Only written shards are replaced."""
+    file, a shard that outgrows it is split over several tasks. ``keep_others``: replace only the
+    shards that are written; otherwise the whole table."""
     (
         samples.hint("rebalance", "shard")
         .sortWithinPartitions("shard", "sample")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .option("compression", "zstd")
         .partitionBy("shard")
         .parquet(path)

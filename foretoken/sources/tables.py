@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foretoken.operators.ngrams import with_chunk
+from foretoken.session import remove_folder
 
 
 def write_table(table: DataFrame, path: str) -> None:
@@ -13,13 +14,38 @@ def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_ranked(ordered: DataFrame, path: str) -> DataFrame:
+    """Write a globally sorted table and read it back with the place of each row, ``rank``, from 1.
+
+    Sorting leaves ranges of rows in numbered partitions, so a rank is the sizes of the partitions
+    before and the place inside: no task sees more than one range.
+    """
+    spark = ordered.sparkSession
+    write_table(ordered.withColumn("_place", F.monotonically_increasing_id()), path)
+    placed = spark.read.parquet(path)
+    part = F.shiftright("_place", 33)
+    # One row for each partition.
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("_part"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(starts, part == F.col("_part")).select(
+        *ordered.columns, (F.col("_start") + inside + 1).alias("rank")
+    )
+
+
 def write_partials(partials: DataFrame, path: str) -> None:
-    """Partial counts by chunk. Batches named in the data are replaced, others left, so a rerun
-    never counts a batch twice."""
+    """Partial counts by batch and chunk. All that an earlier run left of the batches named in the
+    data goes first, so a rerun counts no batch twice, whatever chunks it fills."""
+    spark = partials.sparkSession
+    # One number for each batch.
+    for row in partials.select("batch").distinct().collect():
+        remove_folder(spark, f"{path}/batch={row.batch}")
     (
         partials.hint("rebalance", "id0_chunk")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .option("compression", "zstd")
         .partitionBy("batch", "id0_chunk")
         .parquet(path)

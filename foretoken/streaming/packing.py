@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foretoken.operators.packing import wrapped_rows
 
 ROW_SCHEMA = "shard INT, sample BIGINT, tokens ARRAY<INT>, complete BOOLEAN"
-CARRY_SCHEMA = "shard INT, total BIGINT, ids ARRAY<INT>"
+CARRY_SCHEMA = "shard INT, total BIGINT, last BIGINT, ids ARRAY<INT>"
 
 
 def _rows_path(path: str, batch_id: int) -> str:
@@ -32,6 +32,7 @@ def pack_micro_batch(encoded: DataFrame, batch_id: int, path: str, row_length: i
         carry = spark.read.schema(CARRY_SCHEMA).parquet(_carry_path(path, batch_id - 1))
     else:
         carry = spark.createDataFrame([], CARRY_SCHEMA)
+    _require_order(encoded, carry)
     rows_path = _rows_path(path, batch_id)
     (
         wrapped_rows(encoded, row_length, carry)
@@ -48,21 +49,34 @@ def pack_micro_batch(encoded: DataFrame, batch_id: int, path: str, row_length: i
         .select("shard", F.col("tokens").alias("ids"))
     )
     totals = (
-        encoded.select("shard", F.col("n").cast("bigint").alias("total"))
-        .unionByName(carry.select("shard", "total"))
+        encoded.select(
+            "shard", F.col("n").cast("bigint").alias("total"), F.col("doc_id").alias("last")
+        )
+        .unionByName(carry.select("shard", "total", "last"))
         .groupBy("shard")
-        .agg(F.sum("total").alias("total"))
+        .agg(F.sum("total").alias("total"), F.max("last").alias("last"))
     )
     (
         totals.join(unfinished, "shard", "left")
         .select(
-            "shard", "total", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+            "shard", "total", "last", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
         )
         .write.mode("overwrite")
         .parquet(_carry_path(path, batch_id))
     )
 
 
+def _require_order(encoded: DataFrame, carry: DataFrame) -> None:
+    """Raise if a shard's documents arrive after one with a larger id."""
+    first = encoded.groupBy("shard").agg(F.min("doc_id").alias("first"))
+    late = first.join(carry, "shard").where(F.col("first") <= F.col("last"))
+    # At most one row for each shard.
+    found = late.select("shard", "first", "last").orderBy("shard").limit(20).collect()
+    if found:
+        told = ", ".join(f"{first} after {last} in shard {shard}" for shard, first, last in found)
+        raise ValueError(f"documents arrived late: {told}")
+
+
 def start_packing(
     encoded: DataFrame, path: str, checkpoint: str, row_length: int
 ) -> StreamingQuery:

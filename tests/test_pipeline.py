@@ -5,7 +5,7 @@ from foretoken.settings import Settings
 from foretoken.sources.documents import read_documents
 
 PATH = "/root/testdata/sf0.001/documents.parquet"
-SETTINGS = Settings(row_length=64, n_shards=3, seq_len=1, min_trigram_count=5, min_context=5)
+SETTINGS = Settings(row_length=64, n_shards=3, seq_len=1, min_trigram_count=5)
 
 
 def test_all_tables_and_their_totals(spark, folder):
@@ -20,7 +20,7 @@ def test_all_tables_and_their_totals(spark, folder):
         assert p.top(n).where("frac_max <= 0.5").count() == 0
     found = p.scan_filter()
     assert found.count() == found.select("text").distinct().count() > 0
-    assert found.where("p_long <= 0.5 or js <= 0.5 or shard <> 0").count() == 0
+    assert found.where("p_long <= 0.5 or js <= 0.5").count() == 0
 
 
 def test_finished_tables_are_not_built_again(spark, folder):
@@ -33,7 +33,7 @@ def test_finished_tables_are_not_built_again(spark, folder):
 
 
 def test_long_contexts_and_rows_without_wrapping(spark):
-    settings = Settings(row_length=64, n_shards=2, min_context=2)
+    settings = Settings(row_length=64, n_shards=2)
     p = Pipeline(spark, read_documents(spark, PATH, 2), settings, wrap=False)
     assert p.scan_hits().columns[:5] == ["id0", "id1", "id2", "id3", "id4"]
     hits = p.scan_filter()

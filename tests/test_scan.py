@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -74,14 +75,6 @@ def test_metrics_like_the_full_comparison(samples_of, rows, seq_len, backoff):
             assert r.long_max_id == expected[8]
 
 
-def test_rare_contexts_can_be_left_out(samples_of, rows):
-    samples = samples_of(rows)
-    two, three = ngram_counts(samples, 2), ngram_counts(samples, 3)
-    every = scan.scan_metrics(two, three, 1.0)
-    some = scan.scan_metrics(two, three, 1.0, min_context=5)
-    assert sorted(some.collect()) == sorted(every.where("n_context >= 5").collect())
-
-
 def test_probabilities_sum_to_one(samples_of, rows):
     samples = samples_of(rows)
     dist = scan.next_token_distribution(ngram_counts(samples, 2), ngram_counts(samples, 3), 1.0)
@@ -121,11 +114,19 @@ def hits(spark):
     return make
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
-def test_context_is_cut_at_both_ends(samples_of, hits, tokens, broadcast_rows):
+@pytest.fixture(params=["10m", "-1"])
+def threshold(spark, request):
+    """Both ways of joining: by broadcast and by shuffle."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.unset(key)
+
+
+def test_context_is_cut_at_both_ends(samples_of, hits, tokens, threshold):
     rows = [[k % VOCAB for k in range(14)], [6] * 14]
     found = scan.scan_examples(
-        samples_of(rows), hits([((0, 1), 0.9), ((5, 6), 0.8)]), tokens, 1, 5, broadcast_rows
+        samples_of(rows), hits([((0, 1), 0.9), ((5, 6), 0.8)]), tokens, 1, 5
     )
     got = {(r.batch, r.sample, r.start): r for r in found.collect()}
     assert set(got) == {(0, 0, 1), (0, 0, 6), (0, 0, 8), (0, 0, 13)}
@@ -137,21 +138,43 @@ def test_context_is_cut_at_both_ends(samples_of, hits, tokens, broadcast_rows):
         assert (r.token_short, r.token_long) == (" w1", " w2")
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
-def test_first_place_of_a_text_is_kept(spark, samples_of, hits, tokens, broadcast_rows):
+def test_first_place_of_a_text_is_kept(spark, samples_of, hits, tokens, threshold):
     rows = [[3, 3, 3, 3], [0, 1, 0, 1], [1, 0, 1, 2], [0, 1, 5, 0]]
     samples = samples_of(rows).unionByName(samples_of([[5, 0, 0, 1]], shard=1))
     table = hits([((0, 1), 0.7), ((5, 0), 0.8)])
-    found = scan.scan_filter(samples, table, tokens, 2, 5, broadcast_rows)
+    found = scan.scan_filter(samples, table, tokens, 2, 5)
     got = [(r.text, r.shard, r.batch, r.sample, r.start) for r in scan.scan_top(found).collect()]
     assert got == [("[ w5] w0", 0, 1, 1, 3), ("[ w0] w1", 0, 0, 1, 1)]
-    every = scan.scan_examples(samples, table, tokens, 2, 5, broadcast_rows).collect()
+    every = scan.scan_examples(samples, table, tokens, 2, 5).collect()
     first = {}
     for r in sorted(every, key=lambda r: (r.shard, r.batch, r.sample, r.start)):
         first.setdefault(r.text, r)
     assert sorted(found.collect()) == sorted(first.values())
 
 
+def test_a_sample_too_large_for_the_order_is_an_error(samples_of, hits, tokens):
+    far = samples_of([[0, 1, 0]]).withColumn("sample", F.lit((1 << 32) + 3))
+    table = hits([((0, 1), 0.9)])
+    with pytest.raises(Exception, match="no place for sample 4294967299"):
+        scan.scan_filter(far, table, tokens, 4).collect()
+    assert [(r.batch, r.sample) for r in scan.scan_examples(far, table, tokens, 4).collect()] == [
+        (1 << 30, 3)
+    ]
+
+
+def test_rows_are_read_once_for_examples(samples_of, hits, tokens, spark, tmp_path):
+    from foretoken.sources.samples import read_samples, write_samples
+
+    write_samples(samples_of([[0, 1, 0]]), str(tmp_path / "rows"))
+    table = hits([((0, 1), 0.9)])
+    table.write.parquet(str(tmp_path / "hits"))
+    found = scan.scan_examples(
+        read_samples(spark, str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "hits")), tokens, 4
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and len(re.findall(r"FileScan parquet \[sample", plan)) == 1
+
+
 def test_texts_of_different_contexts_are_one(spark, samples_of, hits, tmp_path):
     spark.createDataFrame([(0, "a"), (1, "bc"), (2, "a"), (3, "")], "id int, token string").write.parquet(
         str(tmp_path / "t")

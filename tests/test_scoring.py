@@ -23,11 +23,10 @@ def encoded(spark):
     )
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
 @pytest.mark.parametrize("n", [2, 3])
-def test_share_in_each_slice(encoded, n, broadcast_rows):
+def test_share_in_each_slice(encoded, n):
     top = next_token_prefixes(ngram_counts(encoded, n, ids="ids"))
-    got = score_by_slice(top, encoded, "lang", ["de", "en", "fr"], broadcast_rows).collect()
+    got = score_by_slice(top, encoded, "lang", ["de", "en", "fr"]).collect()
     counts = defaultdict(Counter)
     for lang, ids in DOCUMENTS:
         for i in range(len(ids) - n + 1):
