@@ -47,7 +47,8 @@ def read_manifest(spark: SparkSession, path: str, key: str = "shard INT") -> Dat
 
 def mark_finished(spark: SparkSession, path: str, keys: list, key: str = "shard INT") -> None:
     """Note keys as finished, once what they stand for is committed."""
-    done = spark.createDataFrame([(k, FINISHED) for k in keys], f"{key}, status STRING")
+    rows = [(*(k if isinstance(k, tuple) else (k,)), FINISHED) for k in keys]
+    done = spark.createDataFrame(rows, f"{key}, status STRING")
     done.coalesce(1).write.mode("append").parquet(path)
 
 

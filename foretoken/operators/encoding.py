@@ -176,12 +176,12 @@ def decode_rows(
             if spells and ((numbers >= FIRST_BYTE_ID) & (numbers < FIRST_TOKEN_ID)).any():
                 text = pa.array(
                     [
-                        None if row is None
-                        else b"".join(map(raw.__getitem__, row)).decode("utf-8", "bytes-shown")
+                        b"".join(map(raw.__getitem__, row or ())).decode("utf-8", "bytes-shown")
                         for row in lists.to_pylist()
                     ],
                     pa.string(),
                 )
+            text = pc.if_else(lists.is_null(), None, text)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=names)
 
     return rows.mapInArrow(look_up, schema)

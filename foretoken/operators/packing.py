@@ -36,6 +36,8 @@ def wrapped_rows(
     ``carry`` is ``(shard, total, ids)``: the tokens placed before these documents and the ids of
     the row they left unfinished.
     """
+    # A document without ids has no place.
+    encoded = encoded.where("n > 0")
     first = running_total(encoded.select("shard", "doc_id", "n"), "shard", "doc_id", "n", "first")
     if carry is not None:
         first = first.join(carry.select("shard", "total"), "shard", "left").withColumn(

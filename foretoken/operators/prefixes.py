@@ -95,34 +95,38 @@ def rank_in_chunk(prefixes: DataFrame) -> DataFrame:
     """The position of each prefix in its chunk, most predictive first, ties by id.
 
     A chunk may hold a third of all prefixes, most of them with the same fraction. Ranks are
-    therefore added up over levels (range of fractions, fraction, first id), each a window over a
-    few counts, down to windows over the prefixes that share all three: at most one vocabulary.
+    therefore added up over levels (range of fractions, fraction, then one id after the other), each
+    a window over a few counts. Prefixes are counted once, at the finest level, and the coarser ones
+    are made from that; the last window holds prefixes that differ in their last id only: at most
+    one vocabulary.
     """
-    ids = id_columns(width_of(prefixes))
+    n = width_of(prefixes)
+    ids = id_columns(n - 1)  # of the prefix; the last column is its most common next token
     binned = prefixes.withColumn("bin", F.floor(F.col("frac_max") * FRACTION_BINS))
-    parent, starts = ["id0_chunk"], None
-    for key, order in (("bin", F.desc), ("frac_max", F.desc), ("id0", F.asc)):
+    levels = [("bin", F.desc), ("frac_max", F.desc), *((c, F.asc) for c in ids[:-1])]
+    keys = [key for key, _ in levels]
+    finest = binned.groupBy("id0_chunk", *keys).agg(F.count("*").alias("size"))
+    starts = None
+    for depth, (key, order) in enumerate(levels):
+        parent = ["id0_chunk", *keys[:depth]]
         above = F.sum("size").over(
             Window.partitionBy(*parent)
             .orderBy(order(key))
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        level = (
-            binned.groupBy(*parent, key)
-            .agg(F.count("*").alias("size"))
-            .withColumn("here", F.coalesce(above, F.lit(0)))
-        )
+        sizes = finest.groupBy(*parent, key).agg(F.sum("size").alias("size"))
+        level = sizes.withColumn("here", F.coalesce(above, F.lit(0)))
         if starts is None:
             starts = level.select(*parent, key, F.col("here").alias("above"))
         else:
             starts = level.join(starts, parent).select(
                 *parent, key, (F.col("above") + F.col("here")).alias("above")
             )
-        parent = [*parent, key]
-    inside = F.row_number().over(Window.partitionBy(*parent).orderBy(*ids[1:]))
+    group = ["id0_chunk", *keys]
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy(ids[-1]))
     return (
         binned.withColumn("inside", inside)
-        .join(starts, parent)
+        .join(starts, group)
         .select(*prefixes.columns, (F.col("above") + F.col("inside")).alias("rank"))
     )
 

@@ -169,6 +169,11 @@ FROM top LEFT JOIN scores USING ({", ".join(prefix)})"""
     )
 
 
+def _scored(n: int) -> str:
+    order = f"sum_count DESC, {_ids(n)}"
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({_score(n)})"
+
+
 SHORT = """,
 short AS MATERIALIZED (
   SELECT id0 AS id1, id1 AS id2, count,
@@ -255,12 +260,29 @@ firsts AS (
   QUALIFY row_number() OVER (PARTITION BY text ORDER BY shard, batch, sample, start) = 1)"""
 _EXAMPLE_ROWS = "SELECT * REPLACE (" + _VALUES + ") FROM "
 
-RANKED = f"""
-SELECT CAST(id0 % {CHUNKS} AS INTEGER) AS id0_chunk, id0, id1,
-       row_number() OVER (PARTITION BY id0 % {CHUNKS} ORDER BY frac_max DESC, id0, id1) AS rank
+
+def _ranked(n: int) -> str:
+    ids = _ids(n - 1)
+    return _samples() + _grams(n) + _prefixes(n) + f"""
+SELECT CAST(id0 % {CHUNKS} AS INTEGER) AS id0_chunk, {ids},
+       row_number() OVER (PARTITION BY id0 % {CHUNKS} ORDER BY frac_max DESC, {ids}) AS rank
 FROM prefixes"""
 
 
+def _exported(n: int) -> str:
+    """Counts of the tables of one width, each from its own statement."""
+    base = _samples() + _grams(n) + _prefixes(n) + _top(n)
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({base} SELECT '{name}_{n}' AS name, count(*) AS n_rows,"
+        f" CAST(sum({column}) AS BIGINT) AS total FROM {table})"
+        for name, table, column in (
+            ("ngrams", "grams", "count"), ("prefixes", "prefixes", "sum_count"),
+            ("top", "top", "sum_count"),
+        )
+    )
+
+
+
 # Bytes from one leading byte to the next are a character, if the row holds all of it.
 DECODED = """,
 bytes AS (
@@ -369,7 +391,10 @@ FROM (SELECT DISTINCT 0 AS position, id0 AS id FROM grams
       UNION ALL SELECT DISTINCT 1, id1 FROM grams
       UNION ALL SELECT DISTINCT 2, id2 FROM grams) LEFT JOIN vocab USING (id)
 GROUP BY position""",
-    "prefix_rank_in_chunk": _samples() + _grams(3) + _prefixes(3) + RANKED,
+    "prefix_rank_in_chunk": _ranked(3),
+    "fourgram_prefix_rank_in_chunk": _ranked(4),
+    "top_bigrams_scored": _scored(2),
+    "top_trigrams_scored": _scored(3),
     "score_bigrams_by_slice": _score(2),
     "score_trigrams_by_slice": _score(3),
     "scan_windows": _samples()
@@ -395,11 +420,23 @@ FROM tri t JOIN short USING (id1, id2) JOIN ctx USING (id0, id1)""",
 (SELECT *, row_number() OVER (ORDER BY p_long DESC, text, shard, batch, sample, start) AS rank
  FROM firsts)""",
     "pending_shards": f"""
-SELECT CAST(shard AS INTEGER) AS shard FROM range({SHARDS}) t(shard)
-WHERE shard NOT IN (SELECT doc_id % {SHARDS} FROM documents WHERE doc_id % {SHARDS} < {SHARDS // 2})""",
+SELECT DISTINCT CAST(doc_id % {SHARDS} AS INTEGER) AS shard FROM documents
+WHERE doc_id % {SHARDS} >= {SHARDS // 2}""",
     "shard_completeness": f"""
-SELECT CAST(shard AS INTEGER) AS shard FROM range({SHARDS + 2}) t(shard)
-WHERE shard NOT IN (SELECT doc_id % {SHARDS} FROM documents)""",
+SELECT DISTINCT CAST(doc_id % {SHARDS} AS INTEGER) AS shard FROM documents
+WHERE doc_id % {SHARDS} >= {SHARDS // 2}""",
+    "export_all": _exported(2)
+    + " UNION ALL "
+    + _exported(3)
+    + " UNION ALL SELECT * FROM ("
+    + _base()
+    + " SELECT 'tokens' AS name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS total FROM vocab)"
+    + " UNION ALL SELECT * FROM ("
+    + _scan_base()
+    + METRICS
+    + EXAMPLES
+    + FIRSTS
+    + " SELECT 'scan_filter' AS name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS total FROM firsts)",
     "export_roundtrip": _count_rows(2, extra=_CHUNK),
     "stream_bigrams": _count_rows(2),
     "stream_pack": _samples() + ROWS + " SELECT * FROM rows",

@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretoken.operators import scan
-from foretoken.operators.control import FINISHED, mark_finished, read_manifest
-from foretoken.operators.encoding import encode_documents
+from foretoken.operators.control import (
+    FINISHED,
+    build_pending_shards,
+    mark_finished,
+    read_manifest,
+    require_complete,
+)
+from foretoken.operators.encoding import encode_documents, encode_with, token_table
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.packing import pack_nowrap, pack_wrap
-from foretoken.operators.prefixes import add_tokens, by_fraction, next_token_prefixes, predictive
+from foretoken.operators.prefixes import add_tokens, by_count, by_fraction, next_token_prefixes, predictive
+from foretoken.operators.scoring import score_by_model, score_by_slice
 from foretoken.operators.vocabulary import token_counts, vocabulary
-from foretoken.session import shared_folder
+from foretoken.session import remove_folder, shared_folder
 from foretoken.settings import Settings
-from foretoken.sources.samples import read_samples, write_samples
-from foretoken.sources.tables import read_chunks, write_chunked, write_table
+from foretoken.sources.documents import shard_range
+from foretoken.sources.samples import cap_batches, cap_per_shard, read_samples
+from foretoken.sources.tables import read_chunks, write_chunked, write_ranked, write_table
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer of the caller's: how to make its encoder in a task, the text of every id, and the
+    ids that mark a document's ends. ``name`` tells versions apart."""
+
+    name: str
+    make_encoder: Callable[[], Callable[[list[str]], list[list[int]]]]
+    texts: Sequence[str]
+    begin: Sequence[int]
+    end: Sequence[int]
+
+
+def fingerprint(documents: DataFrame) -> str:
+    """Changes with the plan that makes the documents or with the files that it reads.
+
+    Documents that come from no file are told apart by their rows, in one pass over them.
+    """
+    spark = documents.sparkSession
+    parts = [documents._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
+    files = sorted(documents.inputFiles())
+    conf = spark._jsc.sc().hadoopConfiguration()
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    if not files:
+        rows = documents.agg(
+            F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in documents.columns)}))")
+        )
+        parts = [str(tuple(rows.first()))]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
 class Pipeline:
@@ -25,8 +68,9 @@ class Pipeline:
 
     ``documents`` is ``(shard, doc_id, text, *extra)``. Every table is computed when first asked
     for, written, and read back by whatever needs it next: a lost executor repeats one job's tasks
-    and not the jobs before it. In a folder of the caller's, tables an earlier run finished are
-    used as they are.
+    and not the jobs before it. In a folder of the caller's, tables that an earlier run finished
+    with the same settings, tokenizer and documents are used as they are, and token rows go on at
+    the shards that it left; anything else is built again.
     """
 
     def __init__(
@@ -36,29 +80,52 @@ class Pipeline:
         settings: Settings | None = None,
         folder: str | None = None,
         wrap: bool = True,
+        tokenizer: Tokenizer | None = None,
     ) -> None:
         self.spark = spark
-        self.documents = documents
         self.settings = settings or Settings()
+        self.documents = shard_range(
+            documents, self.settings.n_shards, self.settings.begin_shard, self.settings.end_shard
+        )
         self.folder = folder or shared_folder(spark)
         self.wrap = wrap
+        self.tokenizer = tokenizer
         self._written: set[str] = set()
-        self._resumable = folder is not None
-        if self._resumable:
-            done = read_manifest(spark, self.path("manifest"), "name STRING")
+        self._made_from = None
+        if folder is not None:
+            own = f"{self.settings} {wrap} {tokenizer and tokenizer.name} {fingerprint(self.documents)}"
+            self._made_from = hashlib.sha256(own.encode()).hexdigest()
             # A handful of table names.
-            self._written = {row.name for row in done.where(f"status = '{FINISHED}'").collect()}
+            done = read_manifest(spark, self.path("manifest"), "name STRING, made_from STRING")
+            ours = done.where((F.col("status") == FINISHED) & (F.col("made_from") == self._made_from))
+            self._written = {row.name for row in ours.collect()}
+            others = done.where(F.col("made_from") != self._made_from).limit(1).collect()
+            if others:
+                # What other settings or documents left must not be taken for ours, now or later.
+                self._written = set()
+                for name in ("manifest", "samples", "samples_manifest"):
+                    remove_folder(spark, self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def _once(self, name: str, write: Callable[[str], None]) -> str:
+    def _mark(self, name: str) -> None:
+        if self._made_from is not None:
+            mark_finished(
+                self.spark,
+                self.path("manifest"),
+                [(name, self._made_from)],
+                "name STRING, made_from STRING",
+            )
+
+    def _once(self, name: str, write: Callable[[str], object]) -> str:
         path = self.path(name)
         if name not in self._written:
+            if not self._written:
+                self._mark("")  # from here on the folder holds tables of ours
             write(path)
             self._written.add(name)
-            if self._resumable:
-                mark_finished(self.spark, self.path("manifest"), [name], "name STRING")
+            self._mark(name)
         return path
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -66,27 +133,51 @@ class Pipeline:
 
     def tokens(self) -> DataFrame:
         # At most 65,536 rows: one file.
-        return self._table(
-            "tokens",
-            lambda: vocabulary(token_counts(self.documents), self.settings.vocab_size).coalesce(1),
-        )
+        def build():
+            if self.tokenizer:
+                return token_table(self.spark, self.tokenizer.texts).coalesce(1)
+            return vocabulary(token_counts(self.documents), self.settings.vocab_size).coalesce(1)
+
+        return self._table("tokens", build)
 
     def encoded(self) -> DataFrame:
-        return self._table("encoded", lambda: encode_documents(self.documents, self.tokens()))
+        def build():
+            if self.tokenizer:
+                own = self.tokenizer
+                return encode_with(self.documents, own.make_encoder, own.begin, own.end)
+            return encode_documents(self.documents, self.tokens())
+
+        return self._table("encoded", build)
 
     def samples(self) -> DataFrame:
-        pack = pack_wrap if self.wrap else pack_nowrap
-        path = self._once(
-            "samples",
-            lambda path: write_samples(pack(self.encoded(), self.settings.row_length), path),
-        )
-        return read_samples(self.spark, path)
+        """Token rows, built shard by shard where an earlier run stopped; none may be missing."""
+
+        def build(path: str) -> None:
+            length = self.settings.row_length
+            pack = pack_wrap if self.wrap else pack_nowrap
+            encoded = self.encoded()
+            build_pending_shards(
+                encoded,
+                lambda part: cap_per_shard(pack(part, length), self.settings.n_samples_per_shard),
+                path,
+                self.path("samples_manifest"),
+                self.settings.n_shards,
+                self.settings.shards_per_job,
+            )
+            full = encoded.groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") >= length)
+            require_complete(full.select("shard"), read_samples(self.spark, path))
+
+        return read_samples(self.spark, self._once("samples", build))
+
+    def _counted_rows(self) -> DataFrame:
+        limit = self.settings.batches
+        return cap_batches(self.samples(), self.settings.batch_size, limit).drop("batch")
 
     def ngrams(self, n: int) -> DataFrame:
         path = self._once(
             f"ngrams_{n}",
             lambda path: write_chunked(
-                ngram_counts(self.samples(), n), path, self.settings.id_chunks
+                ngram_counts(self._counted_rows(), n), path, self.settings.id_chunks
             ),
         )
         return read_chunks(self.spark, path)
@@ -117,6 +208,29 @@ class Pipeline:
             ),
         )
 
+    def scored(
+        self,
+        n: int,
+        slice_column: str | None = None,
+        slices: Sequence[str] = (),
+        models: dict[str, Callable] | None = None,
+    ) -> DataFrame:
+        """Published prefixes by falling ``sum_count``, their place as ``rank``, with a probability
+        of the last token under each slice of the corpus and each model of the caller's."""
+
+        def write(path: str) -> None:
+            table = self.top(n)
+            if slice_column:
+                table = score_by_slice(table, self.encoded(), slice_column, list(slices))
+            if models:
+                table = score_by_model(table, models)
+            ranked = write_ranked(by_count(table), f"{path}_sorted")
+            write_table(ranked, path)
+            remove_folder(self.spark, f"{path}_sorted")
+
+        told = "_".join([f"top_{n}_p", *([slice_column, *slices] if slice_column else []), *(models or {})])
+        return self.spark.read.parquet(self._once(told, write))
+
     def scan_metrics(self) -> DataFrame:
         length = self.settings.seq_len
         return scan.scan_metrics(
@@ -142,4 +256,22 @@ class Pipeline:
 
         if samples is not None:
             return scan.scan_top(found(samples))
-        return self._table("scan_filter", lambda: scan.scan_top(found(self.samples())))
+        return self._table("scan_filter", lambda: scan.scan_top(found(self._counted_rows())))
+
+    def export(self, folder: str, widths: Sequence[int] = (2, 3)) -> list[str]:
+        """Write all tables for publishing: n-grams, prefixes and published prefixes in folders by
+        chunk of their first id, tokens and the scan as they are. Returns the tables' names."""
+        names = []
+        for n in widths:
+            chunked = {
+                f"ngrams_{n}": self.ngrams(n).drop("id0_chunk"),
+                f"prefixes_{n}": self.prefixes(n),
+                f"top_{n}": self.top(n),
+            }
+            for name, table in chunked.items():
+                write_chunked(table, f"{folder}/{name}", self.settings.id_chunks)
+                names.append(name)
+        for name, table in (("tokens", self.tokens()), ("scan_filter", self.scan_filter())):
+            write_table(table, f"{folder}/{name}")
+            names.append(name)
+        return names

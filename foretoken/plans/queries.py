@@ -214,11 +214,13 @@ def token_lookup_misses(spark, sf):
     return prefixes.lookup_misses(_counts(p, 3), p.tokens())
 
 
-def prefix_rank_in_chunk(spark, sf):
-    p = pipeline(spark, sf)
-    return prefixes.rank_in_chunk(ngrams.with_chunk(p.prefixes(3), SMALL.id_chunks)).select(
-        "id0_chunk", "id0", "id1", "rank"
-    )
+def _rank_query(n: int):
+    def query(spark, sf):
+        table = pipeline(spark, sf).prefixes(n)
+        ranked = prefixes.rank_in_chunk(ngrams.with_chunk(table, SMALL.id_chunks))
+        return ranked.select("id0_chunk", *[f"id{k}" for k in range(n - 1)], "rank")
+
+    return query
 
 
 def _score_query(n: int):
@@ -267,26 +269,53 @@ def scan_top(spark, sf):
     return _rounded(_listed(ranked))
 
 
-def _marked_first_half(p: Pipeline) -> DataFrame:
-    """A manifest in which the lower half of the shards that have rows is finished."""
-    return (
-        p.samples()
-        .select("shard")
-        .distinct()
-        .where(F.col("shard") < SMALL.n_shards // 2)
-        .withColumn("status", F.lit(control.FINISHED))
+def _interrupted_build(p: Pipeline) -> tuple[str, str]:
+    """Token rows and manifest of a build that ends after the first half of its shards."""
+    path = _new_path(p, "interrupted")
+    control.build_pending_shards(
+        p.encoded(),
+        lambda part: packing.pack_wrap(part, SMALL.row_length),
+        f"{path}/samples",
+        f"{path}/manifest",
+        SMALL.n_shards,
+        shards_per_job=SMALL.n_shards // 2,
+        jobs=1,
     )
+    return f"{path}/samples", f"{path}/manifest"
 
 
 def pending_shards(spark, sf):
-    p = pipeline(spark, sf)
-    return control.pending(control.all_shards(spark, SMALL.n_shards), _marked_first_half(p))
+    _, manifest = _interrupted_build(pipeline(spark, sf))
+    return control.pending(
+        control.all_shards(spark, SMALL.n_shards), control.read_manifest(spark, manifest)
+    )
 
 
 def shard_completeness(spark, sf):
-    """Shards without rows when two more are expected than were built."""
+    """Shards that have documents and, after an interrupted build, no rows."""
+    p = pipeline(spark, sf)
+    samples, _ = _interrupted_build(p)
+    return control.missing(p.documents.select("shard").distinct(), rows.read_samples(spark, samples))
+
+
+def _scored_query(n: int):
+    return lambda spark, sf: _rounded(pipeline(spark, sf).scored(n, "lang", SLICES))
+
+
+def export_all(spark, sf):
+    """Rows of every published table, read back, and the sum of their counts where they have one."""
     p = pipeline(spark, sf)
-    return control.missing(control.all_shards(spark, SMALL.n_shards + 2), p.samples())
+    folder = _new_path(p, "export")
+    sums = {"ngrams": "count", "prefixes": "sum_count", "top": "sum_count"}
+    found = None
+    for name in p.export(folder):
+        column = sums.get(name.rsplit("_", 1)[0])
+        total = F.sum(column) if column else F.lit(None)
+        table = spark.read.parquet(f"{folder}/{name}").agg(
+            F.lit(name).alias("name"), F.count("*").alias("n_rows"), total.cast("bigint").alias("total")
+        )
+        found = table if found is None else found.unionByName(table)
+    return found
 
 
 def export_roundtrip(spark, sf):
@@ -372,9 +401,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_trigrams": _top_query(3),
     "top_trigrams_by_count": top_trigrams_by_count,
     "token_lookup_misses": token_lookup_misses,
-    "prefix_rank_in_chunk": prefix_rank_in_chunk,
+    "prefix_rank_in_chunk": _rank_query(3),
+    "fourgram_prefix_rank_in_chunk": _rank_query(4),
     "score_bigrams_by_slice": _score_query(2),
     "score_trigrams_by_slice": _score_query(3),
+    "top_bigrams_scored": _scored_query(2),
+    "top_trigrams_scored": _scored_query(3),
     "scan_windows": scan_windows,
     "next_token_dist": next_token_dist,
     "scan_metrics": scan_metrics,
@@ -385,6 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pending_shards": pending_shards,
     "shard_completeness": shard_completeness,
     "export_roundtrip": export_roundtrip,
+    "export_all": export_all,
     "stream_bigrams": stream_bigrams,
     "stream_pack": stream_pack,
     "conversation_bigrams": conversation_bigrams,

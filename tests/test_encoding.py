@@ -25,7 +25,7 @@ def documents(spark):
 @pytest.fixture(scope="module")
 def tokens(documents, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tokens"))
-    vocabulary(token_counts(documents), 50).write.mode("overwrite").parquet(path)
+    vocabulary(token_counts(documents), 270).write.mode("overwrite").parquet(path)
     return documents.sparkSession.read.parquet(path)
 
 
@@ -38,48 +38,77 @@ def test_vocabulary_is_dense_and_ordered(documents, tokens):
     rows = {r.id: r.token for r in tokens.collect()}
     assert sorted(rows) == list(range(len(rows)))
     assert rows[0] == "<|endoftext|>" and rows[1] == "<unk>"
+    assert (rows[2], rows[257]) == ("<0x00>", "<0xFF>")
     counts = {r.token: r["count"] for r in token_counts(documents).collect()}
     expected = sorted(counts, key=lambda t: (-counts[t], t.encode()))
-    assert [rows[i] for i in range(2, len(rows))] == expected
+    assert [rows[i] for i in range(258, len(rows))] == expected[: 270 - 258]
 
 
-@pytest.mark.parametrize("size", [3, 4, 5, 7, 9, 12])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 10])
 def test_cut_vocabulary_keeps_the_most_frequent(spark, size):
-    counts = {"a": 9, "b": 8, "c": 8, "d": 4, "e": 4, "f": 3, "g": 1, "h": 1, "i": 1}
+    counts = {"a": 9, "b": 8, "c": 8, "d": 4, "e": 4, "f": 3, "g": 1, "h": 1, "i": 1, "x" * 65: 99}
     table = spark.createDataFrame(list(counts.items()), "token string, count bigint")
-    got = {r.id: r.token for r in vocabulary(table, size).collect()}
-    expected = sorted(counts, key=lambda t: (-counts[t], t))[: size - 2]
-    assert [got[i + 2] for i in range(len(got) - 2)] == expected
+    got = {r.id: r.token for r in vocabulary(table, 258 + size).collect()}
+    expected = sorted(counts, key=lambda t: (-counts[t], t))[1 : 1 + size]
+    assert [got[i] for i in range(258, len(got))] == expected
 
 
-def test_lookup_and_join_encode_alike(documents, tokens):
-    by_lookup = encode_documents(documents, tokens).orderBy("doc_id").collect()
-    by_join = encode_documents(documents, tokens, lookup_bytes=0).orderBy("doc_id").collect()
-    assert by_lookup == by_join
-    assert by_lookup[1].ids == [0, 0] and by_lookup[1].n == 2
-    assert all(r.ids[0] == 0 and r.ids[-1] == 0 and r.n == len(r.ids) for r in by_lookup)
+def test_the_last_task_of_a_vocabulary_is_bounded(spark):
+    table = spark.range(20000).selectExpr("cast(id as string) as token", "1L as count").repartition(16)
+    plan = vocabulary(table, 260)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4
+    got = sorted((r.id, r.token) for r in vocabulary(table, 260).where("id >= 258").collect())
+    assert got == [(258, "0"), (259, "1")]
 
 
-@pytest.mark.parametrize("lookup_bytes", [1 << 20, 0])
-def test_decode_reverses_encode(documents, tokens, lookup_bytes):
-    encoded = encode_documents(documents, tokens)
-    decoded = decode_rows(encoded, tokens, "ids", "back", lookup_bytes).orderBy("doc_id")
-    assert [r.back for r in decoded.collect()] == [
+def test_ids_give_the_text_back(documents, tokens):
+    encoded = encode_documents(documents, tokens).orderBy("doc_id").collect()
+    assert encoded[1].ids == [0, 0] and encoded[1].n == 2
+    assert all(r.ids[0] == 0 and r.ids[-1] == 0 and r.n == len(r.ids) for r in encoded)
+    decoded = decode_rows(encode_documents(documents, tokens), tokens, "ids", "back")
+    assert [r.back for r in decoded.orderBy("doc_id").collect()] == [
         "<|endoftext|>" + t + "<|endoftext|>" for t in TEXTS
     ]
 
 
-def test_unknown_tokens_get_their_id(documents, tokens):
-    other = documents.withColumn("text", F.lit("the zebra"))
-    assert encode_documents(other, tokens).first().ids[2] == 1
+def test_unknown_tokens_are_spelled_in_bytes(documents, tokens):
+    other = documents.withColumn("text", F.lit("zèbra cat 日"))
+    row = encode_documents(other, tokens).first()
+    cat = tokens.where("token = ' cat'").first().id
+    spelled = [[2 + b for b in part.encode()] for part in ("zèbra", " 日")]
+    assert row.ids == [0, *spelled[0], cat, *spelled[1], 0]
 
 
-@pytest.mark.parametrize("lookup_bytes", [1 << 20, 0])
-def test_decoding_an_id_without_token_fails(spark, tokens, lookup_bytes):
+def test_equal_document_ids_stay_apart(spark, tokens):
+    same = spark.createDataFrame(
+        [(0, 5, " cat"), (0, 5, " zebra")], "shard int, doc_id bigint, text string"
+    )
+    got = sorted(r.n for r in encode_documents(same, tokens).collect())
+    assert got == [3, 2 + len(" zebra")]
+
+
+def test_bytes_of_a_cut_character_are_shown(spark, tokens):
+    word = [2 + b for b in "é日".encode()]
+    rows = spark.createDataFrame(
+        [(word,), (word[1:],), (word[:4],), ([258, word[0], 258],), (None,), ([],)], "tokens array<int>"
+    )
+    known = tokens.where("id = 258").first().token
+    got = [r.text for r in decode_rows(rows, tokens).collect()]
+    assert got == [
+        "é日", "<0xA9>日", "é<0xE6><0x97>", f"{known}<0xC3>{known}", None, ""
+    ]
+
+
+def test_decoding_an_id_without_token_fails(spark, tokens):
     rows = spark.createDataFrame([([2, 999],)], "tokens array<int>")
-    with pytest.raises(Exception) as caught:
-        decode_rows(rows, tokens, lookup_bytes=lookup_bytes).collect()
-    assert isinstance(caught.value, PythonException) or "no token" in str(caught.value)
+    with pytest.raises(Exception):
+        decode_rows(rows, tokens).collect()
+
+
+def test_a_table_too_large_for_every_task_is_refused(spark, documents, monkeypatch):
+    monkeypatch.setattr("foretoken.operators.encoding.TABLE_BYTES", 10)
+    with pytest.raises(ValueError, match="too many to hand to every task"):
+        decode_rows(documents, token_table(spark, ["abcdef", "ghijkl"]), "text")
 
 
 def test_id_range_counts_ids_that_do_not_fit(samples_of):
@@ -97,6 +126,16 @@ def test_tokenizer_of_the_caller(documents):
     assert got[1].ids == [1, 2, 3]
 
 
+def test_ids_over_16_bits_are_refused(documents):
+    with pytest.raises(PythonException, match="do not fit 16 bits"):
+        encode_with(documents, lambda: lambda texts: [[70000] for _ in texts], [], []).collect()
+
+
+def test_a_tokenizer_that_adds_marks_is_told(documents):
+    with pytest.warns(UserWarning, match="adds the begin mark by itself"):
+        encode_with(documents, lambda: lambda texts: [[1] for _ in texts], [1], [2])
+
+
 def test_public_byte_pair_encoding(spark, documents):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")

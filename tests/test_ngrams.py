@@ -56,3 +56,12 @@ def test_chunks_cover_all_occurrences(samples_of):
     sizes = chunk_sizes(ngram_counts(samples_of(rows), 2), 4).collect()
     assert sorted(r.id0_chunk for r in sizes) == [0, 1, 2, 3]
     assert sum(r.n_occurrences for r in sizes) == 60
+
+
+@pytest.mark.parametrize("row", [[70000, 5, 70000, 5], [1, 65536, 7, 1], [-1, 2, 3, 4]])
+def test_ids_that_do_not_fit_are_an_error(samples_of, row):
+    for n in (2, 3, 4):
+        with pytest.raises(Exception, match="do not fit 16 bits"):
+            ngram_counts(samples_of([row]), n).collect()
+    got = ngram_counts(samples_of([row * 2]), 5).collect()
+    assert sum(r["count"] for r in got) == 4 and any(min(row) in tuple(r) for r in got)

@@ -51,3 +51,21 @@ def test_stream_of_documents(spark, folder, encoded_of):
         start_packing(arriving, folder + "/out", folder + "/checkpoint", 8).awaitTermination()
     got = sorted(packed_rows(spark, folder + "/out").collect())
     assert got == sorted(pack_wrap(encoded, 8).collect())
+
+
+def test_a_document_without_ids_at_the_end_of_a_row(spark, folder):
+    schema = "shard int, doc_id bigint, ids array<int>, n int"
+    first = [(0, 0, [1, 2, 3, 4], 4), (0, 1, [], 0)]
+    second = [(0, 2, [], 0), (0, 3, [5, 6, 7, 8], 4)]
+    for k, part in enumerate((first, second)):
+        pack_micro_batch(spark.createDataFrame(part, schema), k, folder, 4)
+    got = sorted((r.sample, list(r.tokens)) for r in packed_rows(spark, folder).collect())
+    assert got == [(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8])]
+
+
+def test_a_late_document_is_an_error(spark, folder):
+    schema = "shard int, doc_id bigint, ids array<int>, n int"
+    pack_micro_batch(spark.createDataFrame([(0, 7, [1], 1), (1, 3, [1], 1)], schema), 0, folder, 4)
+    late = spark.createDataFrame([(0, 6, [2], 1), (1, 4, [2], 1)], schema)
+    with pytest.raises(ValueError, match="6 after 7 in shard 0"):
+        pack_micro_batch(late, 1, folder, 4)

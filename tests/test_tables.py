@@ -21,7 +21,14 @@ from foretoken.sources.samples import (
     read_samples,
     write_samples,
 )
-from foretoken.sources.tables import read_chunks, union_chunks, write_chunked, write_partials, write_table
+from foretoken.sources.tables import (
+    read_chunks,
+    union_chunks,
+    write_chunked,
+    write_partials,
+    write_ranked,
+    write_table,
+)
 
 
 def files(path):
@@ -85,6 +92,21 @@ def test_counting_a_batch_again_does_not_double(spark, folder, samples_of):
     assert spark.read.parquet(folder).agg(F.sum("count")).first()[0] == 8
 
 
+def test_a_rerun_batch_with_fewer_chunks_leaves_none_behind(spark, folder, samples_of):
+    write_partials(ngram_partials(samples_of([[1, 2, 3, 4]]), 2, 2, 8), folder)
+    write_partials(ngram_partials(samples_of([[1, 2]]), 2, 2, 8), folder)
+    assert spark.read.parquet(folder).agg(F.sum("count")).first()[0] == 1
+
+
+def test_ranks_of_a_sorted_table(spark, folder):
+    table = spark.range(5000).selectExpr("cast(hash(id) % 100 as int) as a", "id").repartition(7)
+    ranked = write_ranked(table.orderBy(F.desc("a"), "id"), folder)
+    got = [(r.a, r.id) for r in ranked.orderBy("rank").collect()]
+    assert got == sorted(((r.a, r.id) for r in table.collect()), key=lambda r: (-r[0], r[1]))
+    assert ranked.agg(F.max("rank"), F.countDistinct("rank")).first() == (5000, 5000)
+    assert write_ranked(table.where("false").orderBy("id"), folder).count() == 0
+
+
 def test_samples_come_back(spark, folder, encoded_of):
     samples = pack_wrap(encoded_of({0: [9, 9, 30], 2: [40]}), 8)
     write_samples(samples, folder)
@@ -147,6 +169,25 @@ def test_sources(spark):
     assert turns.count() == turns.select("doc_id").distinct().count()
 
 
+def test_any_turn_of_any_conversation_has_a_number(spark, folder):
+    rows = [(1, (1 << 20) + 5, "b"), (2, 5, "c"), (1, 0, "a"), (1 << 44, 1, "d")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").write.parquet(folder + "/c")
+    turns = read_conversations(spark, folder + "/c", 4).orderBy("doc_id").collect()
+    assert [r.text for r in turns] == ["a", "b", "c", "d"]
+    assert len({r.doc_id for r in turns}) == 4
+
+
+def test_an_interrupted_build_goes_on(spark, folder, encoded_of):
+    documents = encoded_of({k: [16] for k in range(5)})
+    paths = (folder + "/samples", folder + "/manifest")
+    build = lambda part: pack_wrap(part, 8)
+    assert build_pending_shards(documents, build, *paths, 5, shards_per_job=2, jobs=1) == 2
+    left = pending(all_shards(spark, 5), read_manifest(spark, paths[1])).collect()
+    assert sorted(r.shard for r in left) == [2, 3, 4]
+    assert build_pending_shards(documents, build, *paths, 5, shards_per_job=2) == 3
+    assert {r.shard for r in read_samples(spark, paths[0]).collect()} == set(range(5))
+
+
 def test_counts_have_partial_and_final_step(samples_of):
     plan = ngram_counts(samples_of([[1, 2]]), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "partial_count" in plan
