@@ -4,71 +4,88 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretoken.functions.ids import whole_part
 from foretoken.operators.running_total import running_total
+from foretoken.session import shared_folder
 
-# Documents per block and blocks per group when finding where each no-wrap row starts.
+# Documents per block when finding where each no-wrap row starts.
 DOCUMENT_BITS = 16
-BLOCK_GROUP_BITS = 12
 
 
-def _join_pieces(pieces: DataFrame) -> DataFrame:
-    """``(shard, sample, at, piece)`` to ``(shard, sample, tokens)``; at most one piece per token.
+# Document ids per block of the wrapping pack: neighbours whose rows are cut in one place.
+WRAP_BITS = 12
+# Bytes of block tables that one task of the no-wrap pack reads.
+TABLE_BYTES = 64 << 20
 
-    Pieces of a row rarely meet before the shuffle, so they are only collected after it.
-    """
+
+def _join_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, at, piece)`` to ``(*keys, at, tokens)``; at most one piece per token."""
     return (
-        pieces.repartition("shard", "sample")
-        .groupBy("shard", "sample")
+        pieces.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-        .select("shard", "sample", F.flatten("pieces.piece").alias("tokens"))
+        .select(*keys, F.get("pieces.at", F.lit(0)).alias("at"), F.flatten("pieces.piece").alias("tokens"))
     )
 
 
 def wrapped_rows(
-    encoded: DataFrame, row_length: int, carry: DataFrame | None = None
+    encoded: DataFrame,
+    row_length: int,
+    carry: DataFrame | None = None,
+    wrap_bits: int = WRAP_BITS,
 ) -> DataFrame:
     """All rows ``(shard, sample, tokens)``, with the unfinished last one of each shard.
 
     ``carry`` is ``(shard, total, ids)``: the tokens placed before these documents and the ids of
     the row they left unfinished.
+
+    Ids are shuffled once, to blocks of neighbouring documents. Inside a block the places of its
+    documents are a running total from the block's own start, which comes from the lengths alone,
+    and its rows are put together where they are. Only the rows that a block shares with its
+    neighbours, at most two, are shuffled once more.
     """
     # A document without ids has no place.
-    encoded = encoded.where("n > 0")
-    first = running_total(encoded.select("shard", "doc_id", "n"), "shard", "doc_id", "n", "first")
+    blocked = (
+        encoded.where("n > 0")
+        .select("shard", "doc_id", "ids", F.col("n").cast("bigint").alias("n"))
+        .withColumn("block", F.shiftright("doc_id", wrap_bits))
+    )
+    totals = blocked.groupBy("shard", "block").agg(F.sum("n").alias("total"))
+    starts = running_total(totals, "shard", "block", "total", "start").drop("total")
     if carry is not None:
-        first = first.join(carry.select("shard", "total"), "shard", "left").withColumn(
-            "first", F.col("first") + F.coalesce("total", F.lit(0))
+        starts = starts.join(carry.select("shard", "total"), "shard", "left").select(
+            "shard", "block", (F.col("start") + F.coalesce("total", F.lit(0))).alias("start")
         )
-    first = first.select("shard", "doc_id", "first")
-    # A document is sent as one piece per row it touches, not as single tokens.
+    before = (
+        Window.partitionBy("shard", "block")
+        .orderBy("doc_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = blocked.repartition("shard", "block").withColumn(
+        "inside", F.coalesce(F.sum("n").over(before), F.lit(0))
+    )
+    placed = inside.join(starts, ["shard", "block"]).withColumn(
+        "first", F.col("start") + F.col("inside")
+    )
+    # A document is cut into one piece per row it touches, not into single tokens.
+    touched = F.sequence(
+        whole_part("first", row_length), whole_part("(first + n - 1)", row_length)
+    )
     begin = F.col("sample") * row_length
     start = F.greatest(begin - F.col("first"), F.lit(0))
-    stop = F.least(begin + row_length - F.col("first"), F.col("n").cast("bigint"))
-    pieces = (
-        encoded.select("shard", "doc_id", "ids", "n")
-        .join(first, ["shard", "doc_id"])
-        .select(
-            "shard",
-            "ids",
-            "n",
-            "first",
-            F.explode(
-                F.sequence(
-                    whole_part("first", row_length), whole_part("(first + n - 1)", row_length)
-                )
-            ).alias("sample"),
-        )
-        .select(
-            "shard",
-            "sample",
-            F.greatest(F.col("first") - begin, F.lit(0)).cast("int").alias("at"),
-            F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"),
-        )
+    stop = F.least(begin + row_length - F.col("first"), F.col("n"))
+    pieces = placed.select("shard", "block", "ids", "n", "first", F.explode(touched).alias("sample")).select(
+        "shard",
+        "block",
+        "sample",
+        F.greatest(F.col("first") - begin, F.lit(0)).cast("int").alias("at"),
+        F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"),
     )
+    in_block = _join_pieces(pieces, ["shard", "block", "sample"])
+    whole = F.size("tokens") == row_length
+    shared = in_block.where(~whole).select("shard", "sample", "at", F.col("tokens").alias("piece"))
     if carry is not None:
         left_over = carry.where(F.size("ids") > 0).select(
             "shard",
@@ -76,20 +93,22 @@ def wrapped_rows(
             F.lit(0).alias("at"),
             F.col("ids").alias("piece"),
         )
-        pieces = pieces.unionByName(left_over)
-    return _join_pieces(pieces)
+        shared = shared.unionByName(left_over)
+    finished = in_block.where(whole).select("shard", "sample", "tokens")
+    return finished.unionByName(_join_pieces(shared, ["shard", "sample"]).drop("at"))
 
 
-def pack_wrap(encoded: DataFrame, row_length: int) -> DataFrame:
+def pack_wrap(encoded: DataFrame, row_length: int, wrap_bits: int = WRAP_BITS) -> DataFrame:
     """Documents run on from row to row within a shard; its last ``< row_length`` ids are dropped."""
-    return wrapped_rows(encoded, row_length).where(F.size("tokens") == row_length)
+    rows = wrapped_rows(encoded, row_length, wrap_bits=wrap_bits)
+    return rows.where(F.size("tokens") == row_length)
 
 
 def pack_nowrap(
     encoded: DataFrame,
     row_length: int,
     document_bits: int = DOCUMENT_BITS,
-    block_group_bits: int = BLOCK_GROUP_BITS,
+    block_group_bits: int | None = None,
 ) -> DataFrame:
     """Like :func:`pack_wrap`, but what is left of a document once its row is full is discarded."""
     placed = nowrap_places(
@@ -105,14 +124,16 @@ def pack_nowrap(
             F.slice("ids", F.lit(1), F.least(F.col("n"), row_length - F.col("at"))).alias("piece"),
         )
     )
-    return _join_pieces(pieces).where(F.size("tokens") == row_length)
+    # Pieces of a row rarely meet before the shuffle, so they are only collected after it.
+    joined = _join_pieces(pieces.repartition("shard", "sample"), ["shard", "sample"])
+    return joined.drop("at").where(F.size("tokens") == row_length)
 
 
 def nowrap_places(
     lengths: DataFrame,
     row_length: int,
     document_bits: int = DOCUMENT_BITS,
-    block_group_bits: int = BLOCK_GROUP_BITS,
+    block_group_bits: int | None = None,
 ) -> DataFrame:
     """``(shard, doc_id, sample, at)``: the row and offset at which each document lands.
 
@@ -120,8 +141,11 @@ def nowrap_places(
     single task, each block of documents is first reduced to a table "fill before -> fill after,
     rows finished" over the ``row_length`` possible fills. Tables chain, so one pass over the block
     tables gives the fill at the start of every block and the blocks are then walked in parallel.
-    Blocks hold 2**16 documents and groups 2**12 blocks, whatever the ids and the size of the shard.
+    Blocks hold 2**16 documents, whatever the ids and the size of the shard, and groups as many
+    blocks as have ``TABLE_BYTES`` of tables. Block tables are written once and read by both passes.
     """
+    if block_group_bits is None:
+        block_group_bits = max(1, (TABLE_BYTES // (12 * row_length)).bit_length() - 1)
     ranked = running_total(
         lengths.withColumn("one", F.lit(1).cast("bigint")), "shard", "doc_id", "one", "rank"
     ).select(
@@ -148,9 +172,13 @@ def nowrap_places(
             fills = np.asarray(after)[fills]
         return _one_row(group, ["shard", "block_group"], fills, finished)
 
-    blocks = ranked.groupBy("shard", "block_group", "block").applyInPandas(
+    summaries = ranked.groupBy("shard", "block_group", "block").applyInPandas(
         summarise_documents, f"shard int, block_group bigint, block bigint, {table}"
     )
+    spark = lengths.sparkSession
+    path = shared_folder(spark)
+    summaries.write.option("compression", "zstd").parquet(path)
+    blocks = spark.read.schema(summaries.schema).parquet(path)
     groups = blocks.groupBy("shard", "block_group").applyInPandas(
         summarise_blocks, f"shard int, block_group bigint, {table}"
     )

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -29,10 +31,10 @@ def dense(rows):
     return True
 
 
-def check(encoded_of, shards, row_length, **options):
+def check(encoded_of, shards, row_length, wrap_bits=5, **options):
     encoded = encoded_of(shards)
     for wrap, got in (
-        (True, pack_wrap(encoded, row_length)),
+        (True, pack_wrap(encoded, row_length, wrap_bits)),
         (False, pack_nowrap(encoded, row_length, **options)),
     ):
         want = {s: by_loop(n, row_length, wrap) for s, n in shards.items()}
@@ -64,6 +66,32 @@ def test_like_a_plain_loop(encoded_of, shards):
     check(encoded_of, shards, 8, document_bits=2, block_group_bits=1)
 
 
+def test_ids_are_shuffled_once(spark, encoded_of):
+    encoded = encoded_of({0: [5, 40, 3, 9] * 20, 1: [7] * 30})
+    for key, value in (
+        ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")
+    ):
+        spark.conf.set(key, value)
+    try:
+        plan = pack_wrap(encoded, 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_block = re.findall(r"- Exchange hashpartitioning\(shard#\d+, block#\d+L, \d+\), REPARTITION", plan)
+    assert len(by_block) == 1
+    # The rows that blocks share, and nothing else, go by row.
+    by_row = re.findall(r"- Exchange hashpartitioning\(shard#\d+, sample#\d+L, \d+\)", plan)
+    assert len(by_row) == 1
+
+
+def test_sparse_ids_and_a_hot_shard(spark):
+    rows = [(0, k << 40, [k % 7] * (k % 11 + 1), k % 11 + 1) for k in range(200)]
+    encoded = spark.createDataFrame(rows, "shard int, doc_id bigint, ids array<int>, n int")
+    flat = [i for _, _, ids, _ in rows for i in ids]
+    got = packed(pack_wrap(encoded, 8))[0]
+    assert got == [flat[i : i + 8] for i in range(0, len(flat) - 7, 8)]
+
+
 def test_hot_shard_is_spread_over_blocks(encoded_of):
     lengths = [(7 * k) % 23 + 2 for k in range(600)]
     encoded = encoded_of({0: lengths, 1: [3, 9]}).select("shard", "doc_id", "n")
