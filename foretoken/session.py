@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -46,11 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     It lies below the folder named in ``spark.checkpoint.dir``, or else below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/foretoken-{uuid.uuid4().hex}"
-    atexit.register(remove_folder, spark, folder)
+    parent = named or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{parent.rstrip('/')}/foretoken-{uuid.uuid4().hex}"
+    atexit.register(_remove_if_possible, spark, folder)
     return folder
 
 
+def _remove_if_possible(spark: SparkSession, folder: str) -> None:
+    # At exit the JVM may be gone already.
+    with contextlib.suppress(Exception):
+        remove_folder(spark, folder)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete ``folder`` through Spark's file system; a session that has ended leaves it."""
     if spark.sparkContext._jsc is None:
