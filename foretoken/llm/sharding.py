@@ -19,18 +19,25 @@ BUNDLES, FINE_SHARE = 4096, 16
 LARGE, SPLIT = 1 / 32, 1 / 4
 
 
-def pack_vectors(weights: np.ndarray, shards: int) -> np.ndarray:
+# How much more the measure of the law counts in the dot product than each of the others.
+LAW_WEIGHT = 4.0
+
+
+def pack_vectors(
+    weights: np.ndarray, shards: int, importance: tuple[float, ...] | None = None
+) -> np.ndarray:
     """The shard of every unit: largest first, where its dot product with the room left is highest.
 
-    ``weights`` has a row for each unit; every column is scaled to shares of one shard. Ties go to
-    the lowest shard.
+    ``weights`` has a row for each unit; every column is scaled to shares of one shard and counts
+    by its ``importance``, by default alike. Ties go to the lowest shard.
     """
     totals = weights.sum(axis=0)
     scaled = weights * np.divide(shards, totals, out=np.zeros(len(totals)), where=totals > 0)
     room = np.ones((shards, weights.shape[1]))
+    count = np.ones(weights.shape[1]) if importance is None else np.array(importance)
     placed = np.zeros(len(weights), np.int64)
     for unit in np.argsort(-scaled.max(axis=1, initial=0.0), kind="stable"):
-        best = int(np.argmax(room @ scaled[unit]))
+        best = int(np.argmax(room @ (count * scaled[unit])))
         placed[unit] = best
         room[best] -= scaled[unit]
     return placed
@@ -90,7 +97,7 @@ def shard_documents(
     where = spark.createDataFrame(
         [
             (row["named"], row["unit"], int(shard))
-            for row, shard in zip(units, pack_vectors(weights, shards))
+            for row, shard in zip(units, pack_vectors(weights, shards, (LAW_WEIGHT, 1.0, 1.0)))
         ],
         "at_named bigint, at_unit bigint, shard int",
     )

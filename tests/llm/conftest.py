@@ -38,6 +38,3 @@ def no_documents(odd_documents):
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
-
-def by_key(rows, key="doc_id"):
-    return {row[key]: row for row in rows}
