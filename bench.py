@@ -20,6 +20,7 @@ QUERY_NAMES = [
     "encoded_documents",
     "pack_wrap",
     "pack_nowrap",
+    "decoded_documents",
     "decode_samples",
     "ngram_partials",
     "bigrams",
@@ -29,7 +30,9 @@ QUERY_NAMES = [
     "trigram_prefixes",
     "top_bigrams",
     "top_trigrams",
+    "top_trigrams_scored",
     "prefix_rank_in_chunk",
+    "fourgram_prefix_rank_in_chunk",
     "score_bigrams_by_slice",
     "score_trigrams_by_slice",
     "scan_windows",
