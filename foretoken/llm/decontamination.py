@@ -63,6 +63,7 @@ class Item:
     words: list[str]
     shingles: list[tuple[str, ...]]
     answered: int  # shingles from here on hold a word of the answer
+    unmarked: Item | None = None  # the same without the words of its answer mark
 
     def overlaps(self, found: set[tuple[str, ...]]) -> tuple[float, float, float]:
         """Shares of the question's, the answer's and all shingles."""
@@ -101,12 +102,20 @@ def greatest_loss(weights: np.ndarray, n_shingles: int, lost: int) -> float:
 
 
 def make_item(key: int | None, text: str) -> Item | None:
+    """An item as it stands, its answer mark included as documents have it, and without the mark."""
     asked, answered = question_and_answer(text)
-    words = asked + answered
-    if not words:
+
+    def of(words: list[str]) -> Item:
+        shingles = shingles_of(words)
+        first = len(words) - len(answered)
+        return Item(key, words, shingles, max(0, min(len(shingles), first - SHINGLE + 1)))
+
+    if not asked + answered:
         return None
-    shingles = shingles_of(words)
-    return Item(key, words, shingles, max(0, min(len(shingles), len(asked) - SHINGLE + 1)))
+    item = of(words_of(text))
+    if item.words != asked + answered:
+        item.unmarked = of(asked + answered)
+    return item
 
 
 @dataclass
@@ -118,14 +127,19 @@ class Index:
     holds an item has a score of at least 1 for it, and retrieval loses none.
     """
 
-    items: list[Item]
+    items: list[Item]  # with a second form for those with an answer mark
+    rows: list[int] = field(default_factory=list)  # equal for both forms of an item
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     bounds: np.ndarray | None = None  # the greatest weight of a term in each block; last row: none
 
     def __post_init__(self) -> None:
         # Neighbours in a block should share terms; length is a cheap stand-in.
-        self.items.sort(key=lambda item: (len(item.words), item.words))
+        forms = [
+            (form, row) for row, item in enumerate(self.items) for form in (item, item.unmarked) if form
+        ]
+        forms.sort(key=lambda one: (len(one[0].words), one[0].words))
+        self.items, self.rows = [form for form, _ in forms], [row for _, row in forms]
         counts = [Counter(item.words) for item in self.items]
         lengths = [len(item.words) for item in self.items]
         mean = sum(lengths) / max(1, len(lengths))
@@ -246,6 +260,7 @@ class Searcher:
         reach = np.add.reduceat(index.bounds[cells % none], first, axis=0).max(axis=1)
         ends = np.append(first[1:], len(cells))
         best: dict[int, tuple] = {}
+        keys: dict[int, int | None] = {}
         for k in np.flatnonzero(reach >= 1.0 - 1e-4).tolist():
             retrieved = index.search((cells[first[k] : ends[k]] % none).tolist())
             if not retrieved:
@@ -258,10 +273,12 @@ class Searcher:
                 seen = set(zip(*[words[j:] for j in range(size)]))
                 asked, answered, whole = item.overlaps(seen)
                 if whole >= OVERLAP - 1e-9 and min(asked, answered) >= PART:
-                    row = (whole, asked, answered, score)
-                    best[i] = max(row, best.get(i, row))
+                    one = (whole, asked, answered, score)
+                    row = index.rows[i]
+                    keys[row] = item.key
+                    best[row] = max(one, best.get(row, one))
         return sorted(
-            ((index.items[i].key, score, q, a, whole) for i, (whole, q, a, score) in best.items()),
+            ((keys[row], score, q, a, whole) for row, (whole, q, a, score) in best.items()),
             key=lambda row: (row[0] is not None, row[0] or 0, row[1:]),
         )
 

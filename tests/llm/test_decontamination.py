@@ -140,3 +140,17 @@ def test_a_large_benchmark_is_searched_in_parts(odd_documents, spark, monkeypatc
     found = {(r.doc_id, r.item_id) for r in find_contamination(odd_documents, benchmark).collect()}
     assert {i for k, i in found if k == 2} == {0, 2, 4, 6}
     assert {i for k, i in found if k == 8} == {1, 3, 5}
+
+
+@pytest.mark.parametrize("mark", ["Answer:", "A:", "answer :", "A:the"])
+def test_copies_of_marked_items(mark):
+    question = "What is the name of the river that runs through the middle of the old city today?"
+    item = f"{question} {mark} Seine"
+    index = Index([make_item(4, item), make_item(5, "Which dog sat on the mat? A: the small brown one")])
+    searcher = Searcher(index)
+    around = " ".join(f"w{i}" for i in range(40))
+    ((key, _, *overlaps),) = searcher.find(f"{around} {item} {around}")
+    assert key == 4 and overlaps == [1.0, 1.0, 1.0]
+    unmarked = f"{question} {mark.partition(':')[2]} Seine" if mark == "A:the" else f"{question} Seine"
+    assert [row[0] for row in searcher.find(f"{around} {unmarked} {around}")] == [4]
+    assert searcher.find(f"{around} {question} {around}") == []
