@@ -1,5 +1,29 @@
 """SQL for the queries that SQL can express."""
 
+from foretoken.llm.licences import NOTICES, all_texts
+
+_LOWERED = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+
+def _licence_tables() -> str:
+    """Words of all notices and phrases by place, and which phrases a notice must have."""
+    held = [words for words, _ in all_texts(NOTICES)]
+    words = ", ".join(
+        f"({n}, {i}, '{w}')" for n, text in enumerate(held) for i, w in enumerate(text.split())
+    )
+    notices = ", ".join(
+        f"({n}, '{x.label}', {x.base}, {x.share})" for n, x in enumerate(NOTICES)
+    )
+    phrases = ", ".join(
+        f"({n}, {held.index(p, len(NOTICES))})" for n, x in enumerate(NOTICES) for p in x.phrases
+    )
+    return f"""
+held(notice, place, word) AS (VALUES {words}),
+notices(notice, label, base, least) AS (VALUES {notices}),
+mandatory(notice, phrase) AS (VALUES {phrases})"""
+
 ORACLE = {
     "op1_embedding_dedup": r"""
 WITH RECURSIVE usable AS (
@@ -52,5 +76,85 @@ SELECT conv_id,
            || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10))) AS BIGINT)
            AS formatted_chars
 FROM turns GROUP BY conv_id
+""",
+    "op12_collocations": rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS MATERIALIZED (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spoken, range(1, 5) t(k))
+    GROUP BY ALL
+),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+),
+cuts AS (
+    SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS lower, array_to_string(w[c + 1 :], ' ') AS upper
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, a, p.f AS l, q.f AS r,
+           CAST(2000000 * CAST(a AS HUGEINT) // (p.f + q.f) AS BIGINT) AS score
+    FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = lower
+    JOIN f q ON q.lang = cuts.lang AND q.phrase = upper
+    QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1
+),
+parts AS (
+    SELECT DISTINCT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < k)
+),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+    FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+    WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op13_licences": rf"""
+WITH {_licence_tables()},
+texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+spoken AS MATERIALIZED (
+    SELECT r, word, spot FROM (
+        SELECT r, unnest(w) AS word, unnest(range(len(w))) AS spot FROM texts)
+    WHERE word IN (SELECT word FROM held)
+),
+weights AS (
+    SELECT word, ln((SELECT count(*) + 1 FROM texts) / (count(DISTINCT r) + 1)) + 0.01 AS weight
+    FROM (SELECT DISTINCT word FROM held) LEFT JOIN spoken USING (word) GROUP BY word
+),
+weighed AS (SELECT notice, place, word, weight FROM held JOIN weights USING (word)),
+whole AS (SELECT notice, sum(weight) AS total, count(*) AS size FROM weighed GROUP BY notice),
+matched AS MATERIALIZED (
+    SELECT r, notice, start, size, n = size AS complete, CASE WHEN n = size THEN 1.0 ELSE got / total END AS share
+    FROM (SELECT r, notice, spot - place AS start, count(*) AS n, sum(weight) AS got
+          FROM spoken JOIN weighed USING (word) GROUP BY ALL) JOIN whole USING (notice)
+),
+found AS (
+    SELECT m.r, n.label, n.base, m.start, m.share FROM matched m JOIN notices n USING (notice)
+    WHERE (m.complete OR m.share >= n.least AND n.least < 1)
+      AND NOT EXISTS (
+        SELECT 1 FROM mandatory x WHERE x.notice = m.notice AND NOT EXISTS (
+            SELECT 1 FROM matched p WHERE p.r = m.r AND p.notice = x.phrase AND p.complete
+              AND p.start >= m.start AND p.start + p.size <= m.start + m.size))
+),
+told AS (
+    SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+           max(start) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+    FROM found GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       floor(coalesce(score, 0.0) * 1e6 + 0.5) / 1e6 AS score
+FROM texts LEFT JOIN told USING (r)
 """,
 }

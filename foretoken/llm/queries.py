@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from foretoken.llm.alignment import alignment_digests
 from foretoken.llm.chat_format import conversation_digests, format_conversations
+from foretoken.llm.collocations import mine_collocations
 from foretoken.llm.common import read_table
 from foretoken.llm.decontamination import find_contamination
 from foretoken.llm.embedding_dedup import embedding_components
 from foretoken.llm.language import identify_languages
 from foretoken.llm.language_model import language_model_scores
+from foretoken.llm.licences import find_notices, licence_labels
 from foretoken.llm.oracle import ORACLE
 from foretoken.llm.sequence_packing import pack_documents
 from foretoken.llm.sharding import shard_documents
@@ -76,6 +79,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(given.unionAll(told)))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_labels(find_notices(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language": op2_language,
@@ -87,4 +106,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,
     "op10_chat_format": op10_chat_format,
+    "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_licences": op13_licences,
 }
