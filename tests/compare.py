@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from foretoken.session import build_session  # noqa: E402
 
-TABLES = "documents conversations".split()
+TABLES = "documents conversations embeddings".split()
 
 
 def rows_of(columns, records):
