@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretoken.llm.common import Scratch, partitions
+from foretoken.llm.common import Scratch
 
 WORDS = 4
 LEAST = 30
@@ -26,12 +26,13 @@ TOP = 2000
 UNKNOWN_LANGUAGE = "und"
 # Bytes of text whose runs are added up before they are sent.
 CHUNK_BYTES = 8 << 20
-# Parts of the key space for each shuffle partition: one part is added up at a time.
-PARTS = 4
+# Bytes of text for each part of the key space; a part is added up in one place, and one with more
+# rows than SPLIT_ROWS is dealt out further.
+PART_BYTES = 8 << 20
+SPLIT_ROWS = 1 << 22
 # Links of one path that are put together in one row.
 PATH_ROWS = 1 << 10
 
-BLOB_SCHEMA = "part int, done boolean, runs binary, counts binary"
 # White space inside a piece, and what ends a piece.
 TO_BLANK, TO_END = "\t", ".,;:!?\n\x0b\x0c\r"
 SEPARATORS = bytes.maketrans(
@@ -57,7 +58,7 @@ def _words(buffer: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 class Runs:
-    """Distinct runs of words with counts: a language and up to ``width`` words as codes, 0 for none."""
+    """Distinct runs of words with counts: a language and up to four words as codes, 0 for none."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, names: list[bytes]) -> None:
         # names[0] stands for no word.
@@ -80,56 +81,85 @@ class Runs:
         """Runs without the last of their words: what flows through the node where each begins."""
         return Runs(self.codes[:, :-1], self.counts, self.names).added_up()
 
-    def blobs(self, parts: int, done: bool) -> Iterator[tuple[int, bool, bytes, bytes]]:
-        """Rows to ship, one for each part of the key space: lines of words, and their counts."""
-        if not len(self.codes):
-            return
+    def hashed(self, columns: int) -> np.ndarray:
+        """A number below 2**63 from the language and the first words of each run."""
         own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], np.uint64)
         own[0] = 0
         key = np.zeros(len(self.codes), np.uint64)
-        for k in range(self.codes.shape[1]):
+        for k in range(columns):
             key = (key ^ own[self.codes[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        part = (key % np.uint64(parts)).astype(np.int64)
+        return (key >> np.uint64(1)).astype(np.int64)
+
+    def rows(self, part: np.ndarray) -> pa.RecordBatch:
+        """Rows to ship, one for each value of ``part``: its words, and its runs as codes of them."""
+        if not len(self.codes):
+            return pa.RecordBatch.from_pylist([], schema=RUNS)
         # Neighbours that begin alike compress well.
         order = np.lexsort((*self.codes[:, :3].T[::-1], part))
         part, codes, counts = part[order], self.codes[order], self.counts[order]
+        names = np.array(self.names, object)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            here = np.zeros(len(names), bool)
+            here[codes[a:b]] = True
+            here[0] = True
+            own = (np.cumsum(here) - 1).astype(np.uint32)[codes[a:b]].T
+            words = b"\n".join(names[here][1:].tolist())
+            own = own.astype("<u2") if here.sum() < 1 << 16 else own
+            out.append((int(part[a]), b - a, *map(_packed, (words, own.tobytes(), counts[a:b].astype("<i8").tobytes()))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*out), RUNS)], schema=RUNS
+        )
+
+    def phrases(self) -> pa.RecordBatch:
+        """Runs as text, with their language."""
+        langs = {code: unquote(self.names[code][1:].decode()) for code in np.unique(self.codes[:, 0]).tolist()}
         names = pa.array(self.names, pa.large_binary())
         spaced = pa.array([b"", *[b" " + w for w in self.names[1:]]], pa.large_binary())
-        columns = [names.take(pa.array(codes[:, 0]))]
-        columns += [spaced.take(pa.array(codes[:, k])) for k in range(1, codes.shape[1])]
-        end, nothing = (pa.scalar(b, pa.large_binary()) for b in (b"\n", b""))
-        lines = pc.binary_join_element_wise(*columns, end, nothing)
-        offsets = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1]
-        text = memoryview(lines.buffers()[2])
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(part[a]), done, _packed(text[offsets[a] : offsets[b]]), _packed(counts[a:b].astype("<i8").tobytes())
+        columns = [names.take(pa.array(self.codes[:, 1]))]
+        columns += [spaced.take(pa.array(self.codes[:, k])) for k in range(2, self.codes.shape[1])]
+        text = pc.binary_join_element_wise(*columns, pa.scalar(b"", pa.large_binary()))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([langs[c] for c in self.codes[:, 0].tolist()], pa.string()),
+                pa.array(self.sizes(), pa.int32()),
+                text.cast(pa.binary()).cast(pa.string()),
+                pa.array(self.counts, pa.int64()),
+            ],
+            ["lang", "size", "phrase", "f"],
+        )
 
 
-def _packed(raw) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(bytes(raw), codec="zstd", asbytes=True)
+RUNS = pa.schema(
+    [("part", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())]
+)
 
 
-def _unpacked(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _coded(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Codes from 1 of a buffer's words, where each word begins, and the words by code."""
-    words, starts = _words(buffer)
-    coded = words.dictionary_encode()
-    return coded.indices.to_numpy() + 1, starts, [b"", *coded.dictionary.to_pylist()]
+def _unpacked(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
 def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> Runs:
     """The longest run from every place of some texts; a language is a word with its name quoted."""
     buffer = np.frombuffer(b"\n".join([*[t.translate(SEPARATORS) for t in texts], b""]), np.uint8)
-    codes, starts, names = _coded(buffer)
+    words, starts = _words(buffer)
+    coded = words.dictionary_encode()
+    # Codes in the order of the words: neighbours in a list of words compress well.
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(1, len(order) + 1)
+    codes, names = rank[coded.indices.to_numpy()], [b"", *coded.dictionary.take(pa.array(order)).to_pylist()]
     piece = np.cumsum(buffer == 10)[starts]
     ends = np.cumsum([len(t) + 1 for t in texts])
     known = {name: len(names) + i for i, name in enumerate(dict.fromkeys(langs))}
-    names += [name.encode() for name in known]
+    names += [b"=" + quote(name, safe="").encode() for name in known]
     language = np.array([known[name] for name in langs], np.int64)[np.searchsorted(ends, starts, "right")]
     n = len(codes)
     table = np.zeros((n, width + 1), np.int32)
@@ -139,100 +169,130 @@ def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> R
     return Runs(table, np.ones(n, np.int64), names).added_up()
 
 
-def runs_of_blobs(runs: list[bytes], counts: list[bytes], width: int) -> Runs:
+def runs_of_rows(rows: pa.RecordBatch | pa.Table, width: int = WORDS) -> Runs:
     """The runs of several rows that were shipped, equal ones added up."""
-    buffer = np.frombuffer(b"".join(map(_unpacked, runs)), np.uint8)
-    codes, starts, names = _coded(buffer)
-    lines = np.flatnonzero(buffer == 10)
-    line = np.searchsorted(lines, starts)
-    first = np.searchsorted(starts, np.concatenate([[0], lines[:-1] + 1]))
-    table = np.zeros((len(lines), width + 1), np.int32)
-    table[line, np.arange(len(codes)) - first[line]] = codes
-    total = np.concatenate([np.frombuffer(_unpacked(c), "<i8") for c in counts])
-    return Runs(table, total, names).added_up()
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-    columns = list(zip(*rows)) or [[]] * 4
-    names = ["part", "done", "runs", "counts"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    words, codes, counts, starts = [], [], [], [0]
+    columns = [rows.column(c).to_pylist() for c in ("n", "words", "codes", "counts")]
+    for n, own_words, own_codes, own_counts in zip(*columns):
+        words.extend(_unpacked(own_words).split(b"\n"))
+        raw = _unpacked(own_codes)
+        short = len(raw) == 2 * n * (width + 1)
+        codes.append(np.frombuffer(raw, "<u2" if short else "<u4").reshape(width + 1, n).T)
+        counts.append(np.frombuffer(_unpacked(own_counts), "<i8"))
+        starts.append(len(words))
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    to = coded.indices.to_numpy() + 1
+    table = np.concatenate(
+        [np.concatenate([[0], to[a:b]]).astype(np.int32)[c] for a, b, c in zip(starts[:-1], starts[1:], codes)]
+    )
+    return Runs(table, np.concatenate(counts), [b"", *coded.dictionary.to_pylist()]).added_up()
 
 
 def _edge_maker(parts: int, chunk_bytes: int):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts, held = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            runs = runs_of_texts(langs, texts)
+            # All runs that begin with the same two words go to one part.
+            return runs.rows(runs.hashed(3) % parts)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                langs.append("=" + quote(lang, safe=""))
+                langs.append(lang)
                 texts.append(text.as_buffer().to_pybytes())
                 held += len(texts[-1]) + 1
                 if held >= chunk_bytes:
-                    yield _batch(list(runs_of_texts(langs, texts).blobs(parts, False)))
+                    yield made()
                     langs, texts, held = [], [], 0
         if texts:
-            yield _batch(list(runs_of_texts(langs, texts).blobs(parts, False)))
+            yield made()
 
     return edges
 
 
-def _level(width: int, least: int, parts: int):
-    """Add up one part of the runs of up to ``width`` words; what was found already goes through.
+def _splitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deal the runs of large parts out by their third word."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            runs = runs_of_rows(row)
+            dealt = runs.rows(runs.hashed(4) % row.column("splits")[0].as_py())
+            part = pa.array([row.column("part")[0].as_py()] * dealt.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part, *dealt.columns[1:], dealt.column("part")], schema=SPLIT_RUNS)
+
 
-    A part that ended with a piece before it had ``width`` words waits for its own level.
+SPLIT_RUNS = RUNS.append(pa.field("split", pa.int64()))
+
+
+def _counter(least: int):
+    """Add up the runs of one part, then what flows through its nodes, word by word.
+
+    Runs of three and four words are complete here. Those of two may be spread over the splits of a
+    part, and words over all parts: what a part has of them is added up afterwards.
     """
 
-    def summed(table: pa.Table) -> pa.Table:
-        if table.column("done")[0].as_py():
-            return table
-        runs = runs_of_blobs(table.column("runs").to_pylist(), table.column("counts").to_pylist(), width)
-        found = runs.where((runs.sizes() == width) & ((runs.counts >= least) | (width == 0)))
-        rows = list(found.blobs(parts, True))
-        if width:
-            rows += runs.shortened().blobs(parts, False)
-        return pa.Table.from_batches([_batch(rows)])
+    def counted(table: pa.Table) -> pa.Table:
+        runs = runs_of_rows(table)
+        whole = table.column("splits")[0].as_py() == 1
+        out = []
+        for width in range(WORDS, 0, -1):
+            found = runs.where(runs.sizes() == width)
+            if width > 2 or (width == 2 and whole):
+                found = found.where(found.counts >= least)
+            out.append(found.phrases())
+            runs = runs.shortened() if width > 1 else runs
+        return pa.Table.from_batches(out)
 
-    return summed
+    return counted
 
 
 def phrase_counts(
     documents: DataFrame,
+    scratch: Scratch,
     least: int = LEAST,
     lang: str = "lang",
     text: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
-) -> DataFrame:
-    """``(lang, size, phrase, f)``: all phrases of up to four words that occur ``least`` times or more.
-
-    Words are joined by a space. A row of size 0 holds the number of all words of a language.
+    part_bytes: int = PART_BYTES,
+    split_rows: int = SPLIT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(lang, size, phrase, f)`` of all phrases of up to four words that occur ``least`` times or
+    more, and ``(lang, n)``, the number of all words. Words are joined by a space.
+
+    A part of the key space holds all runs that begin with the same two words, so that counts of
+    four, three and two words come from one shuffle. A part of over ``split_rows`` runs, as that of
+    a pair of words with a third of all places, is dealt out by the third word.
     """
-    spark = documents.sparkSession
-    parts = PARTS * partitions(spark)
     given = documents.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    rows = given.mapInArrow(_edge_maker(parts, chunk_bytes), BLOB_SCHEMA)
-    for width in range(WORDS, -1, -1):
-        rows = rows.groupBy("part", "done").applyInArrow(_level(width, least, parts), BLOB_SCHEMA)
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for runs, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                lines = [line.split(" ", 1) for line in _unpacked(runs).decode().split("\n")[:-1]]
-                phrases = [line[1] if len(line) > 1 else "" for line in lines]
-                columns = [
-                    [unquote(line[0][1:]) for line in lines],
-                    pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()),
-                    phrases,
-                    pa.array(np.frombuffer(_unpacked(counts), "<i8")),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in columns],
-                    ["lang", "size", "phrase", "f"],
-                )
-
-    return rows.mapInArrow(listed, "lang string, size int, phrase string, f bigint")
+    # One number.
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // part_bytes))
+    runs = "part bigint, n bigint, words binary, codes binary, counts binary"
+    edges = scratch.store(given.mapInArrow(_edge_maker(parts, chunk_bytes), runs), "edges")
+    large = (
+        edges.groupBy("part").agg(F.sum("n").alias("rows")).where(F.col("rows") > split_rows)
+        .select("part", F.ceil(F.col("rows") / split_rows * 2).cast("bigint").alias("splits"))
+    )
+    marked = edges.join(large, "part", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    whole = marked.where("splits = 1").withColumn("split", F.lit(0).cast("bigint"))
+    dealt = (
+        marked.where("splits > 1")
+        .mapInArrow(_splitter, f"{runs}, split bigint")
+        .withColumn("splits", F.lit(2).cast("bigint"))
+    )
+    partial = (
+        whole.unionByName(dealt)
+        .groupBy("part", "split")
+        .applyInArrow(_counter(least), "lang string, size int, phrase string, f bigint")
+    )
+    counted = scratch.store(partial.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")), "counts")
+    scratch.drop(edges)
+    totals = counted.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    return counted.where(F.col("f") >= least), totals
 
 
 def _part(first, last):
@@ -337,11 +397,8 @@ def mine_collocations(
     rows count again. Other columns are not read.
     """
     scratch = Scratch(documents.sparkSession)
-    found = phrase_counts(documents, least, lang, text, chunk_bytes)
-    counts = scratch.store(
-        found.select(F.monotonically_increasing_id().alias("id"), "*"), "phrases"
-    )
-    phrases = counts.where("size > 0").select("id", "lang", "size", "phrase", "f")
+    found, n = phrase_counts(documents, scratch, least, lang, text, chunk_bytes)
+    phrases = scratch.store(found.select(F.monotonically_increasing_id().alias("id"), "*"), "phrases")
     longer = phrases.where("size > 1").withColumn("words", F.split("phrase", " "))
     known = phrases.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"), F.col("id").alias("part_id"))
 
@@ -376,7 +433,6 @@ def mine_collocations(
     kept = lowest.join(dropped.withColumnRenamed("node", "id"), "id", "left").where(
         F.col("around").isNull() | (F.col("around").cast(wide) * 100 < F.col("a").cast(wide) * 80)
     )
-    n = counts.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     # The limit is applied in every task before a language's rows come together.
     ranked = (
