@@ -277,7 +277,8 @@ def phrase_counts(
         edges.groupBy("part").agg(F.sum("n").alias("rows")).where(F.col("rows") > split_rows)
         .select("part", F.ceil(F.col("rows") / split_rows * 2).cast("bigint").alias("splits"))
     )
-    marked = edges.join(large, "part", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    # At most one row for every SPLIT_ROWS runs of the corpus.
+    marked = edges.join(F.broadcast(large), "part", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
     whole = marked.where("splits = 1").withColumn("split", F.lit(0).cast("bigint"))
     dealt = (
         marked.where("splits > 1")
