@@ -64,12 +64,23 @@ class Runs:
         # names[0] stands for no word.
         self.codes, self.counts, self.names = codes, counts, names
 
+    def _summed(self, starts: np.ndarray, columns: int) -> Runs:
+        counts = np.add.reduceat(self.counts, starts) if len(starts) else self.counts
+        return Runs(self.codes[starts, :columns], counts, self.names)
+
     def added_up(self) -> Runs:
-        columns = {f"c{k}": self.codes[:, k] for k in range(self.codes.shape[1])}
-        table = pa.table({**columns, "n": self.counts})
-        total = table.group_by(list(columns), use_threads=False).aggregate([("n", "sum")])
-        codes = np.stack([total.column(name).to_numpy() for name in columns], axis=1)
-        return Runs(codes, total.column("n_sum").to_numpy(), self.names)
+        """Equal runs once, in the order of their codes."""
+        key, span = np.zeros(len(self.codes), np.int64), 1
+        for k in range(self.codes.shape[1]):
+            if span * len(self.names) > 1 << 62:
+                found, key = np.unique(key, return_inverse=True)
+                span = len(found)
+            key, span = key * len(self.names) + self.codes[:, k], span * len(self.names)
+        order = np.argsort(key)
+        key = key[order]
+        sorted_runs = Runs(self.codes[order], self.counts[order], self.names)
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+        return sorted_runs._summed(starts, self.codes.shape[1])
 
     def where(self, chosen: np.ndarray) -> Runs:
         return Runs(self.codes[chosen], self.counts[chosen], self.names)
@@ -78,8 +89,14 @@ class Runs:
         return (self.codes[:, 1:] != 0).sum(axis=1)
 
     def shortened(self) -> Runs:
-        """Runs without the last of their words: what flows through the node where each begins."""
-        return Runs(self.codes[:, :-1], self.counts, self.names).added_up()
+        """Runs without the last of their words: what flows through the node where each begins.
+
+        Runs are in the order of their codes, so that those that begin alike are neighbours.
+        """
+        columns = self.codes.shape[1] - 1
+        differs = (self.codes[1:, :columns] != self.codes[:-1, :columns]).any(axis=1)
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(self.codes), 1), bool), differs]))
+        return self._summed(starts, columns)
 
     def hashed(self, columns: int) -> np.ndarray:
         """A number below 2**63 from the language and the first words of each run."""
@@ -95,8 +112,8 @@ class Runs:
         """Rows to ship, one for each value of ``part``: its words, and its runs as codes of them."""
         if not len(self.codes):
             return pa.RecordBatch.from_pylist([], schema=RUNS)
-        # Neighbours that begin alike compress well.
-        order = np.lexsort((*self.codes[:, :3].T[::-1], part))
+        # Runs stay in their order inside a part: neighbours that begin alike compress well.
+        order = np.argsort(part, kind="stable")
         part, codes, counts = part[order], self.codes[order], self.counts[order]
         names = np.array(self.names, object)
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
@@ -156,7 +173,7 @@ def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> R
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     codes, names = rank[coded.indices.to_numpy()], [b"", *coded.dictionary.take(pa.array(order)).to_pylist()]
-    piece = np.cumsum(buffer == 10)[starts]
+    piece = np.searchsorted(np.flatnonzero(buffer == 10), starts)
     ends = np.cumsum([len(t) + 1 for t in texts])
     known = {name: len(names) + i for i, name in enumerate(dict.fromkeys(langs))}
     names += [b"=" + quote(name, safe="").encode() for name in known]
@@ -171,16 +188,16 @@ def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> R
 
 def runs_of_rows(rows: pa.RecordBatch | pa.Table, width: int = WORDS) -> Runs:
     """The runs of several rows that were shipped, equal ones added up."""
-    words, codes, counts, starts = [], [], [], [0]
+    words, codes, counts, starts = [pa.array([], pa.large_binary())], [], [], [0]
     columns = [rows.column(c).to_pylist() for c in ("n", "words", "codes", "counts")]
     for n, own_words, own_codes, own_counts in zip(*columns):
-        words.extend(_unpacked(own_words).split(b"\n"))
+        words.append(pa.array(_unpacked(own_words).split(b"\n"), pa.large_binary()))
         raw = _unpacked(own_codes)
         short = len(raw) == 2 * n * (width + 1)
         codes.append(np.frombuffer(raw, "<u2" if short else "<u4").reshape(width + 1, n).T)
         counts.append(np.frombuffer(_unpacked(own_counts), "<i8"))
-        starts.append(len(words))
-    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        starts.append(starts[-1] + len(words[-1]))
+    coded = pa.concat_arrays(words).dictionary_encode()
     to = coded.indices.to_numpy() + 1
     table = np.concatenate(
         [np.concatenate([[0], to[a:b]]).astype(np.int32)[c] for a, b, c in zip(starts[:-1], starts[1:], codes)]
