@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from foretoken.settings import ID_SPAN
 
+# Ids that fit one BIGINT.
+PACKED_IDS = 4
+
 
 def id_columns(n: int, start: int = 0) -> list[str]:
     return [f"id{k}" for k in range(start, start + n)]
@@ -31,16 +34,33 @@ def packed_ids(columns: list[str]) -> Column:
     return F.when(F.shiftrightunsigned(bits, 16) == 0, packed).otherwise(outside)
 
 
-def unpacked_ids(packed: str, n: int) -> list[Column]:
+def unpacked_ids(packed: str, n: int, start: int = 0) -> list[Column]:
     return [
         F.shiftright(packed, 16 * (n - 1 - k))
         .bitwiseAND(F.lit(ID_SPAN - 1))
         .cast("int")
-        .alias(f"id{k}")
+        .alias(f"id{start + k}")
         for k in range(n)
     ]
 
 
+def packed_key(columns: list[str], prefix: str = "ngram") -> list[Column]:
+    """Any number of ids as BIGINTs ``prefix0..`` of up to four ids each."""
+    return [
+        packed_ids(columns[k : k + PACKED_IDS]).alias(f"{prefix}{k // PACKED_IDS}")
+        for k in range(0, len(columns), PACKED_IDS)
+    ]
+
+
+def unpacked_key(n: int, prefix: str = "ngram") -> list[Column]:
+    """The ids ``id0..`` of a key of :func:`packed_key`."""
+    return [
+        column
+        for k in range(0, n, PACKED_IDS)
+        for column in unpacked_ids(f"{prefix}{k // PACKED_IDS}", min(PACKED_IDS, n - k), k)
+    ]
+
+
 def whole_part(value: str, size: int) -> Column:
     """Which run of ``size`` neighbours the value falls in, by integer division."""
     return F.expr(f"{value} div {size}")

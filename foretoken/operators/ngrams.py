@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretoken.functions.ids import chunk_of, id_columns, packed_ids, unpacked_ids, whole_part
-
-# N-grams up to this long are grouped by one BIGINT.
-PACKED_IDS = 4
+from foretoken.functions.ids import chunk_of, id_columns, packed_key, unpacked_key, whole_part
 
 
 def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens") -> DataFrame:
@@ -26,15 +23,14 @@ def ngrams(rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "t
 
 
 def _grouped(grams: DataFrame, n: int, keep: list[str], total: Column) -> DataFrame:
-    """Totals per n-gram. Up to ``PACKED_IDS`` ids are packed, and must fit 16 bits."""
-    if n > PACKED_IDS:
-        return grams.groupBy(*keep, *id_columns(n)).agg(total.alias("count"))
+    """Totals per n-gram. Ids are packed into BIGINTs, four in each, and must fit 16 bits."""
     others = [c for c in grams.columns if c not in id_columns(n)]
+    packed = grams.select(*others, *packed_key(id_columns(n)))
+    key = [c for c in packed.columns if c not in others]
     return (
-        grams.select(*others, packed_ids(id_columns(n)).alias("ngram"))
-        .groupBy(*keep, "ngram")
+        packed.groupBy(*keep, *key)
         .agg(total.alias("count"))
-        .select(*keep, *unpacked_ids("ngram", n), "count")
+        .select(*keep, *unpacked_key(n), "count")
     )
 
 

@@ -34,15 +34,24 @@ METRICS = [
 ]
 
 
-def windows(samples: DataFrame, seq_len: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(shard, sample, start, id0.., *keep)``: every long context; ``start`` is where the short
-    one begins. A row of L ids has ``L - seq_len`` of them."""
+def windows(samples: DataFrame, seq_len: int, context_ids: int | None = None) -> DataFrame:
+    """``(shard, sample, start, id0..)``: every long context; ``start`` is where the short one
+    begins. A row of L ids has ``L - seq_len`` of them.
+
+    With ``context_ids``, also the ids around it, that many on either side or up to the ends of the
+    row. They are cut out here, so that no later step moves a place's whole row.
+    """
+    around = []
+    if context_ids is not None:
+        begin = F.greatest(F.col("start") - context_ids, F.lit(0))
+        end = F.least(F.col("start") + seq_len + context_ids, F.size("tokens"))
+        around = [F.slice("tokens", begin + 1, end - begin).alias("context_ids")]
     starts = F.explode(F.sequence(F.lit(1), F.size("tokens") - seq_len)).alias("start")
     ids = [F.get("tokens", F.col("start") + (k - 1)).alias(f"id{k}") for k in range(seq_len + 1)]
     return (
         samples.where(F.size("tokens") > seq_len)
         .select("shard", "sample", "tokens", starts)
-        .select("shard", "sample", "start", *ids, *keep)
+        .select("shard", "sample", "start", *ids, *around)
     )
 
 
@@ -250,13 +259,13 @@ def scan_examples(
 ) -> DataFrame:
     """Every place of every hit, with its text, surroundings and metrics.
 
-    Rows are read once: surroundings are cut where the places are made, after the join with the
-    hits. Spark broadcasts the hits by their size on storage; a larger list is joined by a shuffle
-    of places, in which a context with a third of all places is split as a skewed partition.
+    Rows are read once, and a place brings the few ids around it to the join with the hits, not its
+    row. Spark broadcasts the hits by their size on storage; a larger list is joined by a shuffle of
+    places, in which a context with a third of all places is split as a skewed partition.
     """
     ids = _context_columns(hits)
-    found = windows(samples, len(ids) - 1, ("tokens",)).join(hits, ids)
-    return _describe(_with_surroundings(found, len(ids) - 1, context_ids), tokens, batch_size)
+    found = windows(samples, len(ids) - 1, context_ids).join(hits, ids)
+    return _describe(found, tokens, batch_size)
 
 
 def scan_filter(
@@ -264,24 +273,27 @@ def scan_filter(
 ) -> DataFrame:
     """The first place of every hit text, in the order of shard, sample and start.
 
-    The first place of each context is a minimum, taken before any row is moved; contexts that
-    share a text are few and compared afterwards.
+    The first place of each context, with the ids around it, is a minimum that is taken before any
+    row is moved: rows are read once. Contexts that share a text are few and compared afterwards.
     """
     ids = _context_columns(hits)
-    at = windows(samples, len(ids) - 1).select(*ids, _place().alias("place"))
-    firsts = at.join(hits.select(*ids), ids).groupBy(*ids).agg(F.min("place").alias("place"))
+    at = windows(samples, len(ids) - 1, context_ids).select(
+        *ids, F.struct(_place().alias("place"), "context_ids").alias("at")
+    )
+    firsts = at.join(hits.select(*ids), ids).groupBy(*ids).agg(F.min("at").alias("at"))
     text = _with_text(firsts.join(hits, ids), tokens, ids)
-    first_of_text = Window.partitionBy("text").orderBy("place")
+    first_of_text = Window.partitionBy("text").orderBy("at.place")
+    place = F.col("at.place")
     kept = (
         text.withColumn("nth", F.row_number().over(first_of_text))
         .where(F.col("nth") == 1)
-        .withColumn("shard", F.shiftright("place", 48).cast("int"))
-        .withColumn("sample", F.shiftright("place", 16).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
-        .withColumn("start", F.col("place").bitwiseAND(F.lit((1 << 16) - 1)).cast("int"))
-        .drop("nth", "place", "text")
+        .withColumn("shard", F.shiftright(place, 48).cast("int"))
+        .withColumn("sample", F.shiftright(place, 16).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
+        .withColumn("start", place.bitwiseAND(F.lit((1 << 16) - 1)).cast("int"))
+        .withColumn("context_ids", F.col("at.context_ids"))
+        .drop("nth", "at", "text")
     )
-    placed = kept.join(samples.select("shard", "sample", "tokens"), ["shard", "sample"])
-    return _describe(_with_surroundings(placed, len(ids) - 1, context_ids), tokens, batch_size)
+    return _describe(kept, tokens, batch_size)
 
 
 def _place() -> Column:
@@ -311,13 +323,6 @@ def _with_text(rows: DataFrame, tokens: DataFrame, ids: list[str]) -> DataFrame:
     return named.withColumn("text", _bracketed(F.col(names[0]), names[1:])).drop("seq", *names)
 
 
-def _with_surroundings(placed: DataFrame, seq_len: int, context_ids: int) -> DataFrame:
-    """Replace a place's row ``tokens`` by the ids around it; they end where the row ends."""
-    begin = F.greatest(F.col("start") - context_ids, F.lit(0))
-    end = F.least(F.col("start") + seq_len + context_ids, F.size("tokens"))
-    return placed.withColumn("context_ids", F.slice("tokens", begin + 1, end - begin)).drop("tokens")
-
-
 def _describe(placed: DataFrame, tokens: DataFrame, batch_size: int) -> DataFrame:
     """Add texts and batch to places ``(shard, sample, start, id0.., context_ids, metrics)``."""
     ids = [c for c in id_columns(64) if c in placed.columns]

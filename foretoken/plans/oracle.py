@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretoken.plans.queries import SLICES, SMALL
+from foretoken.plans.queries import SLICES, SMALL, WIDE_SEQ_LEN
 
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^ \t\n\r\f\x0B\p{L}\p{N}]+|[ \t\n\r\f\x0B]+"
 LENGTH = SMALL.row_length
@@ -12,6 +12,8 @@ BATCH = SMALL.batch_size
 SCAN_BATCH = SMALL.scan_batch_size
 AROUND = SMALL.context_ids
 MU = SMALL.backoff
+# Ids of a long context of the wide scan.
+WIDE = WIDE_SEQ_LEN + 1
 KEEP = SMALL.vocab_size - 258
 
 
@@ -174,53 +176,66 @@ def _scored(n: int) -> str:
     return f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({_score(n)})"
 
 
-SHORT = """,
+def _scan_base(n: int = 2) -> str:
+    """Counts after long contexts of ``n`` ids and short ones without the first."""
+    long, short = _ids(n), ", ".join(f"id{k}" for k in range(1, n))
+    shifted = ", ".join(f"id{k} AS id{k + 1}" for k in range(n))
+    return (
+        _samples()
+        + _grams(n, "bi")
+        + _grams(n + 1, "tri")
+        + f""",
 short AS MATERIALIZED (
-  SELECT id0 AS id1, id1 AS id2, count,
-         count / sum(count) OVER (PARTITION BY id0) AS p_short
-  FROM bi),
-ctx AS MATERIALIZED (SELECT id0, id1, CAST(sum(count) AS BIGINT) AS n FROM tri GROUP BY id0, id1)"""
-
-
-def _scan_base() -> str:
-    return _samples() + _grams(2, "bi") + _grams(3, "tri") + SHORT
+  SELECT *, count / sum(count) OVER (PARTITION BY {short}) AS p_short
+  FROM (SELECT {shifted}, count FROM bi)),
+ctx AS MATERIALIZED (SELECT {long}, CAST(sum(count) AS BIGINT) AS n FROM tri GROUP BY {long})"""
+    )
 
 
-# Sums over the tokens seen after a long context; those only its short context knows all keep the
-# same share r = mu / (n + mu) of their probability, so theirs are closed forms, and the likeliest of
-# them is among the first n_seen + 1 tokens of the short context.
-METRICS = f""",
+def _metrics(n: int = 2) -> str:
+    """Sums over the tokens seen after a long context; those only its short context knows all keep
+    the same share r = mu / (n + mu) of their probability, so theirs are closed forms, and the
+    likeliest of them is among the first n_seen + 1 tokens of the short context."""
+    long, last = _ids(n), f"id{n}"
+    short = ", ".join(f"id{k}" for k in range(1, n))
+    ours = ", ".join(f"m.id{k}" for k in range(n))
+    on_short = " AND ".join(f"r.id{k} = m.id{k}" for k in range(1, n))
+    on_long = " AND ".join(f"t.id{k} = m.id{k}" for k in range(n))
+    on_unseen = " AND ".join(f"u.id{k} = m.id{k}" for k in range(n))
+    return f""",
 ranked AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY p_short DESC, id2) AS place FROM short),
+  SELECT *, row_number() OVER (PARTITION BY {short} ORDER BY p_short DESC, {last}) AS place FROM short),
 seen AS MATERIALIZED (
-  SELECT t.id0, t.id1, t.id2, c.n, s.p_short AS ps,
+  SELECT {", ".join(f"t.id{k}" for k in range(n + 1))}, c.n, s.p_short AS ps,
          (t.count + {MU} * s.p_short) / (c.n + {MU}) AS pl
-  FROM tri t JOIN ctx c USING (id0, id1) JOIN short s USING (id1, id2)),
+  FROM tri t JOIN ctx c USING ({long}) JOIN short s USING ({short}, {last})),
 sums AS MATERIALIZED (
-  SELECT id0, id1, any_value(n) AS n, count(*) AS n_seen, sum(ps) AS mass, max(pl) AS best,
-         arg_max(id2, row(pl, -id2)) AS best_id, max(abs(ps - pl)) AS delta,
+  SELECT {long}, any_value(n) AS n, count(*) AS n_seen, sum(ps) AS mass, max(pl) AS best,
+         arg_max({last}, row(pl, -{last})) AS best_id, max(abs(ps - pl)) AS delta,
          sum((ps - pl) * (ln(ps) - ln(pl))) / 2 AS js, max(ln(pl) - ln(ps)) AS excite,
          max(ln(ps) - ln(pl)) AS inhibit
-  FROM seen GROUP BY id0, id1),
+  FROM seen GROUP BY {long}),
 unseen AS (
-  SELECT m.id0, m.id1, arg_min(r.id2, r.place) AS id2, max(r.p_short) AS ps
-  FROM sums m JOIN ranked r ON r.id1 = m.id1 AND r.place <= m.n_seen + 1
-  LEFT JOIN tri t ON t.id0 = m.id0 AND t.id1 = m.id1 AND t.id2 = r.id2
-  WHERE t.id2 IS NULL GROUP BY m.id0, m.id1),
+  SELECT {ours}, arg_min(r.{last}, r.place) AS other, max(r.p_short) AS ps
+  FROM sums m JOIN ranked r ON {on_short} AND r.place <= m.n_seen + 1
+  LEFT JOIN tri t ON {on_long} AND t.{last} = r.{last}
+  WHERE t.{last} IS NULL GROUP BY {ours}),
 metrics AS MATERIALIZED (
-  SELECT m.id0, m.id1, n AS n_context, r.p_short,
+  SELECT {ours}, n AS n_context, r.p_short,
          greatest(best, coalesce({MU} * u.ps / (n + {MU}), 0)) AS p_long,
          js + CASE WHEN u.ps IS NULL THEN 0 ELSE
            (1 - mass) * (1 - {MU} / (n + {MU})) * -ln({MU} / (n + {MU})) / 2 END AS js,
          greatest(delta, coalesce((1 - {MU} / (n + {MU})) * u.ps, 0)) AS p_delta_max,
          excite AS logit_excite_max,
          CASE WHEN u.ps IS NULL THEN inhibit ELSE -ln({MU} / (n + {MU})) END AS logit_inhibit_max,
-         r.id2 AS short_max_id,
+         r.{last} AS short_max_id,
          CASE WHEN {MU} * u.ps / (n + {MU}) > best
-                OR {MU} * u.ps / (n + {MU}) = best AND u.id2 < best_id
-              THEN u.id2 ELSE best_id END AS long_max_id
-  FROM sums m JOIN ranked r ON r.id1 = m.id1 AND r.place = 1
-  LEFT JOIN unseen u ON u.id0 = m.id0 AND u.id1 = m.id1)"""
+                OR {MU} * u.ps / (n + {MU}) = best AND u.other < best_id
+              THEN u.other ELSE best_id END AS long_max_id
+  FROM sums m JOIN ranked r ON {on_short} AND r.place = 1
+  LEFT JOIN unseen u ON {on_unseen})"""
+
+
 VALUES = [
     "p_short",
     "p_long",
@@ -230,30 +245,74 @@ VALUES = [
     "logit_inhibit_max",
 ]
 _VALUES = ", ".join(f"{_six(v)} AS {v}" for v in VALUES)
-_METRIC_ROWS = f"SELECT id0, id1, n_context, {_VALUES}, short_max_id, long_max_id FROM metrics"
+
+
+def _metric_rows(n: int = 2) -> str:
+    return f"\nSELECT {_ids(n)}, n_context, {_VALUES}, short_max_id, long_max_id FROM metrics"
+
+
 _HIT = "p_long > 0.5 AND js > 0.5"
 
-EXAMPLES = f""",
+def _spelled(source: str, keys: str, name: str) -> str:
+    """``name``: the text of each group of ``source (keys, cell, id)``.
+
+    Bytes from one leading byte to the next are a character, if the group holds all of it.
+    """
+    return f""",
+{name}_bytes AS (
+  SELECT *, id - 2 AS b, (id - 2) & 192 <> 128 AS leads,
+         cell - row_number() OVER (PARTITION BY {keys} ORDER BY cell) AS run
+  FROM {source} WHERE id BETWEEN 2 AND 257),
+{name}_grouped AS (
+  SELECT *, count(*) FILTER (leads) OVER (PARTITION BY {keys}, run ORDER BY cell) AS nth
+  FROM {name}_bytes),
+{name}_characters AS (
+  SELECT {keys}, min(cell) AS cell,
+         CASE WHEN bool_or(leads) AND count(*) = CASE WHEN min_by(b, cell) < 128 THEN 1
+                WHEN min_by(b, cell) < 224 THEN 2 WHEN min_by(b, cell) < 240 THEN 3 ELSE 4 END
+              THEN decode(unhex(string_agg(printf('%02X', b), '' ORDER BY cell)))
+              ELSE string_agg(printf('<0x%02X>', b), '' ORDER BY cell) END AS piece
+  FROM {name}_grouped GROUP BY {keys}, run, nth),
+{name} AS (
+  SELECT {keys}, string_agg(piece, '' ORDER BY cell) AS text
+  FROM (SELECT * FROM {name}_characters UNION ALL
+        SELECT {keys}, cell, token FROM {source} JOIN vocab USING (id)
+        WHERE id NOT BETWEEN 2 AND 257)
+  GROUP BY {keys})"""
+
+
+def _examples(n: int) -> str:
+    """Places of hits after contexts of ``n`` ids, with their text and surroundings."""
+    ids = [f"id{k}" for k in range(n)]
+    tokens = " || ".join(f"v{k}.token" for k in range(1, n))
+    joins = " ".join(f"JOIN vocab v{k} ON v{k}.id = f.id{k}" for k in range(n))
+    return f""",
 hits AS (SELECT * FROM metrics WHERE {_HIT}),
 spots AS MATERIALIZED (
-  SELECT shard, sample, cell, id0, id1 FROM ({_runs(2)})),
-found AS MATERIALIZED (SELECT s.*, h.* EXCLUDE (id0, id1) FROM spots s JOIN hits h USING (id0, id1)),
+  SELECT shard, sample, cell AS spot, {_ids(n)} FROM ({_runs(n)})),
+found AS MATERIALIZED (
+  SELECT s.*, h.* EXCLUDE ({_ids(n)}) FROM spots s JOIN hits h USING ({_ids(n)})),
+near AS MATERIALIZED (
+  SELECT f.shard, f.sample, f.spot, c.cell, c.id FROM found f
+  JOIN cells c ON c.shard = f.shard AND c.sample = f.sample
+   AND c.cell BETWEEN f.spot + 1 - {AROUND} AND f.spot + {n - 1 + AROUND}),
 around AS (
-  SELECT f.shard, f.sample, f.cell, string_agg(c.id, ' ' ORDER BY c.cell) AS context_ids,
-         string_agg(v.token, '' ORDER BY c.cell) AS context
-  FROM found f JOIN cells c ON c.shard = f.shard AND c.sample = f.sample
-   AND c.cell BETWEEN f.cell + 1 - {AROUND} AND f.cell + {1 + AROUND}
-  JOIN vocab v ON v.id = c.id GROUP BY f.shard, f.sample, f.cell),
+  SELECT shard, sample, spot, string_agg(id, ' ' ORDER BY cell) AS context_ids
+  FROM near GROUP BY shard, sample, spot){_spelled("near", "shard, sample, spot", "contexts")},
 examples AS MATERIALIZED (
-  SELECT '[' || v0.token || ']' || v1.token AS text, vs.token AS token_short,
-         vl.token AS token_long, p_short, p_long, js, f.id0 || ' ' || f.id1 AS long_ids,
-         short_max_id, long_max_id, context, context_ids, p_delta_max, logit_excite_max,
+  SELECT '[' || v0.token || ']' || {tokens} AS text, vs.token AS token_short,
+         vl.token AS token_long, p_short, p_long, js,
+         {" || ' ' || ".join(f"f.{c}" for c in ids)} AS long_ids,
+         short_max_id, long_max_id, c.text AS context, context_ids, p_delta_max, logit_excite_max,
          logit_inhibit_max, f.shard, f.sample // {SCAN_BATCH} AS batch,
-         f.sample % {SCAN_BATCH} AS sample, f.cell + 1 AS start
+         f.sample % {SCAN_BATCH} AS sample, f.spot + 1 AS start
   FROM found f
-  JOIN around a ON a.shard = f.shard AND a.sample = f.sample AND a.cell = f.cell
-  JOIN vocab v0 ON v0.id = f.id0 JOIN vocab v1 ON v1.id = f.id1
+  JOIN around a ON a.shard = f.shard AND a.sample = f.sample AND a.spot = f.spot
+  JOIN contexts c ON c.shard = f.shard AND c.sample = f.sample AND c.spot = f.spot
+  {joins}
   JOIN vocab vs ON vs.id = short_max_id JOIN vocab vl ON vl.id = long_max_id)"""
+
+
 FIRSTS = """,
 firsts AS (
   SELECT * FROM examples
@@ -282,30 +341,6 @@ def _exported(n: int) -> str:
     )
 
 
-
-# Bytes from one leading byte to the next are a character, if the row holds all of it.
-DECODED = """,
-bytes AS (
-  SELECT *, id - 2 AS b, (id - 2) & 192 <> 128 AS leads,
-         cell - row_number() OVER (PARTITION BY shard, sample ORDER BY cell) AS run
-  FROM cells WHERE id BETWEEN 2 AND 257),
-grouped AS (
-  SELECT *, count(*) FILTER (leads) OVER (PARTITION BY shard, sample, run ORDER BY cell) AS nth
-  FROM bytes),
-characters AS (
-  SELECT shard, sample, min(cell) AS cell,
-         CASE WHEN bool_or(leads) AND count(*) = CASE WHEN min_by(b, cell) < 128 THEN 1
-                WHEN min_by(b, cell) < 224 THEN 2 WHEN min_by(b, cell) < 240 THEN 3 ELSE 4 END
-              THEN decode(unhex(string_agg(printf('%02X', b), '' ORDER BY cell)))
-              ELSE string_agg(printf('<0x%02X>', b), '' ORDER BY cell) END AS piece
-  FROM grouped GROUP BY shard, sample, run, nth)
-SELECT shard, sample, string_agg(piece, '' ORDER BY cell) AS text
-FROM (SELECT * FROM characters UNION ALL
-      SELECT shard, sample, cell, token FROM cells JOIN vocab USING (id)
-      WHERE id NOT BETWEEN 2 AND 257)
-GROUP BY shard, sample"""
-
-
 def _count_rows(n: int, table: str = "documents", extra: str = "") -> str:
     return _samples(table) + _grams(n) + f"\nSELECT {_ids(n)}, count{extra} FROM grams"
 
@@ -353,7 +388,9 @@ GROUP BY shard, sample HAVING count(*) = {LENGTH}""",
     "batch_cap": _samples()
     + ROWS
     + f" SELECT *, CAST(sample // {BATCH} AS BIGINT) AS batch FROM rows WHERE sample < {2 * BATCH}",
-    "decode_samples": _samples() + DECODED,
+    "decode_samples": _samples()
+    + _spelled("cells", "shard, sample", "texts")
+    + " SELECT shard, sample, text FROM texts",
     "decoded_documents": "SELECT doc_id, text FROM documents",
     "id_range_check": _samples()
     + """
@@ -405,14 +442,22 @@ SELECT shard, sample, cell + 1 AS start, id0 || ' ' || id1 AS long_ids,
     + f"""
 SELECT id0, id1, id2, {_six("p_short")} AS p_short,
        {_six(f"(t.count + {MU} * p_short) / (n + {MU})")} AS p_long, n AS n_context
-FROM tri t JOIN short USING (id1, id2) JOIN ctx USING (id0, id1)""",
-    "scan_metrics": _scan_base() + METRICS + "\n" + _METRIC_ROWS,
-    "scan_hits": _scan_base() + METRICS + "\n" + _METRIC_ROWS + f" WHERE {_HIT}",
-    "scan_examples": _scan_base() + METRICS + EXAMPLES + "\n" + _EXAMPLE_ROWS + "examples",
-    "scan_filter": _scan_base() + METRICS + EXAMPLES + FIRSTS + "\n" + _EXAMPLE_ROWS + "firsts",
+FROM tri t JOIN short s USING (id1, id2) JOIN ctx USING (id0, id1)""",
+    "scan_metrics": _scan_base() + _metrics() + _metric_rows(),
+    "scan_hits": _scan_base() + _metrics() + _metric_rows() + f" WHERE {_HIT}",
+    "scan_examples": _scan_base() + _metrics() + _examples(2) + "\n" + _EXAMPLE_ROWS + "examples",
+    "scan_filter": _scan_base() + _metrics() + _examples(2) + FIRSTS + "\n" + _EXAMPLE_ROWS + "firsts",
+    "scan_metrics_wide": _scan_base(WIDE) + _metrics(WIDE) + _metric_rows(WIDE),
+    "scan_filter_wide": _scan_base(WIDE)
+    + _metrics(WIDE)
+    + _examples(WIDE)
+    + FIRSTS
+    + "\n"
+    + _EXAMPLE_ROWS
+    + "firsts",
     "scan_top": _scan_base()
-    + METRICS
-    + EXAMPLES
+    + _metrics()
+    + _examples(2)
     + FIRSTS
     + "\n"
     + _EXAMPLE_ROWS
@@ -433,8 +478,8 @@ WHERE doc_id % {SHARDS} >= {SHARDS // 2}""",
     + " SELECT 'tokens' AS name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS total FROM vocab)"
     + " UNION ALL SELECT * FROM ("
     + _scan_base()
-    + METRICS
-    + EXAMPLES
+    + _metrics()
+    + _examples(2)
     + FIRSTS
     + " SELECT 'scan_filter' AS name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS total FROM firsts)",
     "export_roundtrip": _count_rows(2, extra=_CHUNK),

@@ -231,24 +231,27 @@ class Pipeline:
         told = "_".join([f"top_{n}_p", *([slice_column, *slices] if slice_column else []), *(models or {})])
         return self.spark.read.parquet(self._once(told, write))
 
-    def scan_metrics(self) -> DataFrame:
-        length = self.settings.seq_len
+    def scan_metrics(self, seq_len: int | None = None) -> DataFrame:
+        length = seq_len or self.settings.seq_len
         return scan.scan_metrics(
             self.ngrams(length + 1).drop("id0_chunk"),
             self.ngrams(length + 2).drop("id0_chunk"),
             self.settings.backoff,
         )
 
-    def scan_hits(self) -> DataFrame:
-        return self._table("scan_hits", lambda: scan.scan_hits(self.scan_metrics()))
+    def scan_hits(self, seq_len: int | None = None) -> DataFrame:
+        length = seq_len or self.settings.seq_len
+        return self._table(f"scan_hits_{length}", lambda: scan.scan_hits(self.scan_metrics(length)))
 
-    def scan_filter(self, samples: DataFrame | None = None) -> DataFrame:
-        """Published scan result over all rows. That over other ``samples`` is not kept."""
+    def scan_filter(self, samples: DataFrame | None = None, seq_len: int | None = None) -> DataFrame:
+        """Published scan result over all rows, for short contexts of ``seq_len`` ids or of the
+        settings'. That over other ``samples`` is not kept."""
+        length = seq_len or self.settings.seq_len
 
         def found(rows: DataFrame) -> DataFrame:
             return scan.scan_filter(
                 rows,
-                self.scan_hits(),
+                self.scan_hits(length),
                 self.tokens(),
                 self.settings.scan_batch_size,
                 self.settings.context_ids,
@@ -256,7 +259,9 @@ class Pipeline:
 
         if samples is not None:
             return scan.scan_top(found(samples))
-        return self._table("scan_filter", lambda: scan.scan_top(found(self._counted_rows())))
+        return self._table(
+            f"scan_filter_{length}", lambda: scan.scan_top(found(self._counted_rows()))
+        )
 
     def export(self, folder: str, widths: Sequence[int] = (2, 3)) -> list[str]:
         """Write all tables for publishing: n-grams, prefixes and published prefixes in folders by

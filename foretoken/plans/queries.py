@@ -27,6 +27,8 @@ SMALL = Settings(
     seq_len=1,
     min_trigram_count=20,
 )
+# Ids of the short contexts of the scan at its full width.
+WIDE_SEQ_LEN = 4
 SLICES = ["de", "en", "es", "fr"]
 
 _pipelines: dict[tuple, Pipeline] = {}
@@ -263,6 +265,14 @@ def scan_filter(spark, sf):
     return _rounded(_listed(pipeline(spark, sf).scan_filter()))
 
 
+def scan_metrics_wide(spark, sf):
+    return _rounded(pipeline(spark, sf).scan_metrics(WIDE_SEQ_LEN))
+
+
+def scan_filter_wide(spark, sf):
+    return _rounded(_listed(pipeline(spark, sf).scan_filter(seq_len=WIDE_SEQ_LEN)))
+
+
 def scan_top(spark, sf):
     p = pipeline(spark, sf)
     ranked = tables.write_ranked(scan.scan_top(p.scan_filter()), _new_path(p, "scan_top"))
@@ -413,6 +423,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_hits": scan_hits,
     "scan_examples": scan_examples,
     "scan_filter": scan_filter,
+    "scan_metrics_wide": scan_metrics_wide,
+    "scan_filter_wide": scan_filter_wide,
     "scan_top": scan_top,
     "pending_shards": pending_shards,
     "shard_completeness": shard_completeness,
