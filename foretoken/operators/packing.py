@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +12,10 @@ from foretoken.functions.ids import whole_part
 from foretoken.operators.running_total import running_total
 from foretoken.session import shared_folder
 
-# Documents per block when finding where each no-wrap row starts.
-DOCUMENT_BITS = 16
-
-
-# Document ids per block of the wrapping pack: neighbours whose rows are cut in one place.
-WRAP_BITS = 12
+# Token ids that one block of neighbouring documents holds, and the most blocks there may be:
+# beyond that, blocks grow with the corpus.
+BLOCK_IDS = 1 << 22
+MOST_BLOCKS = 1 << 20
 # Bytes of block tables that one task of the no-wrap pack reads.
 TABLE_BYTES = 64 << 20
 
@@ -30,141 +29,187 @@ def _join_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def block_edges(lengths: DataFrame, block_ids: int | None = None) -> pd.DataFrame:
+    """``(shard, block, low, start)``: the first document of each block and the ids before it.
+
+    A shard's documents are cut where their running total of ids passes a multiple of ``block_ids``,
+    whatever the number of shards or the spread of ``doc_id``; only lengths are shuffled. The driver
+    gets one row for each block: ``MOST_BLOCKS`` and one for each shard at most.
+    """
+    given = lengths.where("n > 0").select("shard", "doc_id", F.col("n").cast("bigint").alias("n"))
+    if block_ids is None:
+        # One number.
+        total = given.agg(F.sum("n")).first()[0] or 0
+        block_ids = max(BLOCK_IDS, -(-total // MOST_BLOCKS))
+    placed = running_total(given, "shard", "doc_id", "n", "before")
+    edges = placed.groupBy("shard", whole_part("before", block_ids).alias("block")).agg(
+        F.min("doc_id").alias("low"), F.min("before").alias("start")
+    )
+    found = pd.DataFrame(
+        [tuple(r) for r in edges.collect()], columns=["shard", "block", "low", "start"]
+    )
+    return found.astype(np.int64).sort_values(["shard", "block"], ignore_index=True)
+
+
+def _blocked(encoded: DataFrame, edges: pd.DataFrame) -> DataFrame:
+    """Documents with ids, their block as ``(start, first, last)``: where it starts in its shard, and
+    whether no block of the shard comes before or after it. Only two numbers a document go to Python;
+    its ids stay where they are."""
+    # Edges in the order of (shard, low) are found by the shard's own stretch of them.
+    shared = encoded.sparkSession.sparkContext.broadcast(
+        tuple(edges[c].to_numpy() for c in ("shard", "low", "start"))
+    )
+
+    @F.pandas_udf("start bigint, first boolean, last boolean")
+    def block_of(shard: pd.Series, doc_id: pd.Series) -> pd.DataFrame:
+        shards, low, start = shared.value
+        own, inverse = np.unique(shard.to_numpy(), return_inverse=True)
+        begin, end = np.searchsorted(shards, own), np.searchsorted(shards, own, "right")
+        at, docs = np.empty(len(shard), np.int64), doc_id.to_numpy()
+        for k in range(len(own)):
+            mine = inverse == k
+            at[mine] = begin[k] + np.searchsorted(low[begin[k] : end[k]], docs[mine], "right") - 1
+        return pd.DataFrame(
+            {"start": start[at], "first": at == begin[inverse], "last": at == end[inverse] - 1}
+        )
+
+    return (
+        encoded.where("n > 0")
+        .select("shard", "doc_id", "ids", F.col("n").cast("bigint").alias("n"))
+        .withColumn("block", block_of("shard", "doc_id"))
+        .select("shard", "doc_id", "ids", "n", "block.*")
+    )
+
+
 def wrapped_rows(
     encoded: DataFrame,
     row_length: int,
     carry: DataFrame | None = None,
-    wrap_bits: int = WRAP_BITS,
+    block_ids: int | None = None,
 ) -> DataFrame:
     """All rows ``(shard, sample, tokens)``, with the unfinished last one of each shard.
 
     ``carry`` is ``(shard, total, ids)``: the tokens placed before these documents and the ids of
     the row they left unfinished.
 
-    Ids are shuffled once, to blocks of neighbouring documents. Inside a block the places of its
-    documents are a running total from the block's own start, which comes from the lengths alone,
-    and its rows are put together where they are. Only the rows that a block shares with its
-    neighbours, at most two, are shuffled once more.
+    Ids are shuffled once, to blocks of neighbouring documents of about the same number of ids.
+    Inside a block the places of its documents are a running total from the block's own start, which
+    comes from the lengths alone, and its rows are put together where they are. Only the row that a
+    block shares with the next is shuffled once more.
     """
-    # A document without ids has no place.
-    blocked = (
-        encoded.where("n > 0")
-        .select("shard", "doc_id", "ids", F.col("n").cast("bigint").alias("n"))
-        .withColumn("block", F.shiftright("doc_id", wrap_bits))
-    )
-    totals = blocked.groupBy("shard", "block").agg(F.sum("n").alias("total"))
-    starts = running_total(totals, "shard", "block", "total", "start").drop("total")
+    inside, shared = block_rows(encoded, row_length, carry, block_ids)
     if carry is not None:
-        starts = starts.join(carry.select("shard", "total"), "shard", "left").select(
-            "shard", "block", (F.col("start") + F.coalesce("total", F.lit(0))).alias("start")
+        left_over = carry.where(F.size("ids") > 0).select(
+            "shard",
+            whole_part("total", row_length).alias("sample"),
+            F.lit(0).alias("at"),
+            F.col("ids").alias("piece"),
         )
+        shared = shared.unionByName(left_over)
+    return inside.unionByName(_join_pieces(shared, ["shard", "sample"]).drop("at"))
+
+
+def block_rows(
+    encoded: DataFrame, row_length: int, carry: DataFrame | None = None, block_ids: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that lie inside a block, ``(shard, sample, tokens)``, and the pieces of all others,
+    ``(shard, sample, at, piece)``."""
+    placed = _blocked(encoded, block_edges(encoded.select("shard", "doc_id", "n"), block_ids))
     before = (
-        Window.partitionBy("shard", "block")
+        Window.partitionBy("shard", "start")
         .orderBy("doc_id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = blocked.repartition("shard", "block").withColumn(
-        "inside", F.coalesce(F.sum("n").over(before), F.lit(0))
-    )
-    placed = inside.join(starts, ["shard", "block"]).withColumn(
-        "first", F.col("start") + F.col("inside")
+    placed = placed.repartition("shard", "start").withColumn(
+        "place", F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0))
     )
+    if carry is not None:
+        # One row for each shard; the ids stay behind.
+        total = carry.select("shard", F.col("total").alias("_total"))
+        placed = placed.join(F.broadcast(total), "shard", "left").withColumn(
+            "place", F.col("place") + F.coalesce("_total", F.lit(0))
+        )
     # A document is cut into one piece per row it touches, not into single tokens.
-    touched = F.sequence(
-        whole_part("first", row_length), whole_part("(first + n - 1)", row_length)
-    )
+    touched = F.sequence(whole_part("place", row_length), whole_part("(place + n - 1)", row_length))
     begin = F.col("sample") * row_length
-    start = F.greatest(begin - F.col("first"), F.lit(0))
-    stop = F.least(begin + row_length - F.col("first"), F.col("n"))
-    pieces = placed.select("shard", "block", "ids", "n", "first", F.explode(touched).alias("sample")).select(
+    cut = F.greatest(begin - F.col("place"), F.lit(0))
+    stop = F.least(begin + row_length - F.col("place"), F.col("n"))
+    pieces = placed.select(
+        "shard", "start", "last", "ids", "n", "place", F.explode(touched).alias("sample")
+    ).select(
         "shard",
-        "block",
+        "start",
+        "last",
         "sample",
-        F.greatest(F.col("first") - begin, F.lit(0)).cast("int").alias("at"),
-        F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"),
+        F.greatest(F.col("place") - begin, F.lit(0)).cast("int").alias("at"),
+        F.slice("ids", (cut + 1).cast("int"), (stop - cut).cast("int")).alias("piece"),
+    )
+    in_block = _join_pieces(pieces, ["shard", "start", "last", "sample"])
+    # The last row of a shard is unfinished, but all of it is here.
+    inside = (F.size("tokens") == row_length) | (F.col("last") & (F.col("at") == 0))
+    return (
+        in_block.where(inside).select("shard", "sample", "tokens"),
+        in_block.where(~inside).select("shard", "sample", "at", F.col("tokens").alias("piece")),
     )
-    in_block = _join_pieces(pieces, ["shard", "block", "sample"])
-    whole = F.size("tokens") == row_length
-    shared = in_block.where(~whole).select("shard", "sample", "at", F.col("tokens").alias("piece"))
-    if carry is not None:
-        left_over = carry.where(F.size("ids") > 0).select(
-            "shard",
-            whole_part("total", row_length).alias("sample"),
-            F.lit(0).alias("at"),
-            F.col("ids").alias("piece"),
-        )
-        shared = shared.unionByName(left_over)
-    finished = in_block.where(whole).select("shard", "sample", "tokens")
-    return finished.unionByName(_join_pieces(shared, ["shard", "sample"]).drop("at"))
 
 
-def pack_wrap(encoded: DataFrame, row_length: int, wrap_bits: int = WRAP_BITS) -> DataFrame:
+def pack_wrap(encoded: DataFrame, row_length: int, block_ids: int | None = None) -> DataFrame:
     """Documents run on from row to row within a shard; its last ``< row_length`` ids are dropped."""
-    rows = wrapped_rows(encoded, row_length, wrap_bits=wrap_bits)
+    rows = wrapped_rows(encoded, row_length, block_ids=block_ids)
     return rows.where(F.size("tokens") == row_length)
 
 
 def pack_nowrap(
     encoded: DataFrame,
     row_length: int,
-    document_bits: int = DOCUMENT_BITS,
-    block_group_bits: int | None = None,
+    block_ids: int | None = None,
+    group_blocks: int | None = None,
 ) -> DataFrame:
-    """Like :func:`pack_wrap`, but what is left of a document once its row is full is discarded."""
-    placed = nowrap_places(
-        encoded.select("shard", "doc_id", "n"), row_length, document_bits, block_group_bits
-    )
-    pieces = (
-        encoded.select("shard", "doc_id", "ids", "n")
-        .join(placed, ["shard", "doc_id"])
-        .select(
-            "shard",
-            "sample",
-            "at",
-            F.slice("ids", F.lit(1), F.least(F.col("n"), row_length - F.col("at"))).alias("piece"),
-        )
+    """Like :func:`pack_wrap`, but what is left of a document once its row is full is discarded.
+
+    Ids are shuffled once, to their blocks, where documents are placed and rows put together; the
+    fill and row at which a block starts come from the lengths alone. Only the row that a block
+    shares with the next is shuffled once more.
+    """
+    edges = block_edges(encoded.select("shard", "doc_id", "n"), block_ids)
+    blocked = _blocked(encoded, edges)
+    starts = _block_starts(blocked.select("shard", "start", "doc_id", "n"), row_length, group_blocks)
+    schema = "shard int, sample bigint, at int, last boolean, tokens array<int>"
+
+    def cut(block: pa.Table) -> pa.Table:
+        return _cut_rows(block, row_length)
+
+    pieces = blocked.join(starts, ["shard", "start"]).groupBy("shard", "start").applyInArrow(cut, schema)
+    inside = (F.size("tokens") == row_length) | (F.col("last") & (F.col("at") == 0))
+    shared = pieces.where(~inside).select("shard", "sample", "at", F.col("tokens").alias("piece"))
+    return (
+        pieces.where(inside)
+        .select("shard", "sample", "tokens")
+        .unionByName(_join_pieces(shared, ["shard", "sample"]).drop("at"))
+        .where(F.size("tokens") == row_length)
     )
-    # Pieces of a row rarely meet before the shuffle, so they are only collected after it.
-    joined = _join_pieces(pieces.repartition("shard", "sample"), ["shard", "sample"])
-    return joined.drop("at").where(F.size("tokens") == row_length)
 
 
-def nowrap_places(
-    lengths: DataFrame,
-    row_length: int,
-    document_bits: int = DOCUMENT_BITS,
-    block_group_bits: int | None = None,
-) -> DataFrame:
-    """``(shard, doc_id, sample, at)``: the row and offset at which each document lands.
+def _block_starts(blocked: DataFrame, row_length: int, group_blocks: int | None = None) -> DataFrame:
+    """``(shard, start, sample0, fill0)``: the row, and how full it is, where each block starts.
 
     How full the row is after a document depends on all documents before it. To keep a shard off a
     single task, each block of documents is first reduced to a table "fill before -> fill after,
     rows finished" over the ``row_length`` possible fills. Tables chain, so one pass over the block
-    tables gives the fill at the start of every block and the blocks are then walked in parallel.
-    Blocks hold 2**16 documents, whatever the ids and the size of the shard, and groups as many
-    blocks as have ``TABLE_BYTES`` of tables. Block tables are written once and read by both passes.
+    tables gives the fill at the start of every block. Groups hold as many blocks as have
+    ``TABLE_BYTES`` of tables. Block tables are written once and read by both passes.
     """
-    if block_group_bits is None:
-        block_group_bits = max(1, (TABLE_BYTES // (12 * row_length)).bit_length() - 1)
-    ranked = running_total(
-        lengths.withColumn("one", F.lit(1).cast("bigint")), "shard", "doc_id", "one", "rank"
-    ).select(
-        "shard",
-        "doc_id",
-        "n",
-        "rank",
-        F.shiftright("rank", document_bits).alias("block"),
-        F.shiftright("rank", document_bits + block_group_bits).alias("block_group"),
-    )
+    if group_blocks is None:
+        group_blocks = max(2, TABLE_BYTES // (12 * row_length))
     table = "fills array<int>, finished array<bigint>"
 
     def summarise_documents(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("rank")
+        block = block.sort_values("doc_id")
         fills, finished = _fill_table(block["n"].to_numpy(), row_length)
-        return _one_row(block, ["shard", "block_group", "block"], fills, finished)
+        return _one_row(block, ["shard", "start"], fills, finished)
 
     def summarise_blocks(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
+        group = group.sort_values("start")
         fills = np.arange(row_length)
         finished = np.zeros(row_length, dtype=np.int64)
         for after, rows in zip(group["fills"], group["finished"]):
@@ -172,13 +217,18 @@ def nowrap_places(
             fills = np.asarray(after)[fills]
         return _one_row(group, ["shard", "block_group"], fills, finished)
 
-    summaries = ranked.groupBy("shard", "block_group", "block").applyInPandas(
-        summarise_documents, f"shard int, block_group bigint, block bigint, {table}"
+    summaries = blocked.groupBy("shard", "start").applyInPandas(
+        summarise_documents, f"shard int, start bigint, {table}"
     )
-    spark = lengths.sparkSession
+    spark = blocked.sparkSession
     path = shared_folder(spark)
     summaries.write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(summaries.schema).parquet(path)
+    # A shard's blocks are numbered by their starts alone, without their tables.
+    stored = spark.read.schema(summaries.schema).parquet(path)
+    numbered = running_total(
+        stored.select("shard", "start", F.lit(1).cast("bigint").alias("one")), "shard", "start", "one", "nth"
+    ).select("shard", "start", whole_part("nth", group_blocks).alias("block_group"))
+    blocks = stored.join(numbered, ["shard", "start"])
     groups = blocks.groupBy("shard", "block_group").applyInPandas(
         summarise_blocks, f"shard int, block_group bigint, {table}"
     )
@@ -190,24 +240,15 @@ def nowrap_places(
         )
         .withColumnsRenamed({"sample": "sample0", "fill": "fill0"})
     )
-    block_starts = (
+    return (
         blocks.join(group_starts, ["shard", "block_group"])
         .groupBy("shard", "block_group")
         .applyInPandas(
-            lambda rows: _chain(rows, "block"),
-            "shard int, block bigint, sample bigint, fill int",
+            lambda rows: _chain(rows, "start"),
+            "shard int, start bigint, sample bigint, fill int",
         )
         .withColumnsRenamed({"sample": "sample0", "fill": "fill0"})
     )
-    return (
-        ranked.select("shard", "doc_id", "n", "rank", "block")
-        .join(block_starts, ["shard", "block"])
-        .groupBy("shard", "block")
-        .applyInPandas(
-            lambda rows: _walk(rows, row_length),
-            "shard int, doc_id bigint, sample bigint, at int",
-        )
-    )
 
 
 def _one_row(group: pd.DataFrame, keys: list[str], fills, finished) -> pd.DataFrame:
@@ -251,17 +292,38 @@ def _chain(rows: pd.DataFrame, key: str) -> pd.DataFrame:
     )
 
 
-def _walk(rows: pd.DataFrame, row_length: int) -> pd.DataFrame:
-    """Place the documents of one block, given the row and fill at its start."""
-    rows = rows.sort_values("rank")
-    sample, fill = int(rows["sample0"].iloc[0]), int(rows["fill0"].iloc[0])
-    samples, at = [], []
-    for n in rows["n"].tolist():
-        samples.append(sample)
-        at.append(fill)
+def _cut_rows(block: pa.Table, row_length: int) -> pa.Table:
+    """The rows of one block's documents, given the row and fill at its start: a piece for each."""
+    block = block.sort_by("doc_id").combine_chunks()
+    sample, fill = block.column("sample0")[0].as_py(), block.column("fill0")[0].as_py()
+    samples, ats, kept = [], [], []
+    room = []
+    for n in block.column("n").to_pylist():
+        if not room or fill == 0:
+            samples.append(sample)
+            ats.append(fill)
+            room.append(0)
+        used = min(n, row_length - fill)
+        kept.append(used)
+        room[-1] += used
         fill += n
         if fill >= row_length:
             sample, fill = sample + 1, 0
-    return pd.DataFrame(
-        {"shard": rows["shard"], "doc_id": rows["doc_id"], "sample": samples, "at": at}
+    ids = block.column("ids").combine_chunks()
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    kept = np.array(kept, np.int64)
+    # Each document gives its first ``kept`` ids.
+    starts = np.repeat(offsets[:-1] - (np.cumsum(kept) - kept), kept)
+    ends = np.concatenate([[0], np.cumsum(room)]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[starts + np.arange(len(starts))], pa.int32()))
+    shard, last = block.column("shard")[0].as_py(), block.column("last")[0].as_py()
+    return pa.table(
+        {
+            "shard": pa.array([shard] * len(samples), pa.int32()),
+            "sample": pa.array(samples, pa.int64()),
+            "at": pa.array(ats, pa.int32()),
+            "last": pa.array([last] * len(samples), pa.bool_()),
+            "tokens": tokens,
+        }
     )

@@ -3,8 +3,9 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from foretoken.operators.packing import nowrap_places, pack_nowrap, pack_wrap
+from foretoken.operators.packing import block_edges, block_rows, pack_nowrap, pack_wrap
 from foretoken.operators.running_total import running_total
 
 
@@ -31,11 +32,11 @@ def dense(rows):
     return True
 
 
-def check(encoded_of, shards, row_length, wrap_bits=5, **options):
+def check(encoded_of, shards, row_length, block_ids=20, group_blocks=2):
     encoded = encoded_of(shards)
     for wrap, got in (
-        (True, pack_wrap(encoded, row_length, wrap_bits)),
-        (False, pack_nowrap(encoded, row_length, **options)),
+        (True, pack_wrap(encoded, row_length, block_ids)),
+        (False, pack_nowrap(encoded, row_length, block_ids, group_blocks)),
     ):
         want = {s: by_loop(n, row_length, wrap) for s, n in shards.items()}
         assert packed(got) == {s: rows for s, rows in want.items() if rows}
@@ -62,28 +63,57 @@ def test_packing_restarts_per_shard(encoded_of):
     )
 )
 def test_like_a_plain_loop(encoded_of, shards):
-    # Blocks of 4 documents and groups of 2 blocks, so that all levels take part.
-    check(encoded_of, shards, 8, document_bits=2, block_group_bits=1)
+    # Blocks of about 20 ids and groups of 2 blocks, so that all levels take part.
+    check(encoded_of, shards, 8)
 
 
-def test_ids_are_shuffled_once(spark, encoded_of):
+@pytest.mark.parametrize("pack", [pack_wrap, pack_nowrap])
+def test_ids_are_shuffled_once(spark, encoded_of, pack):
     encoded = encoded_of({0: [5, 40, 3, 9] * 20, 1: [7] * 30})
     for key, value in (
         ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")
     ):
         spark.conf.set(key, value)
     try:
-        plan = pack_wrap(encoded, 8)._jdf.queryExecution().executedPlan().toString()
+        plan = pack(encoded, 8)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    by_block = re.findall(r"- Exchange hashpartitioning\(shard#\d+, block#\d+L, \d+\), REPARTITION", plan)
-    assert len(by_block) == 1
+    # What each exchange moves, with the keys it moves by.
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((.*?), \d+\)", plan)
+    by_block = {(data, keys) for data, keys in moved if re.search(r"\bids#", data)}
+    assert len({keys for _, keys in by_block}) == 1 and len(by_block) == 1
+    (_, keys), = by_block
+    assert re.sub(r"#\w+", "", keys) == "shard, start"
     # The rows that blocks share, and nothing else, go by row.
-    by_row = re.findall(r"- Exchange hashpartitioning\(shard#\d+, sample#\d+L, \d+\)", plan)
+    by_row = [keys for _, keys in moved if re.sub(r"#\w+", "", keys) == "shard, sample"]
     assert len(by_row) == 1
 
 
+def test_few_ids_are_moved_twice_whatever_the_number_of_shards(spark):
+    """1,650 shards, rows of 2,048, 707 ids a document; and one shard of many blocks."""
+    ids = F.array_repeat(F.lit(1), 707)
+    spread = spark.range(8000).select(
+        (F.col("id") % 1650).cast("int").alias("shard"), F.col("id").alias("doc_id"), ids.alias("ids"),
+        F.lit(707).alias("n"),
+    )
+    for encoded, block_ids in ((spread, None), (spread.withColumn("shard", F.lit(0)), 1 << 18)):
+        inside, shared = block_rows(encoded, 2048, block_ids=block_ids)
+        again = shared.agg(F.coalesce(F.sum(F.size("piece")), F.lit(0))).first()[0]
+        there = inside.agg(F.sum(F.size("tokens"))).first()[0]
+        assert again + there == 8000 * 707
+        assert again < 0.05 * there
+
+
+def test_blocks_follow_ids_not_documents(spark):
+    rows = [(0, 1 << 60, 9), (0, 3, 5), (0, 4, 100), (0, 5, 2), (2, 7, 1)]
+    lengths = spark.createDataFrame(rows, "shard int, doc_id bigint, n int")
+    got = block_edges(lengths, 50)
+    assert got.to_numpy().tolist() == [[0, 0, 3, 0], [0, 2, 5, 105], [2, 0, 7, 0]]
+
+
 def test_sparse_ids_and_a_hot_shard(spark):
     rows = [(0, k << 40, [k % 7] * (k % 11 + 1), k % 11 + 1) for k in range(200)]
     encoded = spark.createDataFrame(rows, "shard int, doc_id bigint, ids array<int>, n int")
@@ -94,15 +124,9 @@ def test_sparse_ids_and_a_hot_shard(spark):
 
 def test_hot_shard_is_spread_over_blocks(encoded_of):
     lengths = [(7 * k) % 23 + 2 for k in range(600)]
-    encoded = encoded_of({0: lengths, 1: [3, 9]}).select("shard", "doc_id", "n")
-    got = nowrap_places(encoded, 16, document_bits=4, block_group_bits=3).orderBy("shard", "doc_id")
-    sample, fill, want = 0, 0, []
-    for k, n in enumerate(lengths):
-        want.append((0, 10 * k, sample, fill))
-        fill += n
-        if fill >= 16:
-            sample, fill = sample + 1, 0
-    assert [tuple(r) for r in got.where("shard = 0").collect()] == want
+    encoded = encoded_of({0: lengths, 1: [3, 9]})
+    assert len(block_edges(encoded.select("shard", "doc_id", "n"), 200)) > 30
+    check(encoded_of, {0: lengths, 1: [3, 9]}, 16, block_ids=200, group_blocks=4)
 
 
 @pytest.mark.parametrize("bits", [(22, 44), (3, 6), (2,), (1, 2, 5)])
