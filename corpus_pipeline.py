@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 
 from foretoken.llm.common import Scratch, read_table
 from foretoken.llm.decontamination import contaminated_items
-from foretoken.llm.language import fit_languages, language_of
-from foretoken.llm.near_copies import drop_near_copies
+from foretoken.llm.language import UNDETERMINED, fit_languages, language_of
 from foretoken.llm.sequence_packing import pack_documents
+from foretoken.llm.simhash import drop_near_duplicates
 from foretoken.llm.toxicity import LIMIT, fit_toxicity, toxicity_of
 
-# A document stays if its best language is at least this likely.
-LANGUAGE_SCORE = 0.5
+# Words of a shingle, and bits in which fingerprints of near duplicates may differ.
+SHINGLE, BITS = 4, 4
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or of no likely language, go."""
+    """Documents with a language; those without a letter, or if none was learned, go.
+
+    How common a language is decides nothing: a short text that tells no language from another stays.
+    """
     found = language_of(docs["text"], fit_languages(docs))
-    return docs.where(found["score"] >= LANGUAGE_SCORE)
+    return docs.where(found["lang_pred"] != UNDETERMINED)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with similar sets of five-word shingles."""
-    return drop_near_copies(docs)
+    """One document of each group that SimHash links: that of the smallest id."""
+    return drop_near_duplicates(docs, shingle=SHINGLE, bits=BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
