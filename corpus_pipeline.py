@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foretoken.llm.common import Scratch, read_table
 from foretoken.llm.decontamination import contaminated_items
-from foretoken.llm.language import UNDETERMINED, fit_languages, language_of
+from foretoken.llm.language import fit_languages, language_of
 from foretoken.llm.sequence_packing import pack_documents
 from foretoken.llm.simhash import drop_near_duplicates
 from foretoken.llm.toxicity import LIMIT, fit_toxicity, toxicity_of
@@ -23,7 +23,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     How common a language is decides nothing: a short text that tells no language from another stays.
     """
     found = language_of(docs["text"], fit_languages(docs))
-    return docs.where(found["lang_pred"] != UNDETERMINED)
+    return docs.where(found["score"] > 0)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
