@@ -404,6 +404,8 @@ def mine_collocations(
     lang: str = "lang",
     text: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
+    part_bytes: int = PART_BYTES,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language.
 
@@ -415,7 +417,9 @@ def mine_collocations(
     rows count again. Other columns are not read.
     """
     scratch = Scratch(documents.sparkSession)
-    found, n = phrase_counts(documents, scratch, least, lang, text, chunk_bytes)
+    found, n = phrase_counts(
+        documents, scratch, least, lang, text, chunk_bytes, part_bytes, split_rows
+    )
     phrases = scratch.store(found.select(F.monotonically_increasing_id().alias("id"), "*"), "phrases")
     longer = phrases.where("size > 1").withColumn("words", F.split("phrase", " "))
     known = phrases.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"), F.col("id").alias("part_id"))
