@@ -25,7 +25,7 @@ LEAST = 30
 TOP = 2000
 UNKNOWN_LANGUAGE = "und"
 # Bytes of text whose runs are added up before they are sent.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 # Bytes of text for each part of the key space; a part is added up in one place, and one with more
 # rows than SPLIT_ROWS is dealt out further.
 PART_BYTES = 8 << 20
@@ -51,7 +51,7 @@ def _words(buffer: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     kept = buffer[inside[1:-1]]
     return (
         pa.Array.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())]
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]
         ),
         starts,
     )
@@ -173,6 +173,7 @@ def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> R
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     codes, names = rank[coded.indices.to_numpy()], [b"", *coded.dictionary.take(pa.array(order)).to_pylist()]
+    del words, coded
     piece = np.searchsorted(np.flatnonzero(buffer == 10), starts)
     ends = np.cumsum([len(t) + 1 for t in texts])
     known = {name: len(names) + i for i, name in enumerate(dict.fromkeys(langs))}
