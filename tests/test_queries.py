@@ -28,6 +28,17 @@ def test_same_rows_as_sql(spark, con, name):
     assert got > 0
 
 
+# Large enough for tokens outside the table, which are spelled in bytes.
+SPELLED_SF = "/root/testdata/sf0.01"
+SPELLED = ["decode_samples", "decoded_documents", "scan_examples", "scan_filter", "scan_top"]
+
+
+@pytest.mark.parametrize("name", SPELLED)
+def test_same_rows_where_ids_are_bytes(spark, name):
+    same, got, want, *_ = compare(spark, connect(SPELLED_SF), SPELLED_SF, name, entry.oracle_sql()[name])
+    assert same, f"{got} rows, SQL gives {want}"
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[:4] == ["id0", "id1", "sum_count", "max_count"]
 

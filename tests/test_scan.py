@@ -213,3 +213,42 @@ def test_hits_are_strict(spark):
     rows = [(1, 0.5, 0.9), (2, 0.9, 0.5), (3, 0.6, 0.6)]
     table = spark.createDataFrame(rows, "id0 int, p_long double, js double")
     assert [r.id0 for r in scan.scan_hits(table).collect()] == [3]
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key in conf:
+        spark.conf.unset(key)
+
+
+def formatted(spark, frame):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return frame._jdf.queryExecution().explainString(mode)
+
+
+def test_no_row_moves_with_its_places(spark, samples_of, rows, tokens, folder, without_broadcasts):
+    samples_of(rows).write.parquet(f"{folder}/samples")
+    samples = spark.read.parquet(f"{folder}/samples")
+    hits = scan.scan_metrics(ngram_counts(samples, 2), ngram_counts(samples, 3), 1.0)
+    hits.write.parquet(f"{folder}/hits")
+    hits = spark.read.parquet(f"{folder}/hits")
+    for make in (scan.scan_examples, scan.scan_filter):
+        plan = formatted(spark, make(samples, hits, tokens, 4))
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert moved and not any(re.search(r"\btokens#", columns) for columns in moved)
+        assert len(re.findall(r"\) Scan parquet[^\n]*\nOutput[^\n]*tokens#", plan)) == 1
+
+
+def test_keys_of_more_than_four_ids(samples_of):
+    rows = [[1, 65535, 3, 4, 5, 6, 7, 8, 1, 65535, 3, 4, 5, 6, 9]] * 2
+    samples = samples_of(rows)
+    for n in (5, 6, 8):
+        want = Counter(tuple(r[i : i + n]) for r in rows for i in range(len(r) - n + 1))
+        counted = ngram_counts(samples, n)
+        assert {tuple(r)[:n]: r["count"] for r in counted.collect()} == want
+        keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", counted._jdf.queryExecution().toString())
+        assert keys and all(len(k.split(",")) == 2 for k in keys)
