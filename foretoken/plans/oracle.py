@@ -484,6 +484,7 @@ WHERE doc_id % {SHARDS} >= {SHARDS // 2}""",
     + " SELECT 'scan_filter' AS name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS total FROM firsts)",
     "export_roundtrip": _count_rows(2, extra=_CHUNK),
     "stream_bigrams": _count_rows(2),
+    "stream_bigrams_tiered": _count_rows(2),
     "stream_pack": _samples() + ROWS + " SELECT * FROM rows",
     "conversation_bigrams": _count_rows(2, "conversations"),
     "conversation_top_bigrams": _samples("conversations")

@@ -28,6 +28,7 @@ from foretoken.settings import Settings
 from foretoken.sources.documents import shard_range
 from foretoken.sources.samples import cap_batches, cap_per_shard, read_samples
 from foretoken.sources.tables import read_chunks, write_chunked, write_ranked, write_table
+from foretoken.sources.versions import live_path, read_live, replace
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,8 @@ class Pipeline:
 
     ``documents`` is ``(shard, doc_id, text, *extra)``. Every table is computed when first asked
     for, written, and read back by whatever needs it next: a lost executor repeats one job's tasks
-    and not the jobs before it. In a folder of the caller's, tables that an earlier run finished
+    and not the jobs before it. Tables other than token rows are replaced in one step, so that a
+    reader never finds one half written. In a folder of the caller's, tables that an earlier run finished
     with the same settings, tokenizer and documents are used as they are, and token rows go on at
     the shards that it left; anything else is built again.
     """
@@ -109,6 +111,10 @@ class Pipeline:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def rows_path(self, name: str) -> str:
+        """The folder that holds the rows of a finished table now."""
+        return live_path(self.spark, self.path(name))
+
     def _mark(self, name: str) -> None:
         if self._made_from is not None:
             mark_finished(
@@ -129,7 +135,10 @@ class Pipeline:
         return path
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return self.spark.read.parquet(self._once(name, lambda path: write_table(build(), path)))
+        return read_live(self.spark, self._replaced(name, lambda path: write_table(build(), path)))
+
+    def _replaced(self, name: str, write: Callable[[str], object]) -> str:
+        return self._once(name, lambda path: replace(self.spark, path, write))
 
     def tokens(self) -> DataFrame:
         # At most 65,536 rows: one file.
@@ -174,17 +183,17 @@ class Pipeline:
         return cap_batches(self.samples(), self.settings.batch_size, limit).drop("batch")
 
     def ngrams(self, n: int) -> DataFrame:
-        path = self._once(
+        path = self._replaced(
             f"ngrams_{n}",
             lambda path: write_chunked(
                 ngram_counts(self._counted_rows(), n), path, self.settings.id_chunks
             ),
         )
-        return read_chunks(self.spark, path)
+        return read_chunks(self.spark, live_path(self.spark, path))
 
     def prefixes(self, n: int) -> DataFrame:
         """Most common next token after ``n - 1`` ids."""
-        path = self._once(
+        path = self._replaced(
             f"prefixes_{n}",
             lambda path: write_chunked(
                 next_token_prefixes(self.ngrams(n).drop("id0_chunk")),
@@ -193,7 +202,7 @@ class Pipeline:
                 [F.desc("frac_max")],
             ),
         )
-        return read_chunks(self.spark, path).drop("id0_chunk")
+        return read_chunks(self.spark, live_path(self.spark, path)).drop("id0_chunk")
 
     def top(self, n: int) -> DataFrame:
         """Prefixes that almost settle their next token, with text."""
@@ -229,7 +238,7 @@ class Pipeline:
             remove_folder(self.spark, f"{path}_sorted")
 
         told = "_".join([f"top_{n}_p", *([slice_column, *slices] if slice_column else []), *(models or {})])
-        return self.spark.read.parquet(self._once(told, write))
+        return read_live(self.spark, self._replaced(told, write))
 
     def scan_metrics(self, seq_len: int | None = None) -> DataFrame:
         length = seq_len or self.settings.seq_len
@@ -280,3 +289,16 @@ class Pipeline:
             write_table(table, f"{folder}/{name}")
             names.append(name)
         return names
+
+    def publish(self, folder: str, widths: Sequence[int] = (2, 3)) -> list[str]:
+        """Replace all tables of an earlier publication in one step; :func:`published` reads them.
+        Whoever reads finds tables of one and the same publication."""
+        names: list[str] = []
+        replace(self.spark, folder, lambda new: names.extend(self.export(new, widths)))
+        return names
+
+
+def published(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Tables of the newest publication in ``folder``."""
+    now = live_path(spark, folder)
+    return {name: spark.read.parquet(f"{now}/{name}") for name in names}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foretoken.functions.text import split_tokens
 from foretoken.operators import control, encoding, ngrams, packing, prefixes, scan, scoring
 from foretoken.operators.vocabulary import token_counts, vocabulary
-from foretoken.plans.pipeline import Pipeline
+from foretoken.plans.pipeline import Pipeline, published
 from foretoken.settings import Settings
 from foretoken.sources import documents as docs
 from foretoken.sources import samples as rows
@@ -181,7 +181,7 @@ def chunk_sizes(spark, sf):
 def chunk_scan(spark, sf):
     p = pipeline(spark, sf)
     p.ngrams(3)
-    return tables.read_chunks(spark, p.path("ngrams_3"), 7)
+    return tables.read_chunks(spark, p.rows_path("ngrams_3"), 7)
 
 
 def union_chunks(spark, sf):
@@ -318,13 +318,13 @@ def export_all(spark, sf):
     folder = _new_path(p, "export")
     sums = {"ngrams": "count", "prefixes": "sum_count", "top": "sum_count"}
     found = None
-    for name in p.export(folder):
+    for name, table in published(spark, folder, p.publish(folder)).items():
         column = sums.get(name.rsplit("_", 1)[0])
         total = F.sum(column) if column else F.lit(None)
-        table = spark.read.parquet(f"{folder}/{name}").agg(
+        sizes = table.agg(
             F.lit(name).alias("name"), F.count("*").alias("n_rows"), total.cast("bigint").alias("total")
         )
-        found = table if found is None else found.unionByName(table)
+        found = sizes if found is None else found.unionByName(sizes)
     return found
 
 
@@ -351,6 +351,18 @@ def stream_bigrams(spark, sf):
     return stream_counts.merge_partials(spark, f"{path}/partials", 2)
 
 
+def stream_bigrams_tiered(spark, sf):
+    """Token rows arrive file by file; counts are merged two runs at a time."""
+    p = pipeline(spark, sf)
+    p.samples()
+    path = _new_path(p, "stream_bigrams_tiered")
+    arriving = rows.read_sample_stream(spark, p.path("samples"), files_per_trigger=1)
+    stream_counts.start_partial_counts(
+        arriving, 2, f"{path}/partials", f"{path}/checkpoint", SMALL.id_chunks, fan=2
+    ).awaitTermination()
+    return stream_counts.merge_partials(spark, f"{path}/partials", 2)
+
+
 def stream_pack(spark, sf):
     """Encoded documents arrive in four parts, in the order of their ids."""
     p = pipeline(spark, sf)
@@ -431,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_roundtrip": export_roundtrip,
     "export_all": export_all,
     "stream_bigrams": stream_bigrams,
+    "stream_bigrams_tiered": stream_bigrams_tiered,
     "stream_pack": stream_pack,
     "conversation_bigrams": conversation_bigrams,
     "conversation_top_bigrams": conversation_top_bigrams,

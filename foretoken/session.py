@@ -59,14 +59,54 @@ def _remove_if_possible(spark: SparkSession, folder: str) -> None:
         remove_folder(spark, folder)
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.sc().hadoopConfiguration()), path
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete ``folder`` through Spark's file system; a session that has ended leaves it."""
     if spark.sparkContext._jsc is None:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
 
 
 def folder_exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(path)
+    system, path = _file_system(spark, folder)
+    return system.exists(path)
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    system, path = _file_system(spark, folder)
+    if not system.exists(path):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(path)]
+
+
+def read_file(spark: SparkSession, name: str) -> str:
+    """A small text file."""
+    system, path = _file_system(spark, name)
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, name: str, text: str) -> bool:
+    """Write a small text file that is there as a whole or not at all; False if there is one."""
+    system, path = _file_system(spark, name)
+    if system.exists(path):
+        return False
+    _, draft = _file_system(spark, f"{path.getParent()}/.draft-{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if system.rename(draft, path):
+        return True
+    system.delete(draft, True)
+    return False

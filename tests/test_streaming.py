@@ -3,7 +3,14 @@ import pytest
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.packing import pack_wrap
 from foretoken.sources.samples import read_sample_stream, write_samples
-from foretoken.streaming.counts import merge_partials, start_partial_counts, write_partial
+from foretoken.streaming.counts import (
+    compact,
+    live_folders,
+    merge_partials,
+    merge_plan,
+    start_partial_counts,
+    write_partial,
+)
 from foretoken.streaming.packing import pack_micro_batch, packed_rows, start_packing
 
 LENGTHS = {0: [5, 4, 9, 2, 8, 30, 3], 1: [7, 2, 2], 2: [64]}
@@ -69,3 +76,58 @@ def test_a_late_document_is_an_error(spark, folder):
     late = spark.createDataFrame([(0, 6, [2], 1), (1, 4, [2], 1)], schema)
     with pytest.raises(ValueError, match="6 after 7 in shard 0"):
         pack_micro_batch(late, 1, folder, 4)
+
+
+def test_merges_read_what_has_come_since(spark, folder, samples_of):
+    read = []
+    for k in range(12):
+        write_partial(samples_of([[1, 2, 3 + k], [1, 2, 4]]), k, 2, folder, 4)
+        read.append(compact(spark, folder, 2, 4, k, fan=3))
+        assert len(live_folders(spark, folder)) <= 2 * 3
+    assert [len(r) for r in read] == [0, 0, 3, 0, 0, 3, 0, 0, 5, 0, 0, 3]
+    got = {(r.id0, r.id1): r["count"] for r in merge_partials(spark, folder, 2).collect()}
+    assert got[1, 2] == 24 and got[2, 4] == 13 and sum(got.values()) == 48
+    # Delivered again after it was merged.
+    write_partial(samples_of([[1, 2, 3]]), 5, 2, folder, 4)
+    assert {(r.id0, r.id1): r["count"] for r in merge_partials(spark, folder, 2).collect()} == got
+
+
+def test_a_compaction_that_fails_changes_nothing(spark, folder, samples_of, monkeypatch):
+    for k in range(4):
+        write_partial(samples_of([[1, 2], [5, k]]), k, 2, folder, 4)
+    before = live_folders(spark, folder)
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr("foretoken.streaming.counts.switch", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            compact(spark, folder, 2, 4, 3, fan=4)
+    assert live_folders(spark, folder) == before
+    want = sorted(merge_partials(spark, folder, 2).collect())
+    assert len(compact(spark, folder, 2, 4, 3, fan=4)) == 4
+    assert len(live_folders(spark, folder)) == 1
+    assert sorted(merge_partials(spark, folder, 2).collect()) == want
+
+
+def test_a_gap_or_an_empty_micro_batch(spark, folder, samples_of):
+    rows = samples_of([[1, 2, 3]])
+    for k in (0, 1, 3):
+        write_partial(rows.where("false") if k == 1 else rows, k, 2, folder, 4)
+    assert len(compact(spark, folder, 2, 4, 3, fan=2)) == 2
+    assert live_folders(spark, folder)[1:] == ["batch_id=3"]
+    write_partial(rows, 2, 2, folder, 4)
+    assert len(compact(spark, folder, 2, 4, 3, fan=2)) == 3
+    assert {r["count"] for r in merge_partials(spark, folder, 2).collect()} == {3}
+
+
+def test_levels_after_many_micro_batches():
+    runs, written = [], 0
+    for batch in range(1000):
+        arrived = range(runs[-1]["last"] + 1 if runs else 0, batch + 1)
+        plan = merge_plan(runs, list(arrived), 4)
+        written += sum(run["last"] - run["first"] + 1 for run in plan if len(run["sources"]) > 1)
+        runs = [{k: run[k] for k in ("level", "first", "last")} | {"folder": f"{run['first']}"} for run in plan]
+        assert len(runs) <= 3 * 5
+    assert written <= 5 * 1000
