@@ -35,11 +35,19 @@ def _grouped(grams: DataFrame, n: int, keep: list[str], total: Column) -> DataFr
 
 
 def ngram_counts(
-    rows: DataFrame, n: int, keep: list[str] | None = None, ids: str = "tokens"
+    rows: DataFrame,
+    n: int,
+    keep: list[str] | None = None,
+    ids: str = "tokens",
+    wanted: Column | None = None,
 ) -> DataFrame:
-    """``(id0.., count)``. Counted before and after the shuffle, so frequent n-grams stay cheap."""
+    """``(id0.., count)``. Counted before and after the shuffle, so frequent n-grams stay cheap.
+    Only n-grams for which ``wanted`` holds are counted at all."""
     keep = keep or []
-    return _grouped(ngrams(rows, n, keep, ids), n, keep, F.count("*"))
+    grams = ngrams(rows, n, keep, ids)
+    if wanted is not None:
+        grams = grams.where(wanted)
+    return _grouped(grams, n, keep, F.count("*"))
 
 
 def with_chunk(counts: DataFrame, chunks: int) -> DataFrame:

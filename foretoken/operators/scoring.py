@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foretoken.functions.ids import id_columns
+from foretoken.functions.membership import possible_member
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.prefixes import width_of
 
@@ -27,9 +28,11 @@ def score_by_slice(
     prefix, last = id_columns(n - 1), f"id{n - 1}"
     wanted = top.select(*prefix, F.col(last).alias("wanted"))
     wanted_slice = encoded.where(F.col(slice_column).isin(slices))
-    # Count first: afterwards a prefix has at most one row per token and slice. Spark broadcasts
-    # the prefixes by their size on storage.
-    hits = ngram_counts(wanted_slice, n, [slice_column], "ids").join(wanted, prefix)
+    # Count first: afterwards a prefix has at most one row per token and slice. N-grams of other
+    # prefixes are told, but for a few in a hundred, before they are counted and shuffled; the join
+    # drops the rest. Spark broadcasts the prefixes by their size on storage.
+    likely = possible_member(wanted, prefix)
+    hits = ngram_counts(wanted_slice, n, [slice_column], "ids", likely).join(wanted, prefix)
     weight = F.col("count")
     share = F.sum(F.when(F.col(last) == F.col("wanted"), weight).otherwise(0)) / F.sum(weight)
     scores = hits.groupBy(*prefix).pivot(slice_column, slices).agg(share)

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from foretoken.functions.membership import possible_member
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.prefixes import next_token_prefixes
 from foretoken.operators.scoring import score_by_model, score_by_slice
@@ -53,3 +54,29 @@ def test_models_add_one_column_each(encoded):
         assert r.p_flat == pytest.approx(0.1)
         e2 = np.exp(2.0)
         assert r.p_last == pytest.approx((e2 if r.id1 == r.id2 else 1.0) / (e2 + 9))
+
+
+def test_ngrams_of_other_prefixes_are_not_counted(spark, folder):
+    ids = [int(k * k + k // 7) % 5000 for k in range(20_000)]
+    rows = [(0, k, "en", ids[50 * k : 50 * k + 50], 50) for k in range(400)]
+    encoded = spark.createDataFrame(rows, "shard int, doc_id bigint, lang string, ids array<int>, n int")
+    prefixes = next_token_prefixes(ngram_counts(encoded, 3, ids="ids"))
+    prefixes.orderBy("id0", "id1").limit(100).write.parquet(folder + "/top")
+    top = spark.read.parquet(folder + "/top")
+    likely = possible_member(top, ["id0", "id1"])
+    counted = ngram_counts(encoded, 3, ["lang"], "ids", likely)
+    everything = ngram_counts(encoded, 3, ["lang"], "ids")
+    assert counted.count() < 100 + 0.1 * everything.count()
+    wanted = everything.join(top.select("id0", "id1"), ["id0", "id1"], "left_semi")
+    assert wanted.exceptAll(counted.select(wanted.columns)).count() == 0
+    # The filter stands below the partial count, so what it drops is not shuffled.
+    plan = score_by_slice(top, encoded, "lang", ["en"])._jdf.queryExecution().optimizedPlan().toString()
+    count = plan.index("count(1)")
+    assert 0 < plan.index("Generate", count) and "scalar-subquery" in plan[count : plan.index("Generate", count)]
+
+
+def test_slices_without_a_filter_are_the_same(encoded, monkeypatch):
+    top = next_token_prefixes(ngram_counts(encoded, 2, ids="ids"))
+    filtered = sorted(score_by_slice(top, encoded, "lang", ["de", "en", "fr"]).collect())
+    monkeypatch.setattr("foretoken.functions.membership.MOST_WORDS", 0)
+    assert sorted(score_by_slice(top, encoded, "lang", ["de", "en", "fr"]).collect()) == filtered
