@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from foretoken.operators import scan
 from foretoken.operators.control import (
     FINISHED,
-    build_pending_shards,
+    build_changed_shards,
     mark_finished,
     read_manifest,
+    reads_files,
     require_complete,
+    shard_states,
 )
 from foretoken.operators.encoding import encode_documents, encode_with, token_table
 from foretoken.operators.ngrams import ngram_counts
@@ -27,8 +29,19 @@ from foretoken.session import remove_folder, shared_folder
 from foretoken.settings import Settings
 from foretoken.sources.documents import shard_range
 from foretoken.sources.samples import cap_batches, cap_per_shard, read_samples
-from foretoken.sources.tables import read_chunks, write_chunked, write_ranked, write_table
-from foretoken.sources.versions import live_path, read_live, replace
+from foretoken.sources.tables import read_chunks, union_chunks, write_chunked, write_ranked, write_table
+from foretoken.sources.versions import (
+    live_number,
+    live_path,
+    live_state,
+    new_folder,
+    read_live,
+    replace,
+    switch,
+)
+
+# Folders that encoded documents may be spread over before all are encoded again.
+MOST_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -43,25 +56,12 @@ class Tokenizer:
     end: Sequence[int]
 
 
-def fingerprint(documents: DataFrame) -> str:
-    """Changes with the plan that makes the documents or with the files that it reads.
+def _folders(state: dict) -> list[str]:
+    return [part["folder"] for part in state["parts"]]
 
-    Documents that come from no file are told apart by their rows, in one pass over them.
-    """
-    spark = documents.sparkSession
-    parts = [documents._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
-    files = sorted(documents.inputFiles())
-    conf = spark._jsc.sc().hadoopConfiguration()
-    for name in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    if not files:
-        rows = documents.agg(
-            F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in documents.columns)}))")
-        )
-        parts = [str(tuple(rows.first()))]
-    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+def _hash(*parts: object) -> str:
+    return hashlib.sha256("\n".join(map(str, parts)).encode()).hexdigest()
 
 
 class Pipeline:
@@ -71,8 +71,10 @@ class Pipeline:
     for, written, and read back by whatever needs it next: a lost executor repeats one job's tasks
     and not the jobs before it. Tables other than token rows are replaced in one step, so that a
     reader never finds one half written. In a folder of the caller's, tables that an earlier run finished
-    with the same settings, tokenizer and documents are used as they are, and token rows go on at
-    the shards that it left; anything else is built again.
+    with the same settings, tokenizer and documents are used as they are. Where only documents have
+    changed, encoded documents and token rows are built again for the shards whose files have, or for
+    all if the token table is another; token rows go on at the shards that an earlier run left.
+    Anything else is built again.
     """
 
     def __init__(
@@ -94,9 +96,13 @@ class Pipeline:
         self.tokenizer = tokenizer
         self._written: set[str] = set()
         self._made_from = None
+        self._states: dict[int, str] | None = None
+        own = [self.settings, wrap, tokenizer and tokenizer.name]
+        if reads_files(self.documents):
+            own.append(self.documents._jdf.queryExecution().optimizedPlan().canonicalized().toString())
+        self._setup = _hash(*own)
         if folder is not None:
-            own = f"{self.settings} {wrap} {tokenizer and tokenizer.name} {fingerprint(self.documents)}"
-            self._made_from = hashlib.sha256(own.encode()).hexdigest()
+            self._made_from = _hash(self._setup, sorted(self._shard_states().items()))
             # A handful of table names.
             done = read_manifest(spark, self.path("manifest"), "name STRING, made_from STRING")
             ours = done.where((F.col("status") == FINISHED) & (F.col("made_from") == self._made_from))
@@ -104,9 +110,20 @@ class Pipeline:
             others = done.where(F.col("made_from") != self._made_from).limit(1).collect()
             if others:
                 # What other settings or documents left must not be taken for ours, now or later.
+                # Encoded documents and token rows say themselves, by shard, what they were made from.
                 self._written = set()
-                for name in ("manifest", "samples", "samples_manifest"):
-                    remove_folder(spark, self.path(name))
+                remove_folder(spark, self.path("manifest"))
+
+    def _shard_states(self) -> dict[int, str]:
+        if self._states is None:
+            self._states = shard_states(self.documents)
+        return self._states
+
+    def _shards_made_from(self) -> dict[int, str]:
+        """What the ids of each shard are made from: settings, token table and source."""
+        tokens = self.tokens()
+        table = tokens.agg(F.count("*"), F.bit_xor(F.xxhash64(*tokens.columns))).first()
+        return {s: _hash(self._setup, tuple(table), state) for s, state in self._shard_states().items()}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -150,13 +167,45 @@ class Pipeline:
         return self._table("tokens", build)
 
     def encoded(self) -> DataFrame:
-        def build():
+        """Encoded documents: the parts written by this and earlier runs, each for its shards."""
+
+        def encode(documents: DataFrame) -> DataFrame:
             if self.tokenizer:
                 own = self.tokenizer
-                return encode_with(self.documents, own.make_encoder, own.begin, own.end)
-            return encode_documents(self.documents, self.tokens())
+                return encode_with(documents, own.make_encoder, own.begin, own.end)
+            return encode_documents(documents, self.tokens())
 
-        return self._table("encoded", build)
+        def write(path: str) -> None:
+            seen = live_number(self.spark, path)
+            state = live_state(self.spark, path, seen) or {"made_from": {}, "parts": []}
+            made_from = {str(s): made for s, made in self._shards_made_from().items()}
+            same = {int(s) for s, made in made_from.items() if state["made_from"].get(s) == made}
+            parts = [
+                {"folder": part["folder"], "shards": sorted(same & set(part["shards"]))}
+                for part in state["parts"]
+            ]
+            parts = [part for part in parts if part["shards"]]
+            if len(parts) >= MOST_PARTS:
+                parts, same = [], set()
+            left = sorted(int(s) for s in made_from if int(s) not in same)
+            if left or not parts:
+                documents = self.documents
+                if parts:
+                    documents = documents.where(F.col("shard").isin(left))
+                folder = new_folder()
+                write_table(encode(documents), f"{path}/{folder}")
+                parts.append({"folder": folder, "shards": left})
+            switch(self.spark, path, seen, {"made_from": made_from, "parts": parts}, _folders)
+
+        path = self._once("encoded", write)
+        parts = [
+            (self.spark.read.parquet(f"{path}/{part['folder']}"), part["shards"])
+            for part in live_state(self.spark, path)["parts"]
+        ]
+        if len(parts) == 1 and parts[0][1] == sorted(self._shard_states()):
+            return parts[0][0]
+        chosen = [table.where(F.col("shard").isin(shards)) for table, shards in parts]
+        return union_chunks(chosen)
 
     def samples(self) -> DataFrame:
         """Token rows, built shard by shard where an earlier run stopped; none may be missing."""
@@ -165,12 +214,12 @@ class Pipeline:
             length = self.settings.row_length
             pack = pack_wrap if self.wrap else pack_nowrap
             encoded = self.encoded()
-            build_pending_shards(
+            build_changed_shards(
                 encoded,
                 lambda part: cap_per_shard(pack(part, length), self.settings.n_samples_per_shard),
                 path,
                 self.path("samples_manifest"),
-                self.settings.n_shards,
+                self._shards_made_from(),
                 self.settings.shards_per_job,
             )
             full = encoded.groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") >= length)

@@ -4,6 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from foretoken.operators.control import shard_states
+from foretoken.operators.encoding import encode_documents
 from foretoken.operators.packing import pack_wrap
 from foretoken.plans.pipeline import Pipeline, Tokenizer
 from foretoken.settings import Settings
@@ -138,3 +140,75 @@ def test_long_contexts_and_rows_without_wrapping(spark):
     assert p.scan_hits().columns[:5] == ["id0", "id1", "id2", "id3", "id4"]
     hits = p.scan_filter()
     assert hits.where(F.size("long_ids") != 5).count() == 0
+
+
+def per_shard_files(spark, path, texts):
+    """One file for each shard: documents k of shard s have the number 3 * k + s."""
+    for shard, group in texts.items():
+        rows = [(3 * k + shard, text) for k, text in enumerate(group)]
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/file{shard}")
+
+
+def from_files(spark, path):
+    return read_documents(spark, f"{path}/file*", 3, spread=False)
+
+
+TEXTS = {s: [f"a b c d {'e f ' * (5 * s + k)}" for k in range(8)] for s in range(3)}
+
+
+def test_one_changed_file_rebuilds_its_shard_only(spark, folder):
+    settings = Settings(row_length=8, n_shards=3, seq_len=1)
+    per_shard_files(spark, folder + "/in", TEXTS)
+    Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out").ngrams(2)
+    files = {f: t for f, t in written(folder + "/out").items() if "/samples/" in f}
+    assert {f.split("shard=")[1][0] for f in files} == {"0", "1", "2"}
+    # The same texts in another order leave the token table as it is.
+    per_shard_files(spark, folder + "/in", {1: TEXTS[1][::-1]})
+    encoded = []
+
+    def encoding(documents, tokens):
+        encoded.append(sorted(r.shard for r in documents.select("shard").distinct().collect()))
+        return encode_documents(documents, tokens)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("foretoken.plans.pipeline.encode_documents", encoding)
+        again = Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out")
+        fresh = Pipeline(spark, from_files(spark, folder + "/in"), settings)
+        assert sorted(again.samples().collect()) == sorted(fresh.samples().collect())
+    assert encoded == [[1], [0, 1, 2]]
+    kept = {f for f, t in written(folder + "/out").items() if files.get(f) == t}
+    assert {f.split("shard=")[1][0] for f in kept} == {"0", "2"}
+    assert sorted(again.ngrams(2).collect()) == sorted(fresh.ngrams(2).collect())
+    assert again.encoded().count() == 24
+
+
+def test_a_shard_that_goes_and_other_tokens(spark, folder):
+    settings = Settings(row_length=8, n_shards=3, seq_len=1)
+    per_shard_files(spark, folder + "/in", TEXTS)
+    Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out").samples()
+    # Too short for a row.
+    per_shard_files(spark, folder + "/in", {1: ["x y"], 2: TEXTS[2]})
+    again = Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out")
+    fresh = Pipeline(spark, from_files(spark, folder + "/in"), settings)
+    assert sorted(again.samples().collect()) == sorted(fresh.samples().collect())
+    assert {r.shard for r in again.samples().collect()} == {0, 2}
+    # A build that ended after its rows were written, before they were noted, is done again.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("foretoken.plans.pipeline.require_complete", lambda *_: 1 / 0)
+        per_shard_files(spark, folder + "/in", TEXTS)
+        with pytest.raises(ZeroDivisionError):
+            Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out").samples()
+    last = Pipeline(spark, from_files(spark, folder + "/in"), settings, folder + "/out")
+    whole = Pipeline(spark, from_files(spark, folder + "/in"), settings)
+    assert sorted(last.samples().collect()) == sorted(whole.samples().collect())
+
+
+def test_states_of_shards_come_from_one_job(spark, folder):
+    per_shard_files(spark, folder, TEXTS)
+    before = shard_states(from_files(spark, folder))
+    spread = shard_states(read_documents(spark, f"{folder}/file*", 3))
+    assert set(before) == {0, 1, 2} and spread == before
+    per_shard_files(spark, folder, {2: ["z"]})
+    after = shard_states(from_files(spark, folder))
+    assert [s for s in before if before[s] != after[s]] == [2]
