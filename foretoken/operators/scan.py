@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,11 +209,13 @@ def scan_metrics_by_model(
         [], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     ],
     micro_batch: int = 512,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """:data:`METRICS` of distinct long contexts ``id0..`` under a model of the caller's.
 
     ``make_predictor`` is called once per task and returns a function from the short and long ids,
-    one row per context, to their logits over the vocabulary.
+    one row per context, to their logits over the vocabulary. ``profile``: what a task of the model
+    needs, as in :func:`foretoken.operators.scoring.score_by_model`.
     """
     ids = id_columns(width_of(contexts))
     key_types = ", ".join(f"{c} int" for c in ids)
@@ -230,7 +233,9 @@ def scan_metrics_by_model(
                 logit_s, logit_l = predict(long_ids[:, 1:], long_ids)
                 yield part.assign(**_model_metrics(logit_s, logit_l))
 
-    return spread_for_model(contexts.select(*ids).distinct(), ids).mapInPandas(score, schema)
+    return spread_for_model(contexts.select(*ids).distinct(), ids).mapInPandas(
+        score, schema, profile=profile
+    )
 
 
 def _model_metrics(logit_s: np.ndarray, logit_l: np.ndarray) -> dict[str, np.ndarray]:

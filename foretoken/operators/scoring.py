@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -46,11 +47,14 @@ def score_by_model(
     top: DataFrame,
     models: dict[str, Callable[[], Callable[[np.ndarray], np.ndarray]]],
     batch_size: int = 512,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add ``p_<model>``: softmax probability of the last id given the ids before it.
 
     Each value of ``models`` is called once per task and returns a function from a matrix of prefix
-    ids to a matrix of logits over the vocabulary.
+    ids to a matrix of logits over the vocabulary. ``profile`` names what a model's task needs, such
+    as all cores or an accelerator of an executor, so that each executor holds one model; other
+    stages keep the session's resources.
     """
     n = width_of(top)
     prefix, last = id_columns(n - 1), f"id{n - 1}"
@@ -72,7 +76,7 @@ def score_by_model(
                     )
                 yield frame.assign(**{column: p})
 
-        out = out.mapInPandas(score, schema)
+        out = out.mapInPandas(score, schema, profile=profile)
     return out
 
 

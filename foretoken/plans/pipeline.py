@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +273,7 @@ class Pipeline:
         slice_column: str | None = None,
         slices: Sequence[str] = (),
         models: dict[str, Callable] | None = None,
+        profile: ResourceProfile | None = None,
     ) -> DataFrame:
         """Published prefixes by falling ``sum_count``, their place as ``rank``, with a probability
         of the last token under each slice of the corpus and each model of the caller's."""
@@ -281,7 +283,7 @@ class Pipeline:
             if slice_column:
                 table = score_by_slice(table, self.encoded(), slice_column, list(slices))
             if models:
-                table = score_by_model(table, models)
+                table = score_by_model(table, models, profile=profile)
             ranked = write_ranked(by_count(table), f"{path}_sorted")
             write_table(ranked, path)
             remove_folder(self.spark, f"{path}_sorted")

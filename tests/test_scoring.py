@@ -6,6 +6,7 @@ import pytest
 from foretoken.functions.membership import possible_member
 from foretoken.operators.ngrams import ngram_counts
 from foretoken.operators.prefixes import next_token_prefixes
+from foretoken.operators.scan import scan_metrics_by_model
 from foretoken.operators.scoring import score_by_model, score_by_slice
 
 DOCUMENTS = [
@@ -80,3 +81,25 @@ def test_slices_without_a_filter_are_the_same(encoded, monkeypatch):
     filtered = sorted(score_by_slice(top, encoded, "lang", ["de", "en", "fr"]).collect())
     monkeypatch.setattr("foretoken.functions.membership.MOST_WORDS", 0)
     assert sorted(score_by_slice(top, encoded, "lang", ["de", "en", "fr"]).collect()) == filtered
+
+
+def test_a_model_gets_resources_of_its_own(encoded, monkeypatch):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(4)).build
+    top = next_token_prefixes(ngram_counts(encoded, 3, ids="ids"))
+    given = []
+    whole = type(top).mapInPandas
+
+    def stub(self, func, schema, barrier=False, profile=None):
+        given.append(profile)
+        return whole(self, func, schema)
+
+    monkeypatch.setattr(type(top), "mapInPandas", stub)
+
+    def flat():
+        return lambda *ids: np.zeros((len(ids[0]), 10))
+
+    assert score_by_model(top, {"a": flat, "b": flat}, profile=profile).count() == top.count()
+    scan_metrics_by_model(top.select("id0", "id1"), flat, profile=profile)
+    assert given == [profile] * 3
