@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretoken.llm.common import partitions
+from foretoken.llm.common import Scratch, partitions
+from foretoken.operators.running_total import running_total
 
 # Turns that one piece of a long conversation holds; every prefix inside a piece is rendered.
 PIECE = 64
+# Where null turns stand: before all others.
+NO_TURN = -(1 << 62)
 LOSS_ROLE = "assistant"
 
 # Control strings of the template; a backslash keeps the same characters apart inside texts.
@@ -65,19 +68,24 @@ PROBES = ("a", "z\nz")
 
 
 def turn_spans(
-    turns: list[tuple[str, str]], render: Callable[[list[tuple[str, str]]], str]
+    turns: list[tuple[str, str]],
+    render: Callable[[list[tuple[str, str]]], str],
+    lead: list[tuple[str, str]] | None = None,
 ) -> tuple[str, list[tuple[int, int, int]]]:
     """The rendered turns, and for each (start of its span, start of its text, end of its text).
 
     A turn's span is what its prefix's output has beyond the one before. Inside it, what stays the
-    same when other texts stand in the turn's place lies before and after the text.
+    same when other texts stand in the turn's place lies before and after the text. All prefixes
+    stand behind the turns of ``lead``, whose own output is part of the result but has no span.
     """
-    spans, done = [], render([])
+    lead = lead or []
+    spans, done = [], render(lead)
     for k, (role, text) in enumerate(turns):
-        now = render(turns[: k + 1])
+        before = [*lead, *turns[:k]]
+        now = render([*before, (role, text)])
         if not now.startswith(done):
             raise RewritesHistory(f"turn {k}")
-        probes = [render([*turns[:k], (role, probe)]) for probe in PROBES]
+        probes = [render([*before, (role, probe)]) for probe in PROBES]
         if not all(p.startswith(done) for p in probes):
             raise RewritesHistory(f"turn {k}")
         one, two = (p[len(done) :] for p in probes)
@@ -98,6 +106,36 @@ PIECE_SCHEMA = (
 )
 
 
+def _stretches(rows: DataFrame, piece: int, scratch: Scratch) -> DataFrame:
+    """``(in_conv, in_bucket, stretch, last, next)`` for buckets of conversations of over ``piece`` rows.
+
+    A bucket holds the rows of ``piece`` neighbouring turn numbers. Its stretch follows from the
+    number of rows before it, counted from the conversation's first; ``next`` is the stretch after
+    it, if another, and ``last`` the turn before that. Only counts and turn numbers are shuffled.
+    """
+    buckets = scratch.store(
+        rows.groupBy("conv", "bucket").agg(F.count("*").alias("n"), F.max("turn").alias("last")),
+        "buckets",
+    )
+    long = buckets.groupBy(F.col("conv").alias("_conv")).agg(F.sum("n").alias("_all"))
+    own = buckets.join(
+        long.where(F.col("_all") > piece), F.col("conv").eqNullSafe(F.col("_conv")), "left_semi"
+    ).withColumn("name", F.coalesce(F.col("conv").cast("string"), F.lit("")))
+    placed = running_total(own, "name", "bucket", "n", "before")
+    stretch = F.floor(F.col("before") / piece)
+    after = F.floor((F.col("before") + F.col("n")) / piece)
+    return scratch.store(
+        placed.select(
+            F.col("conv").alias("in_conv"),
+            F.col("bucket").alias("in_bucket"),
+            stretch.alias("stretch"),
+            "last",
+            F.when(after > stretch, after).alias("next"),
+        ),
+        "stretches",
+    )
+
+
 def format_conversations(
     conversations: DataFrame,
     render: Callable[[list[tuple[str, str]]], str] = marked_turns,
@@ -110,47 +148,56 @@ def format_conversations(
 ) -> DataFrame:
     """``(conv, piece, n_turns, formatted, loss, rewrites)``: a conversation in order of its pieces.
 
-    A piece holds the turns of one stretch of ``piece`` turn numbers, and at most ``piece`` rows;
-    the pieces of a conversation, joined, are its formatted text. So a conversation of any length
-    is spread over tasks, and rendering every prefix of a piece stays linear in the turns. ``loss``
-    has the stretches of ``formatted`` under the loss mask: the texts of ``loss_role``.
+    A piece has at most ``piece`` rows; a conversation of no more rows is one piece, a longer one is
+    cut by the number of rows from its first. The pieces of a conversation, joined, are its
+    formatted text. So a conversation of any length is spread over tasks, and rendering every prefix
+    of a piece stays linear in the turns. ``loss`` has the stretches of ``formatted`` under the loss
+    mask: the texts of ``loss_role``.
 
-    A template may add something before the first turn, which stands once, in the first piece. One
-    that rewrites history has ``rewrites`` true and null in place of text and stretches.
+    A later piece is rendered behind the turn before it, so a template may add something before the
+    first turn, which stands once, in the first piece, and may look one turn back. A piece in which
+    more turns changed what the template had made of those before, that one turn included, has
+    ``rewrites`` true and null in place of text and stretches.
 
     Rows go by turn, nulls first, then by role and text; repeated rows are turns of their own. Null
     roles and texts are empty. Rows with a null conversation form one. Other columns are not read.
     """
+    scratch = Scratch(conversations.sparkSession)
     rows = conversations.select(
         F.col(conv).cast("bigint").alias("conv"),
-        F.coalesce(F.floor(F.col(turn) / piece), F.lit(-(1 << 62))).cast("bigint").alias("stretch"),
+        F.coalesce(F.floor(F.col(turn) / piece), F.lit(NO_TURN)).cast("bigint").alias("bucket"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    # Stretches are numbered through the first of each conversation: one number for each.
-    firsts = rows.groupBy("conv").agg(F.min("stretch").alias("first"))
+    # Short conversations have no row here; those of long ones are told where they are cut.
+    cut = _stretches(rows.select("conv", "bucket", "turn"), piece, scratch)
     joined = rows.join(
-        firsts.withColumnRenamed("conv", "_conv"), F.col("conv").eqNullSafe(F.col("_conv"))
-    ).select("conv", "stretch", "first", "turn", "role", "text")
-
-    def made(key, number, turns):
-        conv_key, stretch, first = key
-        opening = render([])
+        cut,
+        F.col("conv").eqNullSafe(F.col("in_conv")) & (F.col("bucket") == F.col("in_bucket")),
+        "left",
+    )
+    own = F.struct(F.coalesce("stretch", F.lit(0)).alias("stretch"), F.lit(1).alias("own"))
+    # The turn before a cut goes along with the stretch after it, to be rendered behind.
+    leads = F.col("next").isNotNull() & F.col("turn").eqNullSafe(F.col("last"))
+    lead = F.struct(F.col("next").alias("stretch"), F.lit(0).alias("own"))
+    placed = joined.select(
+        "conv", F.explode(F.when(leads, F.array(own, lead)).otherwise(F.array(own))).alias("at"),
+        "turn", "role", "text",
+    ).select("conv", "at.stretch", "at.own", "turn", "role", "text")
+
+    def made(key, number, lead, turns):
         try:
-            formatted, spans = turn_spans(turns, render)
+            formatted, spans = turn_spans(turns, render, lead)
         except RewritesHistory:
-            return (conv_key, stretch, number, len(turns), None, None, True)
+            return (*key, number, len(turns), None, None, True)
+        shift = len(render(lead)) if lead else 0
         loss = [
-            {"start": begin, "stop": end}
+            {"start": begin - shift, "stop": end - shift}
             for (_, begin, end), (who, _) in zip(spans, turns)
             if who == loss_role
         ]
-        if number or stretch != first:
-            shift = len(opening)
-            formatted = formatted[shift:]
-            loss = [{"start": x["start"] - shift, "stop": x["stop"] - shift} for x in loss]
-        return (conv_key, stretch, number, len(turns), formatted, loss, False)
+        return (*key, number, len(turns), formatted[shift:], loss, False)
 
     def format_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretches = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -162,26 +209,31 @@ def format_conversations(
                 [pa.array(values, kind) for values, kind in zip(zip(*pieces), kinds)], names
             )
 
-        key, number, turns, pieces = None, 0, [], []
+        key, number, lead, turns, pieces = None, 0, [], [], []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)]
-            for c, s, first, who, said in zip(*columns):
-                if turns and (key != (c, s, first) or len(turns) == piece):
-                    pieces.append(made(key, number, turns))
-                    number = number + 1 if key == (c, s, first) else 0
-                    turns = []
-                key = (c, s, first)
+            for c, s, is_own, who, said in zip(*columns):
+                if key != (c, s):
+                    if turns:
+                        pieces.append(made(key, number, lead, turns))
+                    key, number, lead, turns = (c, s), 0, [], []
+                if not is_own:
+                    lead = [(who, said)]
+                    continue
+                if len(turns) == piece:
+                    pieces.append(made(key, number, lead, turns))
+                    number, lead, turns = number + 1, turns[-1:], []
                 turns.append((who, said))
             if pieces:
                 yield batch_of(pieces)
                 pieces = []
         if turns:
-            yield batch_of([made(key, number, turns)])
+            yield batch_of([made(key, number, lead, turns)])
 
     n = partitions(conversations.sparkSession)
     pieces = (
-        joined.repartition(n, "conv", "stretch")
-        .sortWithinPartitions("conv", "stretch", "turn", "role", "text")
+        placed.repartition(n, "conv", "stretch")
+        .sortWithinPartitions("conv", "stretch", "own", "turn", "role", "text")
         .mapInArrow(format_sorted, PIECE_SCHEMA)
     )
     return pieces.select(

@@ -105,5 +105,39 @@ def test_rewritten_conversations_have_no_text(conversations):
     assert {r.conv_id: r.turns_sha256 for r in digests.collect()}[3] is None
 
 
+def tells_changes(turns):
+    return "".join(
+        f"[{'again' if k and turns[k - 1][0] == r else r}] {t}\n" for k, (r, t) in enumerate(turns)
+    )
+
+
+@pytest.mark.parametrize("piece", [1, 8, 64])
+def test_a_template_may_look_one_turn_back(conversations, piece):
+    pieces = format_conversations(conversations, render=tells_changes, piece=piece).where("conv_id = 5")
+    found = sorted(pieces.collect(), key=lambda r: r.piece)
+    text = "".join(r.formatted for r in found)
+    turns = sorted((r.turn, r.role, r.text) for r in conversations.where("conv_id = 5").collect())
+    assert text == tells_changes([(role, said) for _, role, said in turns])
+    assert [r.formatted[x.start : x.stop] for r in found for x in r.loss] == [t for _, _, t in turns]
+
+
+def test_rewriting_across_a_cut_is_seen(conversations):
+    found = format_conversations(conversations, render=hides_earlier, piece=1).collect()
+    own = sorted((r.piece, r.rewrites) for r in found if r.conv_id == 1)
+    assert [rewrites for _, rewrites in own] == [False] + [True] * 149
+
+
+@pytest.mark.parametrize("first", [0, 1, 60, 1000])
+def test_cuts_count_from_the_first_row(spark, first):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    turns = [first + k for k in range(11)] + [first + 300 + 70 * k for k in range(53)]
+    short = spark.createDataFrame([(9, k, "user", str(k)) for k in turns], schema)
+    (whole,) = format_conversations(short).collect()
+    assert whole.n_turns == 64
+    long = spark.createDataFrame([(9, first + k, "user", str(k)) for k in range(300)], schema)
+    sizes = [r.n_turns for r in format_conversations(long).collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 64 and len(sizes) <= 10
+
+
 def test_no_rows(conversations):
     assert conversation_digests(format_conversations(conversations.where("false"))).collect() == []
