@@ -7,12 +7,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretoken.llm.common import Scratch
+
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
 # Each of question and answer must be there as well, at least by this share of its shingles.
@@ -321,17 +324,21 @@ def items_in(text: str | Column, index: Index) -> Column:
 def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
     """Indexes that together hold all items, each of a bounded part of them.
 
-    Items are dealt by a hash of their row and read part by part, so the driver holds one part.
-    Those of one part whose lengths differ much have indexes of their own, as passages are cut to
-    the longest item.
+    Items are dealt by a hash of their row, written by part and read part by part, so the driver
+    holds one part. Those of one part whose lengths differ much have indexes of their own, as
+    passages are cut to the longest item.
     """
     rows = benchmark.select(
         F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")
     ).where("text is not null")
     n, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n // INDEX_ITEMS), -(-n_bytes // INDEX_BYTES))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", "text"), F.lit(parts)))
+    if parts > 1:
+        scratch = Scratch(benchmark.sparkSession)
+        dealt = scratch.store(dealt.repartition(parts, "part").sortWithinPartitions("part"), "items")
     for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) == part)
+        own = dealt.where(F.col("part") == part)
         by_length: dict[int, list[Item]] = {}
         for row in own.toLocalIterator():
             if item := make_item(row["key"], row["text"]):
@@ -346,6 +353,25 @@ def contaminated_items(text: str | Column, benchmark: DataFrame, item: str = "it
     return F.concat(*found) if found else F.array().cast(FOUND)
 
 
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id"
+) -> DataFrame:
+    """The rows of ``documents`` in whose text no item of the benchmark was found, all columns kept.
+
+    What one index leaves is written before the next searches it, so at most two are held at a time.
+    Null and empty texts, rows without a key and repeated rows stay as they are.
+    """
+    kept, scratch, stored = documents, Scratch(documents.sparkSession), None
+    for number, index in enumerate(indexes(benchmark, item)):
+        if number:
+            former, stored = stored, scratch.store(kept, "kept")
+            if former is not None:
+                scratch.drop(former)
+            kept = stored
+        kept = kept.where(F.size(items_in(kept[text], index)) == 0)
+    return kept
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -360,13 +386,23 @@ def find_contamination(
     the passage, and half of those of its question and of its answer. An item of fewer than five
     words is one shingle. ``score`` is over the least score at which the item could be verified.
 
+    A benchmark of more than one index is searched index by index: the hits of each are written
+    before the next is made, so driver and tasks hold one at a time.
+
     Null and empty documents hold no item, null and wordless items lie in no document. Equal items
     are each returned, as are repeated documents; null keys are kept. Other columns are not read.
     """
-    found = documents.select(
-        F.col(key).alias("_key"), contaminated_items(F.col(text), benchmark, item).alias("_found")
-    )
-    return found.select("_key", F.explode("_found").alias("_found")).select(
+    scratch, parts = Scratch(documents.sparkSession), []
+    for index in indexes(benchmark, item):
+        hits = documents.select(
+            F.col(key).alias("_key"), F.explode(items_in(F.col(text), index)).alias("_found")
+        )
+        parts.append(scratch.store(hits, "hits"))
+        del index, hits
+    if not parts:
+        nothing = F.array().cast(FOUND)
+        parts = [documents.select(F.col(key).alias("_key"), F.explode(nothing).alias("_found"))]
+    return reduce(DataFrame.unionAll, parts).select(
         F.col("_key").alias(key), F.col("_found.item").alias(item), "_found.score",
         "_found.question_overlap", "_found.answer_overlap", "_found.overlap",
     )

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 from itertools import combinations
 
 import numpy as np
@@ -7,8 +9,10 @@ import pytest
 from foretoken.llm.decontamination import (
     Index,
     Searcher,
+    drop_contaminated,
     find_contamination,
     greatest_loss,
+    indexes,
     make_item,
     question_and_answer,
     shingles_of,
@@ -142,6 +146,41 @@ def test_a_large_benchmark_is_searched_in_parts(odd_documents, spark, monkeypatc
     assert {i for k, i in found if k == 8} == {1, 3, 5}
 
 
+def test_one_index_is_held_at_a_time(odd_documents, spark, monkeypatch):
+    monkeypatch.setattr("foretoken.llm.decontamination.INDEX_ITEMS", 2)
+    held, most = [], []
+
+    def counted(*given):
+        for index in indexes(*given):
+            held.append(weakref.ref(index))
+            gc.collect()
+            most.append(sum(one() is not None for one in held))
+            yield index
+            del index
+
+    monkeypatch.setattr("foretoken.llm.decontamination.indexes", counted)
+    rows = [(i, f"the small grey cat number {i} sat on the old mat by the fire") for i in range(8)]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+    find_contamination(odd_documents, benchmark)
+    assert len(most) > 2 and max(most) == 1
+
+
+def test_contaminated_documents_go(odd_documents, no_documents, spark, monkeypatch):
+    rows = [(1, "The cat sat on the mat and looked at the dog."), (2, "der Hund und die Katze sitzen auf der Matte")]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+    for size in (1024, 1):
+        monkeypatch.setattr("foretoken.llm.decontamination.INDEX_ITEMS", size)
+        kept = drop_contaminated(odd_documents, benchmark)
+        assert kept.columns == odd_documents.columns
+        left = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+        gone = {t for _, t in rows} | {"Der Hund und die Katze sitzen auf der Matte hier."}
+        gone |= {"Der Hund und die Katze sitzen auf der Matte."}
+        want = [(r.doc_id or -1, r.text or "") for r in odd_documents.collect() if r.text not in gone]
+        assert left == sorted(want)
+    assert drop_contaminated(no_documents, benchmark).collect() == []
+    assert drop_contaminated(odd_documents, benchmark.where("false")).count() == odd_documents.count()
+
+
 @pytest.mark.parametrize("mark", ["Answer:", "A:", "answer :", "A:the"])
 def test_copies_of_marked_items(mark):
     question = "What is the name of the river that runs through the middle of the old city today?"
