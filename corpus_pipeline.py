@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretoken.llm.common import Scratch, read_table
-from foretoken.llm.decontamination import contaminated_items
+from foretoken.llm.decontamination import drop_contaminated as without_items
 from foretoken.llm.language import fit_languages, language_of
 from foretoken.llm.sequence_packing import pack_documents
 from foretoken.llm.simhash import drop_near_duplicates
@@ -39,8 +39,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    benchmark = read_table(spark, sf_dir, "benchmark")
-    return docs.where(F.size(contaminated_items(docs["text"], benchmark)) == 0)
+    return without_items(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
