@@ -347,12 +347,6 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> I
             yield Index(items)
 
 
-def contaminated_items(text: str | Column, benchmark: DataFrame, item: str = "item_id") -> Column:
-    """Array of all verified items of the benchmark in a text."""
-    found = [items_in(text, index) for index in indexes(benchmark, item)]
-    return F.concat(*found) if found else F.array().cast(FOUND)
-
-
 def drop_contaminated(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id"
 ) -> DataFrame:
