@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from foretoken.operators.ngrams import ngram_counts
@@ -11,7 +13,13 @@ from foretoken.streaming.counts import (
     start_partial_counts,
     write_partial,
 )
-from foretoken.streaming.packing import pack_micro_batch, packed_rows, start_packing
+from foretoken.streaming.packing import (
+    late_documents,
+    pack_micro_batch,
+    packed_rows,
+    release_held,
+    start_packing,
+)
 
 LENGTHS = {0: [5, 4, 9, 2, 8, 30, 3], 1: [7, 2, 2], 2: [64]}
 
@@ -78,6 +86,96 @@ def test_a_late_document_is_an_error(spark, folder):
         pack_micro_batch(late, 1, folder, 4)
 
 
+SCHEMA = "shard int, doc_id bigint, ids array<int>, n int"
+
+
+def numbered(spark, n, shards, seed=5):
+    """Documents dealt to shards by their ids, of zero to twelve ids each."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        ids = [1000 * i + k for k in range(rng.randrange(13))]
+        rows.append((i % shards, i, ids, len(ids)))
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def slow_waiting(batches, step, patience):
+    """Which documents each micro-batch packs, and which come too late, one after the other."""
+    held, last, packed, late = {}, {}, [], []
+    for k, batch in enumerate(batches):
+        done = []
+        for shard, doc, _, _ in batch:
+            if doc <= last.get(shard, -1):
+                late.append(doc)
+            else:
+                held.setdefault(shard, {}).setdefault(doc, k)
+        for shard, own in held.items():
+            at = max([last.get(shard, shard - step), *[d for d, since in own.items() if since <= k - patience]])
+            while at + step in own:
+                at += step
+            done += [d for d in own if d <= at]
+            for d in [d for d in own if d <= at]:
+                del own[d]
+                last[shard] = max(last.get(shard, -1), d)
+        packed.append(sorted(done))
+    return packed, sorted(late)
+
+
+def test_any_order_of_arrival_packs_like_one_batch(spark, folder):
+    rows, encoded = numbered(spark, 60, 3)
+    random.Random(1).shuffle(rows)
+    for k in range(3):
+        part = spark.createDataFrame(rows[k::3], SCHEMA)
+        # One micro-batch is delivered again.
+        for _ in range(2 if k == 1 else 1):
+            pack_micro_batch(part, k, folder, 8, step=3)
+    assert sorted(packed_rows(spark, folder).collect()) == sorted(pack_wrap(encoded, 8).collect())
+    assert late_documents(spark, folder).count() == 0
+
+
+def test_what_never_comes_is_given_up(spark, folder):
+    rows, _ = numbered(spark, 40, 2)
+    lost = {4, 9, 10, 39}
+    came = [r for r in rows if r[1] not in lost]
+    random.Random(3).shuffle(came)
+    late = [r for r in rows if r[1] in (4, 9)]
+    batches = [came[:12], came[12:24], came[24:], [], late, late[:1]]
+    packed, too_late = slow_waiting(batches, 2, 2)
+    for k, batch in enumerate(batches):
+        pack_micro_batch(spark.createDataFrame(batch, SCHEMA), k, folder, 8, step=2, patience=2)
+    assert sorted(r.doc_id for r in late_documents(spark, folder).collect()) == too_late
+    assert set(too_late) <= {4, 9} and sum(packed, []).count(0) == 1
+    release_held(spark, folder, 8, 2)
+    gone = [r[1] for r in rows if r[1] in lost and r[1] not in sum(packed, [])]
+    kept = spark.createDataFrame([r for r in rows if r[1] not in gone], SCHEMA)
+    assert sorted(packed_rows(spark, folder).collect()) == sorted(pack_wrap(kept, 8).collect())
+
+
+def test_held_documents_are_bounded_and_released(spark, folder):
+    rows, _ = numbered(spark, 30, 1)
+    held = []
+    for k in range(4):
+        # The first document never comes.
+        part = [r for r in rows[3 * k : 3 * k + 3] if r[1]]
+        pack_micro_batch(spark.createDataFrame(part, SCHEMA), k, folder, 8, step=1, patience=2)
+        held.append(spark.read.parquet(f"{folder}/held/batch_id={k}").count())
+    assert held == [2, 5, 0, 0]
+    late = spark.createDataFrame([rows[0], rows[5]], SCHEMA)
+    pack_micro_batch(late, 4, folder, 8, step=1, patience=2)
+    found = late_documents(spark, folder).collect()
+    assert sorted((r.doc_id, r.batch_id) for r in found) == [(0, 4), (5, 4)]
+
+
+def test_a_stream_of_documents_in_any_order(spark, folder):
+    rows, encoded = numbered(spark, 24, 2)
+    random.Random(8).shuffle(rows)
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], SCHEMA).write.mode("append").parquet(folder + "/in")
+        arriving = spark.readStream.schema(encoded.schema).parquet(folder + "/in")
+        start_packing(arriving, folder + "/out", folder + "/checkpoint", 8, step=2).awaitTermination()
+    assert sorted(packed_rows(spark, folder + "/out").collect()) == sorted(pack_wrap(encoded, 8).collect())
+
+
 def test_merges_read_what_has_come_since(spark, folder, samples_of):
     read = []
     for k in range(12):
