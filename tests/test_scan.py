@@ -252,3 +252,42 @@ def test_keys_of_more_than_four_ids(samples_of):
         assert {tuple(r)[:n]: r["count"] for r in counted.collect()} == want
         keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", counted._jdf.queryExecution().toString())
         assert keys and all(len(k.split(",")) == 2 for k in keys)
+
+
+@pytest.mark.parametrize("seq_len", [1, 2])
+def test_a_frequent_short_context_in_parts(samples_of, rows, monkeypatch, seq_len):
+    monkeypatch.setattr(scan, "PART_PLACES", 5)
+    monkeypatch.setattr(scan, "FEWEST", 1)
+    samples = samples_of(rows)
+    short, long = ngram_counts(samples, seq_len + 1), ngram_counts(samples, seq_len + 2)
+    joined, key = scan._beside_short(short, long)
+    assert joined.select("part").distinct().count() > 1
+    got = {tuple(r[f"id{k}"] for k in range(seq_len + 1)): r for r in scan.scan_metrics(short, long, 1.0).collect()}
+    want = brute_force(rows, seq_len, 1.0)
+    assert set(got) == set(want)
+    for context, r in got.items():
+        assert (r.n_context, *[r[m] for m in scan.METRICS]) == pytest.approx(want[context], abs=1e-9)
+
+
+def test_long_ngrams_are_moved_once(spark, samples_of, rows, folder, without_broadcasts):
+    samples = samples_of(rows)
+    for n in (2, 3):
+        ngram_counts(samples, n).write.parquet(f"{folder}/{n}")
+    short, long = (spark.read.parquet(f"{folder}/{n}") for n in (2, 3))
+    for found in (scan.scan_metrics(short, long, 1.0), scan.next_token_distribution(short, long, 1.0)):
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", formatted(spark, found))
+        assert sum("first#" in columns for columns in moved) == 1
+
+
+def test_one_place_of_a_context_and_task_is_moved(spark, samples_of, rows, tokens, folder, without_broadcasts):
+    samples = samples_of(rows)
+    hits = scan.scan_metrics(ngram_counts(samples, 2), ngram_counts(samples, 3), 1.0)
+    hits.write.parquet(f"{folder}/hits")
+    plan = formatted(spark, scan.scan_filter(samples, spark.read.parquet(f"{folder}/hits"), tokens, 4))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert not any("context_ids#" in columns for columns in moved)
+
+
+def test_token_table_is_joined_without_a_shuffle(spark, samples_of, rows, tokens, hits, without_broadcasts):
+    found = scan.scan_examples(samples_of(rows), hits([((0, 1), 0.9)]), tokens, 4)
+    assert formatted(spark, found).count(") SortMergeJoin") <= 1
