@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from foretoken.functions.text import split_tokens
+from foretoken.operators import encoding
 from foretoken.operators.encoding import (
     decode_rows,
     encode_documents,
@@ -159,3 +161,12 @@ def test_public_byte_pair_encoding(spark, documents):
     size = tokenizer.get_vocab_size()
     table = token_table(spark, [tokenizer.decode([i]) for i in range(size)])
     assert table.count() == size
+
+
+def test_lists_are_looked_at_in_runs(monkeypatch):
+    monkeypatch.setattr(encoding, "RUN_ITEMS", 10)
+    rows = [[1] * 4, None, [2] * 6, [3] * 25, [], [4] * 10, [5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["ids"]).slice(1)
+    runs = list(encoding._runs(batch, 0))
+    assert [row for run in runs for row in run.column(0).to_pylist()] == rows[1:]
+    assert all(len(run) == 1 or len(run.column(0).flatten()) <= 10 for run in runs) and len(runs) > 2
