@@ -19,6 +19,7 @@ from foretoken.sources.samples import (
     cap_batches,
     cap_per_shard,
     read_samples,
+    spread_samples,
     write_samples,
 )
 from foretoken.sources.tables import (
@@ -98,6 +99,27 @@ def test_a_rerun_batch_with_fewer_chunks_leaves_none_behind(spark, folder, sampl
     assert spark.read.parquet(folder).agg(F.sum("count")).first()[0] == 1
 
 
+def test_a_batch_has_one_folder(spark, folder, samples_of):
+    rows = [[k, k + 1, k + 2, k + 3, 60 - k] for k in range(40)]
+    write_partials(ngram_partials(samples_of(rows), 2, 4, 64), folder)
+    assert len(files(folder)) == 10
+    read = spark.read.parquet(folder)
+    assert read.select("batch").distinct().count() == 10 and "id0_chunk" in read.columns
+    assert read.agg(F.sum("count")).first()[0] == 160
+
+
+def test_rows_are_spread_over_tasks_of_so_many_ids(spark, folder, samples_of, monkeypatch):
+    write_samples(samples_of([[k] * 8 for k in range(256)]), folder)
+    samples = read_samples(spark, folder)
+    assert spread_samples(samples, 8).rdd.getNumPartitions() == samples.rdd.getNumPartitions()
+    monkeypatch.setattr("foretoken.sources.samples.TASK_IDS", 64)
+    monkeypatch.setattr("foretoken.sources.samples.RUN_IDS", 16)
+    spread = spread_samples(samples, 8)
+    assert spread.rdd.getNumPartitions() == 32
+    assert max(map(len, spread.rdd.glom().collect())) < 64
+    assert sorted(spread.collect()) == sorted(samples.collect())
+
+
 def test_ranks_of_a_sorted_table(spark, folder):
     table = spark.range(5000).selectExpr("cast(hash(id) % 100 as int) as a", "id").repartition(7)
     ranked = write_ranked(table.orderBy(F.desc("a"), "id"), folder)
