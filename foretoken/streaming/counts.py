@@ -1,6 +1,6 @@
 """Count n-grams of an arriving stream of token rows, and keep the partial counts few.
 
-Every micro-batch leaves a folder of counts. Whenever ``fan`` neighbouring runs of one level have come
+Every micro-batch leaves a folder of counts, with their chunk as a column. Whenever ``fan`` neighbouring runs of one level have come
 together they are merged into one run of the next level, so that after b micro-batches there are at
 most ``fan - 1`` folders for each of about log_fan(b) levels, and a count is written anew once a level,
 not once a merge.
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foretoken.functions.ids import id_columns
 from foretoken.operators.ngrams import ngram_counts, recombine, with_chunk
 from foretoken.session import list_folder, remove_folder
-from foretoken.sources.tables import write_chunked
+from foretoken.sources.tables import write_table
 from foretoken.sources.versions import live_number, live_state, new_folder, switch
 
 BATCH = "batch_id="
@@ -39,14 +39,8 @@ def write_partial(rows: DataFrame, batch_id: int, n: int, path: str, chunks: int
     nothing once it is part of a merged run."""
     if batch_id <= _last(_runs(rows.sparkSession, path)):
         return
-    (
-        with_chunk(ngram_counts(rows, n), chunks)
-        .hint("rebalance", "id0_chunk")
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .partitionBy("id0_chunk")
-        .parquet(f"{path}/{BATCH}{batch_id}")
-    )
+    # A folder for each chunk would cost every run a shuffle, a sort and as many files.
+    write_table(with_chunk(ngram_counts(rows, n), chunks), f"{path}/{BATCH}{batch_id}")
 
 
 def _read(spark: SparkSession, path: str, folders: list[str], n: int) -> DataFrame:
@@ -101,7 +95,7 @@ def compact(
         if folder is None:
             folder = new_folder()
             totals = recombine(_read(spark, path, run["sources"], n), n)
-            write_chunked(totals, f"{path}/{folder}", chunks)
+            write_table(with_chunk(totals, chunks), f"{path}/{folder}")
             read += run["sources"]
         state.append({k: run[k] for k in ("level", "first", "last")} | {"folder": folder})
     if read:

@@ -229,3 +229,13 @@ def test_levels_after_many_micro_batches():
         runs = [{k: run[k] for k in ("level", "first", "last")} | {"folder": f"{run['first']}"} for run in plan]
         assert len(runs) <= 3 * 5
     assert written <= 5 * 1000
+
+
+def test_a_run_is_not_a_file_for_every_chunk(spark, folder, samples_of):
+    rows = samples_of([[k, k + 1, k + 2] for k in range(64)])
+    for batch in range(2):
+        write_partial(rows, batch, 2, folder, 64)
+    compact(spark, folder, 2, 64, 1, 2)
+    for run in live_folders(spark, folder):
+        assert len(spark.read.parquet(f"{folder}/{run}").inputFiles()) <= 4
+    assert merge_partials(spark, folder, 2).groupBy().sum("count").first()[0] == 256
