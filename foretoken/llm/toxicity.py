@@ -16,25 +16,27 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretoken.llm.common import Scratch, in_fold
 
-# The model is fitted on about this many labelled documents of either label, chosen by a hash.
-SAMPLE = 8000
-# Words of the sample, most frequent in either label first, that the character model learns from.
+# Words of the labelled documents, most frequent in either label first, that the character model
+# learns from: it is held by every task.
 WORDS = 1 << 15
 ORDER = 4
 LIMIT = 0.7
 # A word is evidence if it has this many different neighbours in documents labelled 1, and if at
-# least this share of all its neighbours, weighted to the whole table, comes from such documents.
+# least this share of all its neighbours comes from such documents.
 # The share is the lower end of a confidence interval of so many standard errors: of many rare words
 # some are found in such documents only by chance.
 NEIGHBOURS, PURITY, ERRORS = 5, 0.6, 1.5
-# Each of so many parts of the sample tells how sure the evidence of the other parts is; the words
-# come from all parts.
+# Each of so many parts of the labelled documents tells how sure the evidence of the other parts is;
+# the words come from all parts.
 PARTS = 4
+# Different words that a task counts before it sends them, and documents whose words it sends at once.
+COUNTED, SENT = 1 << 17, 512
 # Tokens whose decoded words a task remembers.
 REMEMBERED = 1 << 18
 
@@ -274,163 +276,6 @@ def rising_chances(
     )
 
 
-def fit_toxicity(
-    documents: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "toxic",
-    sample: int = SAMPLE,
-) -> ToxicityModel:
-    """Learn from a bounded sample of ``labels`` (key, label 0/1), of which a key's largest counts.
-
-    Copies of a document bring a word always in the same company; words are therefore counted by
-    their different neighbours. Bounded tables reach the driver: two sizes, ``WORDS`` words, and
-    words that pass the limits in at most ``2 * sample`` documents.
-    """
-    scratch = Scratch(documents.sparkSession)
-    given = (
-        labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-        .where("key is not null and label in (0, 1)")
-        .groupBy("key").agg(F.max("label").cast("int").alias("label"))
-    )
-    sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
-    if not sizes.get(1):
-        return ToxicityModel({}, {}, (0.0,), (0.0,))
-    shares = [min(1.0, sample / max(1, sizes.get(one, 0))) for one in (0, 1)]
-    place = F.shiftrightunsigned(F.xxhash64("key", F.lit(3)), 11) / float(1 << 53)
-    chosen = given.where(place < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0]))
-    # About 2 * sample rows of two numbers.
-    chosen = scratch.store(chosen.select(F.col("key").alias("_key"), "label"), "chosen")
-    texts = scratch.store(
-        documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .join(F.broadcast(chosen), F.col("key") == F.col("_key"))
-        .dropDuplicates(["key"])
-        .select("label", "text", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")),
-        "texts",
-    )
-    n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    weight = {one: 1.0 / max(1, n.get(one, 0)) for one in (0, 1)}
-    word_schema = "word string, part int, zero bigint, one bigint"
-
-    def doc_words(read):
-        """Documents of either label with a word, by part of the sample."""
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = (Counter(), Counter())
-            words_in = read()
-            for batch in batches:
-                for one, value, part in zip(*(column.to_pylist() for column in batch.columns)):
-                    counts[one].update((word, part) for word in set(words_in(value)))
-            words = list(counts[0] | counts[1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w for w, _ in words], pa.string()),
-                    pa.array([part for _, part in words], pa.int32()),
-                    pa.array([counts[0][w] for w in words], pa.int64()),
-                    pa.array([counts[1][w] for w in words], pa.int64()),
-                ],
-                ["word", "part", "zero", "one"],
-            )
-
-        return texts.mapInArrow(count, word_schema)
-
-    balanced = F.col("zero") * weight[0] + F.col("one") * weight[1]
-    plain = doc_words(lambda: lambda value: LETTERS.findall((value or "").lower()))
-    learned = {
-        row["word"]: row["weight"]
-        for row in plain.groupBy("word").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-        .where("zero + one > 1")
-        .select("word", balanced.alias("weight")).orderBy(F.desc("weight"), "word").limit(WORDS).collect()
-    }
-
-    def reader():
-        return Reader(CharacterModel(learned)).words
-
-    # Without one part after the other, and last with all of them.
-    without = [*range(PARTS), -1]
-
-    # Share of label 1 among the documents with a word, in the whole table rather than the sample.
-    def pure(one, zero):
-        ones, zeros = one / shares[1], zero / shares[0]
-        return (one >= NEIGHBOURS) & (ones / (ones + zeros) >= PURITY)
-
-    def others(column, part):
-        return F.sum(F.when(F.col("part") != part, F.col(column)).otherwise(0))
-
-    sums = doc_words(reader).groupBy("word").agg(
-        *[others(name, part).alias(f"{name}_{k}") for k, part in enumerate(without) for name in ("one", "zero")]
-    )
-    passes = [pure(F.col(f"one_{k}"), F.col(f"zero_{k}")) for k in range(len(without))]
-    candidates = {
-        row["word"]: row["passes"]
-        for row in sums.select("word", F.array(*passes).alias("passes"))
-        .where(F.exists("passes", lambda x: x)).collect()
-    }
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_in = reader()
-        for batch in batches:
-            found = set()
-            for one, value, part in zip(*(column.to_pylist() for column in batch.columns)):
-                words = ["", *words_in(value), ""]
-                for before, word, after in zip(words, words[1:], words[2:]):
-                    if word in candidates:
-                        found.add((word, f"{before} {after}", one, part))
-            rows = list(zip(*found)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()),
-                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32())],
-                ["word", "near", "label", "part"],
-            )
-
-    # Neighbours that are found outside a part: those with another part than it.
-    places = (
-        texts.mapInArrow(neighbours, "word string, near string, label int, part int")
-        .groupBy("word", "near", "label").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    )
-
-    def outside(label, part):
-        seen = (F.col("label") == label) & ((F.col("low") != part) | (F.col("high") != part))
-        return F.sum(seen.cast("int"))
-
-    told = places.groupBy("word").agg(
-        *[outside(label, part).alias(f"{name}_{k}")
-          for k, part in enumerate(without) for label, name in enumerate(("zero", "one"))]
-    ).collect()
-    evidences: list[dict[str, float]] = [{} for _ in without]
-    for row in told:
-        for k, evidence in enumerate(evidences):
-            one, zero = row[f"one_{k}"], row[f"zero_{k}"]
-            if one < NEIGHBOURS or not candidates[row["word"]][k]:
-                continue
-            odds = lowest_share(one, zero) * shares[0]
-            odds /= (1.0 - lowest_share(one, zero)) * shares[1]
-            if odds >= PURITY / (1.0 - PURITY):
-                evidence[row["word"]] = math.log(odds)
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_in = reader()
-        for batch in batches:
-            totals = []
-            for value, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                evidence = evidences[part]
-                totals.append(sum(evidence[w] for w in sorted(evidence.keys() & set(words_in(value)))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(totals, pa.float64())], ["label", "total"]
-            )
-
-    # About 2 * sample rows of two numbers.
-    points = texts.mapInArrow(summed, "label int, total double").collect()
-    if not points:
-        return ToxicityModel({}, {}, (0.0,), (0.0,))
-    which = np.array([row["label"] for row in points], np.int64)
-    weights, chances = rising_chances(
-        np.array([row["total"] for row in points]), which, 1.0 / np.array(shares)[which]
-    )
-    return ToxicityModel(learned, evidences[-1], weights, chances)
-
-
 # Letters that one look-alike may stand for are one class, named by the first. The mark for any vowel
 # is left out here.
 ANY_VOWEL = "*"
@@ -439,6 +284,7 @@ CLASSES = str.maketrans(
     | {mark: letters[0] for mark, letters in LOOKALIKE.items() if mark != ANY_VOWEL}
 )
 NO_LETTER, RUN = re.compile(r"[\W\d_]+"), re.compile(r"(.)\1+")
+NO_LETTER_OR_BLANK = re.compile(r"[^\w ]+|[\d_]+")
 VOWEL = re.compile(f"[{LOOKALIKE[ANY_VOWEL].translate(CLASSES)}]+")
 
 
@@ -478,6 +324,243 @@ class Possible:
             return found
         return next(found.iter(skeleton(span, vowels)), None) is not None
 
+    def among(self, spans: Iterable[str]) -> list[str]:
+        """Those of some spans without white space that it says yes to."""
+        marked = [span for span in spans if ANY_VOWEL in span]
+        others = [span for span in spans if ANY_VOWEL not in span]
+        found = self.found[True]
+        if others and not isinstance(found, bool):
+            # Nearly all say no: they are looked at in one go, with blanks that no skeleton has.
+            letters = NO_LETTER_OR_BLANK.sub("", " ".join(others).translate(CLASSES))
+            if next(found.iter(RUN.sub(r"\1", letters)), None) is None:
+                others = []
+        return [span for span in marked + others if self(span)]
+
+
+class Finder:
+    """Which of the given words a text holds. Only spans of which some reading may hold one are
+    decoded, or all, with the same words found."""
+
+    def __init__(self, reader: Reader, words: Iterable[str], decode_all: bool = False) -> None:
+        self.reader, self.wanted = reader, frozenset(words)
+        self.memory: dict[str, tuple[str, ...]] = {}
+        self.possible = None if decode_all else Possible(self.wanted)
+
+    def __call__(self, text: str | None) -> set[str]:
+        lowered = (text or "").lower()
+        tokens, memory, possible = set(lowered.split()), self.memory, self.possible
+        if len(memory) >= REMEMBERED:
+            memory.clear()
+        new = tokens.difference(memory)
+        memory.update(dict.fromkeys(new, ()))
+        for token in new if possible is None else possible.among(new):
+            memory[token] = tuple(w for w in self.reader.token(token) if w in self.wanted)
+        found = {word for words in map(memory.__getitem__, tokens) for word in words}
+        spaced = self.reader.spaced(lowered) if possible is None else self.reader.spaced(lowered, possible)
+        return found.union(word for word in spaced if word in self.wanted)
+
+
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either label with a word as it is written; for each part those of label 0 where
+    it stands between white space, so that every reading has it."""
+
+    def counted() -> pa.RecordBatch:
+        words = list(dict.fromkeys(word for count in counts for word in count))
+        once_read = [not THRICE.search(word) for word in words]
+        columns = [pa.array(list(map(count.get, words)), pa.int64()) for count in counts]
+        columns[2:] = [pc.if_else(pa.array(once_read, pa.bool_()), column, 0) for column in columns[2:]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), *(column.fill_null(0) for column in columns)],
+            ["word", "zero", "one", *(f"sure_{part}" for part in range(PARTS))],
+        )
+
+    counts = [Counter() for _ in range(2 + PARTS)]
+    for batch in batches:
+        for one, text, part in zip(*(column.to_pylist() for column in batch.columns)):
+            lowered = (text or "").lower()
+            counts[one].update(set(LETTERS.findall(lowered)))
+            if one == 0:
+                counts[2 + part].update(filter(str.isalpha, set(lowered.split())))
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield counted()
+                counts = [Counter() for _ in range(2 + PARTS)]
+    yield counted()
+
+
+def _words_reader(learned: dict[str, float], words: Iterable[str] | None = None):
+    """All restored words of every document, by part; only of those with one of ``words``, if given."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(CharacterModel(learned))
+        finder = None if words is None else Finder(reader, words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SENT):
+                piece = batch.slice(start, SENT)
+                found = [
+                    (label, part, reader.words(text))
+                    for label, text, part in zip(*(column.to_pylist() for column in piece.columns))
+                    if finder is None or finder(text)
+                ]
+                labels, parts, lists = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(labels, pa.int32()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.string()))],
+                    ["label", "part", "words"],
+                )
+
+    return read
+
+
+def _places(read: DataFrame) -> DataFrame:
+    """``(word, near, part)``: every place of a word with the words on both its sides."""
+
+    def beside(i: Column) -> Column:
+        return F.coalesce(F.get("words", i), F.lit(""))
+
+    placed = F.transform(
+        "words", lambda word, i: F.struct(word.alias("word"), F.concat(beside(i - 1), F.lit(" "), beside(i + 1)).alias("near"))
+    )
+    return read.select("part", F.explode(placed).alias("place")).select("place.word", "place.near", "part")
+
+
+# Without one part after the other, and last with all of them.
+WITHOUT = (*range(PARTS), -1)
+
+
+def _documents_with(read: DataFrame, out: str) -> DataFrame:
+    """Documents with each word, without every part: ``out`` and the place in ``WITHOUT``."""
+    return (
+        read.select("part", F.explode(F.array_distinct("words")).alias("word"))
+        .groupBy("word")
+        .agg(*[F.count(F.when(F.col("part") != part, 1)).alias(f"{out}_{k}") for k, part in enumerate(WITHOUT)])
+    )
+
+
+def _neighbours_of(places: DataFrame, out: str) -> DataFrame:
+    """Different neighbours of each word, without every part: those with another part than it."""
+    near = places.groupBy("word", "near").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return near.groupBy("word").agg(
+        *[
+            F.count(F.when((F.col("low") != part) | (F.col("high") != part), 1)).alias(f"{out}_{k}")
+            for k, part in enumerate(WITHOUT)
+        ]
+    )
+
+
+def _pure(one: Column, zero: Column) -> Column:
+    return (one >= NEIGHBOURS) & (one / (one + zero) >= PURITY)
+
+
+def fit_toxicity(
+    documents: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+) -> ToxicityModel:
+    """Learn from all documents with a label in ``labels`` (key, label 0/1), of which a key's largest
+    counts.
+
+    Copies of a document bring a word always in the same company; words are therefore counted by
+    their different neighbours. Documents labelled 1 are read whole. A word that too many others
+    must hold, as it stands there with a single reading, is ruled out first, so that those are read
+    only where a reading may hold a word that is left. The driver gets sums, ``WORDS`` words, and
+    words of label 1 with neighbours enough to be evidence.
+    """
+    spark = documents.sparkSession
+    scratch = Scratch(spark)
+    given = scratch.store(
+        labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+        .where("key is not null and label in (0, 1)")
+        .groupBy("key").agg(F.max("label").cast("int").alias("label")),
+        "given",
+    )
+    if given.where("label = 1").isEmpty():
+        return ToxicityModel({}, {}, (0.0,), (0.0,))
+    texts = scratch.store(
+        documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        .join(given, "key")
+        .dropDuplicates(["key"])
+        .select("label", "text", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")),
+        "texts",
+    )
+    # Two numbers.
+    n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    if not n:
+        return ToxicityModel({}, {}, (0.0,), (0.0,))
+    weight = {one: 1.0 / max(1, n.get(one, 0)) for one in (0, 1)}
+    sure = [f"sure_{part}" for part in range(PARTS)]
+    schema = ", ".join(["word string", *(f"{name} bigint" for name in ("zero", "one", *sure))])
+    plain = scratch.store(
+        texts.mapInArrow(_plain_words, schema).groupBy("word")
+        .agg(*[F.sum(name).alias(name) for name in ("zero", "one", *sure)]).where("zero + one > 1"),
+        "plain_words",
+    )
+    balanced = F.col("zero") * weight[0] + F.col("one") * weight[1]
+    learned = {
+        row["word"]: row["weight"]
+        for row in plain.select("word", balanced.alias("weight"))
+        .orderBy(F.desc("weight"), "word").limit(WORDS).collect()
+    }
+    read_schema = "label int, part int, words array<string>"
+    ones = scratch.store(texts.where("label = 1").mapInArrow(_words_reader(learned), read_schema), "ones")
+    # Words that may pass, as far as the documents of label 0 are known without reading them.
+    least_zero = [
+        sum((F.coalesce(name, F.lit(0)) for other, name in enumerate(sure) if other != part), F.lit(0)) for part in WITHOUT
+    ]
+    maybe = scratch.store(
+        _documents_with(ones, "one").where(F.col(f"one_{PARTS}") >= NEIGHBOURS)
+        .join(plain.select("word", *sure), "word", "left")
+        .withColumn("passes", F.array(*[_pure(F.col(f"one_{k}"), least_zero[k]) for k in range(len(WITHOUT))]))
+        .where(F.exists("passes", lambda x: x)).drop(*sure),
+        "maybe",
+    )
+    told = _neighbours_of(_places(ones).join(maybe.select("word"), "word"), "near_one").join(maybe, "word")
+    enough = [F.col("passes")[k] & (F.col(f"near_one_{k}") >= NEIGHBOURS) for k in range(len(WITHOUT))]
+    candidates = {row["word"]: row for row in told.where(F.greatest(*enough)).collect()}
+    zeros = scratch.store(
+        texts.where("label = 0").mapInArrow(_words_reader(learned, candidates), read_schema)
+        if candidates else ones.where("false"),
+        "zeros",
+    )
+    named = F.broadcast(spark.createDataFrame([(word,) for word in candidates], "word string"))
+    with_zero = {row["word"]: row for row in _documents_with(zeros, "zero").join(named, "word").collect()}
+    near_zero = {row["word"]: row for row in _neighbours_of(_places(zeros).join(named, "word"), "near_zero").collect()}
+    evidences: list[dict[str, float]] = [{} for _ in WITHOUT]
+    for word, row in candidates.items():
+        for k, evidence in enumerate(evidences):
+            zero = with_zero[word][f"zero_{k}"] if word in with_zero else 0
+            with_one, one = row[f"one_{k}"], row[f"near_one_{k}"]
+            if min(with_one, one) < NEIGHBOURS or with_one / (with_one + zero) < PURITY:
+                continue
+            share = lowest_share(one, near_zero[word][f"near_zero_{k}"] if word in near_zero else 0)
+            odds = share / (1.0 - share)
+            if odds >= PURITY / (1.0 - PURITY):
+                evidence[word] = math.log(odds)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals = []
+            for part, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                evidence = evidences[part]
+                totals.append(sum(evidence[w] for w in sorted(evidence.keys() & set(words))))
+            bins = np.searchsorted(BOUNDS, np.array(totals, np.float64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(totals, pa.float64()), pa.array(bins, pa.int32())],
+                ["label", "total", "bin"],
+            )
+
+    # One row for each label and bin; documents that were not read whole have no evidence.
+    points = (
+        ones.unionByName(zeros).mapInArrow(summed, "label int, total double, bin int")
+        .groupBy("label", "bin").agg(F.min("total").alias("total"), F.count("*").alias("n")).collect()
+    )
+    points = [(row["total"], row["label"], row["n"]) for row in points]
+    unread = n.get(0, 0) - sum(count for _, one, count in points if one == 0)
+    points += [(0.0, 0, unread)] if unread else []
+    totals, which, counts = map(np.array, zip(*points))
+    weights, chances = rising_chances(totals, which, counts)
+    return ToxicityModel(learned, evidences[-1], weights, chances)
+
 
 def toxicity_of(text: str | Column, model: ToxicityModel, decode_all: bool = False) -> Column:
     """Probability that a text deserves label 1, by the evidence words in it.
@@ -487,28 +570,10 @@ def toxicity_of(text: str | Column, model: ToxicityModel, decode_all: bool = Fal
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(CharacterModel(model.words))
-        memory: dict[str, tuple[str, ...]] = {}
-        evidence = model.evidence
-        possible = (lambda span: True) if decode_all else Possible(evidence)
-
-        def bad(token):
-            found = memory.get(token)
-            if found is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                read = reader.token(token) if possible(token) else ()
-                found = memory[token] = tuple(w for w in read if w in evidence)
-            return found
-
-        def of(value):
-            lowered = (value or "").lower()
-            found = {word for token in set(lowered.split()) for word in bad(token)}
-            found.update(word for word in reader.spaced(lowered, possible) if word in evidence)
-            return model.chance(found)
-
+        finder = Finder(Reader(CharacterModel(model.words)), model.evidence, decode_all)
         for texts in batches:
-            yield pd.Series(np.fromiter(map(of, texts), np.float64, len(texts)))
+            chances = (model.chance(finder(value)) for value in texts)
+            yield pd.Series(np.fromiter(chances, np.float64, len(texts)))
 
     return score(text)
 

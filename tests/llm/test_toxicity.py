@@ -2,10 +2,12 @@ import pytest
 
 from foretoken.llm.toxicity import (
     CharacterModel,
+    Possible,
     Reader,
     fit_toxicity,
     is_hidden,
     lattice,
+    lowest_share,
     restore,
     rising_chances,
     score_toxicity,
@@ -13,6 +15,8 @@ from foretoken.llm.toxicity import (
     toxicity_of,
 )
 
+import math
+
 import numpy as np
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +157,27 @@ def test_readings_keep_their_skeleton(span):
     model = CharacterModel({"stupid": 1.0, "ill": 1.0, "aboc": 1.0, "lil": 1.0})
     for read in restore(span, model).split():
         assert skeleton(read, "*" not in span) in skeleton(span, "*" not in span)
+
+
+def test_the_model_is_fitted_on_all_labelled_documents(spark):
+    def name(head, i):
+        return head + "".join(chr(97 + int(c)) for c in str(i))
+
+    # Words of which 40 documents of 10,000 of label 1, or two of 10,000 of label 0, have each.
+    evil, rare = [name("zorb", i) for i in range(12)], [name("quib", i) for i in range(40)]
+    docs = [(i, 1, f"plain {name('left', i)} {evil[i // 40] if i < 480 else 'plain'} {name('right', i)}") for i in range(10000)]
+    docs += [(10000 + i, 0, f"plain words {rare[i // 2] if i < 80 else 'here'} {name('left', i)}") for i in range(10000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, toxic int, text string")
+    model = fit_toxicity(frame.drop("toxic"), frame.drop("text"))
+    share = lowest_share(40, 0)
+    assert {word: model.evidence.get(word) for word in evil} == dict.fromkeys(evil, math.log(share / (1 - share)))
+    assert {word: model.words.get(word) for word in rare} == dict.fromkeys(rare, 2 * (1.0 / 10000))
+    # 9,520 documents of label 1 and all of label 0 have no evidence.
+    assert model.chances[0] == (9520 + 0.5) / (19520 + 1.0)
+
+
+def test_possible_words_among_many():
+    possible = Possible(["stupid", "idiot"])
+    spans = ["$tup1d", "st*p*d", "st.u-p1d", "stup", "id", "idiot", "the", "1d", "10t", "*", "x9"]
+    assert sorted(possible.among(spans)) == sorted(filter(possible, spans))
+    assert possible.among(["stup", "id", "the"]) == [] == possible.among([])
