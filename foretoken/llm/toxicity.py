@@ -387,29 +387,34 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
-def _words_reader(learned: dict[str, float], words: Iterable[str] | None = None):
-    """All restored words of every document, by part; only of those with one of ``words``, if given."""
+def _words_reader(learned: dict[str, float]):
+    """All restored words of every document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(CharacterModel(learned))
-        finder = None if words is None else Finder(reader, words)
+        words = Reader(CharacterModel(learned)).words
         for batch in batches:
             for start in range(0, batch.num_rows, SENT):
-                piece = batch.slice(start, SENT)
-                found = [
-                    (label, part, reader.words(text))
-                    for label, text, part in zip(*(column.to_pylist() for column in piece.columns))
-                    if finder is None or finder(text)
-                ]
-                labels, parts, lists = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels, pa.int32()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.string()))],
-                    ["label", "part", "words"],
-                )
+                label, text, part = batch.slice(start, SENT).columns
+                lists = pa.array(list(map(words, text.to_pylist())), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([label, part, lists], ["label", "part", "words"])
 
     return read
 
 
+def _words_finder(learned: dict[str, float], wanted: Iterable[str]):
+    """Documents with some of the wanted words, and which; others are left out."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(Reader(CharacterModel(learned)), wanted)
+        for batch in batches:
+            label, text, part = batch.columns
+            lists = pa.array([list(finder(value)) for value in text.to_pylist()], pa.list_(pa.string()))
+            found = pa.RecordBatch.from_arrays([label, part, lists, text], ["label", "part", "words", "text"])
+            yield found.filter(pc.greater(pc.list_value_length(lists), 0))
+
+    return find
+
+
 def _places(read: DataFrame) -> DataFrame:
     """``(word, near, part)``: every place of a word with the words on both its sides."""
 
@@ -463,7 +468,8 @@ def fit_toxicity(
     Copies of a document bring a word always in the same company; words are therefore counted by
     their different neighbours. Documents labelled 1 are read whole. A word that too many others
     must hold, as it stands there with a single reading, is ruled out first, so that those are read
-    only where a reading may hold a word that is left. The driver gets sums, ``WORDS`` words, and
+    only where a reading may hold a word that is left, and whole only if it is still possible then.
+    The driver gets sums, ``WORDS`` words, and
     words of label 1 with neighbours enough to be evidence.
     """
     spark = documents.sparkSession
@@ -518,19 +524,29 @@ def fit_toxicity(
     enough = [F.col("passes")[k] & (F.col(f"near_one_{k}") >= NEIGHBOURS) for k in range(len(WITHOUT))]
     candidates = {row["word"]: row for row in told.where(F.greatest(*enough)).collect()}
     zeros = scratch.store(
-        texts.where("label = 0").mapInArrow(_words_reader(learned, candidates), read_schema)
-        if candidates else ones.where("false"),
-        "zeros",
+        texts.where("label = 0").mapInArrow(_words_finder(learned, candidates), f"{read_schema}, text string"), "zeros"
     )
-    named = F.broadcast(spark.createDataFrame([(word,) for word in candidates], "word string"))
-    with_zero = {row["word"]: row for row in _documents_with(zeros, "zero").join(named, "word").collect()}
-    near_zero = {row["word"]: row for row in _neighbours_of(_places(zeros).join(named, "word"), "near_zero").collect()}
+    with_zero = {row["word"]: row for row in _documents_with(zeros, "zero").collect()}
+
+    def passes(word: str, k: int) -> bool:
+        one, zero = candidates[word][f"one_{k}"], with_zero[word][f"zero_{k}"] if word in with_zero else 0
+        return one >= NEIGHBOURS and one / (one + zero) >= PURITY
+
+    # Of label 0, only documents with words that passed so far are read whole: words with few of them.
+    few = [(word,) for word in candidates if any(passes(word, k) for k in range(len(WITHOUT)))]
+    named = F.broadcast(spark.createDataFrame(few, "word string"))
+    whole = zeros.where(F.exists("words", lambda word: word.isin([word for word, in few]))).select("label", "text", "part")
+    near_zero = {
+        row["word"]: row
+        for row in _neighbours_of(
+            _places(whole.mapInArrow(_words_reader(learned), read_schema)).join(named, "word"), "near_zero"
+        ).collect()
+    } if few else {}
     evidences: list[dict[str, float]] = [{} for _ in WITHOUT]
-    for word, row in candidates.items():
+    for word, in few:
         for k, evidence in enumerate(evidences):
-            zero = with_zero[word][f"zero_{k}"] if word in with_zero else 0
-            with_one, one = row[f"one_{k}"], row[f"near_one_{k}"]
-            if min(with_one, one) < NEIGHBOURS or with_one / (with_one + zero) < PURITY:
+            one = candidates[word][f"near_one_{k}"]
+            if one < NEIGHBOURS or not passes(word, k):
                 continue
             share = lowest_share(one, near_zero[word][f"near_zero_{k}"] if word in near_zero else 0)
             odds = share / (1.0 - share)
@@ -549,9 +565,9 @@ def fit_toxicity(
                 ["label", "total", "bin"],
             )
 
-    # One row for each label and bin; documents that were not read whole have no evidence.
+    # One row for each label and bin; documents of label 0 that are not kept have no evidence.
     points = (
-        ones.unionByName(zeros).mapInArrow(summed, "label int, total double, bin int")
+        ones.unionByName(zeros.drop("text")).mapInArrow(summed, "label int, total double, bin int")
         .groupBy("label", "bin").agg(F.min("total").alias("total"), F.count("*").alias("n")).collect()
     )
     points = [(row["total"], row["label"], row["n"]) for row in points]
