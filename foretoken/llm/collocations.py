@@ -26,6 +26,9 @@ TOP = 2000
 UNKNOWN_LANGUAGE = "und"
 # Bytes of text whose runs are added up before they are sent.
 CHUNK_BYTES = 6 << 20
+# Turns in which they are added up, each with other parts of the key space: a sort needs several
+# times the memory of its runs.
+TURNS = 8
 # Bytes of text for each part of the key space; a part is added up in one place, and one with more
 # rows than SPLIT_ROWS is dealt out further.
 PART_BYTES = 8 << 20
@@ -98,10 +101,15 @@ class Runs:
         starts = np.flatnonzero(np.concatenate([np.ones(min(len(self.codes), 1), bool), differs]))
         return self._summed(starts, columns)
 
-    def hashed(self, columns: int) -> np.ndarray:
-        """A number below 2**63 from the language and the first words of each run."""
+    def hashed_names(self) -> np.ndarray:
         own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], np.uint64)
         own[0] = 0
+        return own
+
+    def hashed(self, columns: int, own: np.ndarray | None = None) -> np.ndarray:
+        """A number below 2**63 from the language and the first words of each run; ``own``: hashes
+        of the names, if they are known."""
+        own = self.hashed_names() if own is None else own
         key = np.zeros(len(self.codes), np.uint64)
         for k in range(columns):
             key = (key ^ own[self.codes[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +172,8 @@ def _unpacked(packed: bytes) -> bytes:
 
 
 def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> Runs:
-    """The longest run from every place of some texts; a language is a word with its name quoted."""
+    """The longest run from every place of some texts, equal ones not added up yet; a language is a
+    word with its name quoted."""
     buffer = np.frombuffer(b"\n".join([*[t.translate(SEPARATORS) for t in texts], b""]), np.uint8)
     words, starts = _words(buffer)
     coded = words.dictionary_encode()
@@ -180,11 +189,12 @@ def runs_of_texts(langs: list[str], texts: list[bytes], width: int = WORDS) -> R
     names += [b"=" + quote(name, safe="").encode() for name in known]
     language = np.array([known[name] for name in langs], np.int64)[np.searchsorted(ends, starts, "right")]
     n = len(codes)
+    del buffer, starts
     table = np.zeros((n, width + 1), np.int32)
     table[:, 0] = language
     for k in range(min(width, n)):
         table[: n - k, k + 1] = np.where(piece[k:] == piece[: n - k], codes[k:], 0)
-    return Runs(table, np.ones(n, np.int64), names).added_up()
+    return Runs(table, np.ones(n, np.int64), names)
 
 
 def runs_of_rows(rows: pa.RecordBatch | pa.Table, width: int = WORDS) -> Runs:
@@ -210,10 +220,18 @@ def _edge_maker(parts: int, chunk_bytes: int):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts, held = [], [], 0
 
-        def made() -> pa.RecordBatch:
+        def made() -> Iterator[pa.RecordBatch]:
             runs = runs_of_texts(langs, texts)
-            # All runs that begin with the same two words go to one part.
-            return runs.rows(runs.hashed(3) % parts)
+            langs.clear()
+            texts.clear()
+            own = runs.hashed_names()
+            # All runs that begin with the same two words go to one part, and so to one turn.
+            turns = (runs.hashed(3, own) % parts % TURNS).astype(np.int8)
+            for turn in range(TURNS):
+                summed = runs.where(turns == turn).added_up()
+                yield summed.rows(summed.hashed(3, own) % parts)
+                del summed
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -221,10 +239,10 @@ def _edge_maker(parts: int, chunk_bytes: int):
                 texts.append(text.as_buffer().to_pybytes())
                 held += len(texts[-1]) + 1
                 if held >= chunk_bytes:
-                    yield made()
-                    langs, texts, held = [], [], 0
+                    yield from made()
+                    held = 0
         if texts:
-            yield made()
+            yield from made()
 
     return edges
 
@@ -260,6 +278,7 @@ def _counter(least: int):
                 found = found.where(found.counts >= least)
             out.append(found.phrases())
             runs = runs.shortened() if width > 1 else runs
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     return counted

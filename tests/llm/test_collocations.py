@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from foretoken.llm.collocations import mine_collocations, unary_paths
+from foretoken.llm.collocations import _edge_maker, mine_collocations, unary_paths
 from foretoken.llm.common import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,3 +90,15 @@ def test_odd_documents(spark, odd_documents, no_documents):
     found = mine_collocations(odd_documents, 2).collect()
     assert {r.lang for r in found} == {"en", "de"}
     assert all(r.rank >= 1 and 0 < r.score <= 1000000 and r.a >= 2 for r in found)
+
+
+def test_memory_of_a_chunk():
+    # Sorting all runs of a chunk at once took 154 bytes a place.
+    pick = random.Random(5)
+    texts = [" ".join(str(pick.randrange(3000)) for _ in range(1000)).encode() for _ in range(200)]
+    batch = pa.record_batch([pa.array(["en"] * 200), pa.array(texts, pa.binary())], ["lang", "text"])
+    tracemalloc.start()
+    n = sum(sum(rows.column("n").to_pylist()) for rows in _edge_maker(64, 1 << 30)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 199000 and peak < 100 * n
