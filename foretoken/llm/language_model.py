@@ -12,8 +12,9 @@ n-gram is pruned.
 No table of all n-grams is held anywhere. Texts are cut into blocks of bounded size. A block sends
 its distinct n-grams with their training counts, as sorted runs of 64-bit hashes, to buckets of the
 hash space; a bucket adds up the counts of all blocks and returns to each the totals of what it
-sent. A block then holds every n-gram that its own texts can reach, builds that part of the
-automaton, and traverses all its texts from left to right.
+sent. A block then holds every n-gram that its own texts can reach. Part by part of its tokens it
+builds that piece of the automaton and traverses the texts, long ones in several lanes, from left to
+right side by side.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ BLOCK_BYTES = 12 << 20
 # Hashes of one order that a bucket of the hash space receives, about.
 BUCKET_KEYS = 1 << 18
 # Tokens that one lane of the traversal reads.
-LANE = 4096
+LANE = 512
+# Tokens of a block whose n-grams a task sorts, and whose automaton it holds, at a time.
+PART_TOKENS = 1 << 18
 SMOOTH = 0.1
 # The first two types of every block.
 END, START = 0, 1
@@ -104,39 +107,98 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Texts:
-    """The tokens of a block, each with the hash of the n-gram of every order that ends in it.
+class _Block:
+    """The texts of a block, cut into lanes. A text is its start, its words and its end.
 
-    ``grams[k - 1]`` has the positions at which an n-gram of order k ends, and its hash. A text is
-    its start, its words and its end.
+    A lane is up to ``LANE`` tokens of one text, read from ``begin`` and counted from ``own``: a
+    later lane of a text first reads the tokens before it that decide its state.
     """
 
     def __init__(self, row: dict, order: int) -> None:
+        self.order = order
         self.lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = np.frombuffer(row["tokens"], "<u4")
         self.types = np.frombuffer(row["types"], "<u8")
+        self.trained = np.array(row["trained"], bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.trained = np.repeat(np.array(row["trained"], bool), self.lengths)
-        depth = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
-        hashes = self.types[self.tokens]
+        lane = max(LANE, order)
+        counts = -(-(self.lengths - 1) // lane)
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = self.starts[self.text] + 1 + nth * lane
+        self.first = nth == 0
+        self.own = np.where(self.first, at - 1, at)
+        self.begin = np.where(self.first, at - 1, at - (order - 1))
+        self.end = np.minimum(at + lane, (self.starts + self.lengths)[self.text])
+
+    def parts(self) -> Iterator[_Part]:
+        """Neighbouring lanes of about ``PART_TOKENS`` tokens at a time."""
+        size, low = np.cumsum(self.end - self.own), 0
+        while low < len(size):
+            full = (size[low - 1] if low else 0) + PART_TOKENS
+            high = max(low + 1, int(np.searchsorted(size, full, side="right")))
+            yield _Part(self, low, high)
+            low = high
+
+
+class _Part:
+    """The tokens of some lanes, each with the hash of the n-gram of every order that ends in it.
+
+    ``grams[k - 1]`` has the positions at which an n-gram of order k ends, and its hash. Tokens from
+    ``own`` on are in no part before.
+    """
+
+    def __init__(self, block: _Block, low: int, high: int) -> None:
+        at = block.begin[low]
+        self.order, self.n_types = block.order, len(block.types)
+        self.lane_text, self.first = block.text[low:high], block.first[low:high]
+        self.begin, self.end = block.begin[low:high] - at, block.end[low:high] - at
+        self.own = int(block.own[low] - at)
+        self.tokens = block.tokens[at : block.end[high - 1]].astype(np.int64)
+        self.texts = slice(int(self.lane_text[0]), int(self.lane_text[-1]) + 1)
+        starts = np.maximum(block.starts[self.texts] - at, 0)
+        lengths = np.diff(starts, append=len(self.tokens))
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.trained = np.repeat(block.trained[self.texts], lengths)
+        depth = np.arange(len(self.tokens)) - np.repeat(starts, lengths)
+        hashes = block.types[self.tokens]
         self.grams = [(np.arange(len(hashes)), hashes)]
         last = hashes
-        for k in range(2, order + 1):
+        for k in range(2, self.order + 1):
             gram = np.empty_like(hashes)
             gram[1:] = _mix(last[:-1], hashes[1:])
             at = np.flatnonzero(depth >= k - 1)
             self.grams.append((at, gram[at]))
             last = gram
 
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the words and ends that are in no part before, for each text."""
+        values = np.where(self.tokens != START, values, 0)[self.own :]
+        return np.bincount(self.text[self.own :], weights=values, minlength=self.texts.stop - self.texts.start)
+
 
-def distinct_grams(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def distinct_grams(block: _Block) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every order the block's distinct hashes, ascending, with their training counts."""
-    texts = _Texts(row, order)
-    found = []
-    for at, gram in texts.grams:
-        keys, place = np.unique(gram, return_inverse=True)
-        found.append((keys, np.bincount(place[texts.trained[at]], minlength=len(keys))))
-    return found
+    runs = [[] for _ in range(block.order)]
+    for part in block.parts():
+        for (at, gram), run in zip(part.grams, runs):
+            own = np.searchsorted(at, part.own)
+            keys, place = np.unique(gram[own:], return_inverse=True)
+            counts = np.bincount(place[part.trained[at[own:]]], minlength=len(keys))
+            run.append((keys, counts.astype(np.uint32)))  # a part has few tokens
+    return [_added(runs.pop(0)) for _ in range(block.order)]
+
+
+def _added(run: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One run of distinct keys from several that rise."""
+    keys, counts = (np.concatenate(of) for of in zip(*run))
+    run.clear()
+    sort = np.argsort(keys, kind="stable")
+    keys, counts = keys[sort], counts[sort]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -162,7 +224,7 @@ def sender(order: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                for level, (keys, counts) in enumerate(distinct_grams(row, order)):
+                for level, (keys, counts) in enumerate(distinct_grams(_Block(row, order))):
                     cuts = _cuts(keys, bits)
                     full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
                     yield pa.RecordBatch.from_arrays(
@@ -220,24 +282,27 @@ def add_up(sent: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The part of the model that a block's texts can reach.
+    """The part of the model that some lanes of a block can reach.
 
     State 0 is the empty history; every other state is a seen n-gram below the highest order that
     can go on. Arcs are sorted by (state, token). The target of an arc, like that of a failure arc,
-    is the longest seen history.
+    is the longest seen history. ``totals`` has the block's distinct hashes of every order and
+    their totals.
     """
 
-    def __init__(self, row: dict, order: int, totals: list[np.ndarray], n: int, v: int, mu: float):
-        self.texts = texts = _Texts(row, order)
-        self.n_types = len(texts.types)
+    def __init__(
+        self, part: _Part, totals: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mu: float
+    ) -> None:
+        self.part, order = part, part.order
+        self.n_types = part.n_types
         arcs, weights, targets = [], [], []
         fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
         n_states = 1
-        for k, (at, gram) in enumerate(texts.grams, 1):
-            _, first, place = np.unique(gram, return_index=True, return_inverse=True)
-            seen = totals[k - 1]
-            token = texts.tokens[at[first]]
-            of = np.full(len(texts.tokens), -1, np.int64)
+        for k, ((at, gram), (keys, of_block)) in enumerate(zip(part.grams, totals), 1):
+            found, first, place = np.unique(gram, return_index=True, return_inverse=True)
+            seen = of_block[np.searchsorted(keys, found)]
+            token = part.tokens[at[first]]
+            of = np.full(len(part.tokens), -1, np.int64)
             of[at] = place
             if k == 1:
                 history = np.zeros(len(first), np.int64)
@@ -269,7 +334,6 @@ class Automaton:
             lower_chance, lower_seen = chance, seen
         flat = np.concatenate(arcs)
         sort = np.argsort(flat)
-        self.order = order
         self.arcs = flat[sort]
         self.weights = np.concatenate(weights)[sort]
         self.targets = np.concatenate(targets)[sort]
@@ -293,31 +357,22 @@ class Automaton:
         return after, gain
 
     def scores(self) -> np.ndarray:
-        """log10 probability of every text, all texts read from left to right side by side.
-
-        A long text is cut into lanes; a later lane first reads, without counting them, the tokens
-        that decide its state.
-        """
-        texts, warm = self.texts, self.order - 1
-        lane = max(LANE, warm + 1)
-        counts = -(-(texts.lengths - 1) // lane)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        begin = texts.starts[owner] + 1 + nth * lane
-        end = np.minimum(begin + lane, (texts.starts + texts.lengths)[owner])
-        later = nth > 0
-        skip = np.where(later, warm, 0)
-        begin = begin - skip
-        order = np.argsort(begin - end, kind="stable")
-        owner, begin, end, skip = owner[order], begin[order], end[order], skip[order]
-        state = np.where(skip > 0, 0, np.where(later[order], 0, self.start))
-        size = end - begin
-        total = np.zeros(len(owner))
+        """log10 probability of what the lanes have of every text, all read side by side."""
+        part = self.part
+        skip = np.where(part.first, 0, part.order - 1)
+        # The start of a text is not read: it is the state in which its first lane begins.
+        begin = part.begin + part.first
+        size = part.end - begin
+        order = np.argsort(-size, kind="stable")
+        text, begin, size, skip = part.lane_text[order], begin[order], size[order], skip[order]
+        state = np.where(part.first[order], self.start, 0)
+        total = np.zeros(len(text))
         active = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")
         for step, m in enumerate(active.tolist()):
-            state[:m], gain = self.step(state[:m], texts.tokens[begin[:m] + step])
+            state[:m], gain = self.step(state[:m], part.tokens[begin[:m] + step])
             total[:m] += np.where(step >= skip[:m], gain, 0.0)
-        return np.bincount(owner, weights=total, minlength=len(counts))
+        first, stop = part.texts.start, part.texts.stop
+        return np.bincount(text - first, weights=total, minlength=stop - first)
 
 
 SCORE_SCHEMA = (
@@ -329,34 +384,32 @@ SCORE_SCHEMA = (
 def scorer(order: int, bits: int, n: int, v: int, mu: float):
     def score(blocks: pa.Table, sums: pa.Table) -> pa.Table:
         row = blocks.to_pylist()[0]
+        block = _Block(row, order)
         levels, buckets = sums.column("level").to_numpy(), sums.column("bucket").to_numpy()
         totals = []
-        for level, (keys, _) in enumerate(distinct_grams(row, order)):
+        for level, (keys, _) in enumerate(distinct_grams(block)):
             cuts = _cuts(keys, bits)
             filled = np.zeros(len(keys), np.int64)
             for i in np.flatnonzero(levels == level).tolist():
                 a, b = cuts[buckets[i]], cuts[buckets[i] + 1]
                 filled[a:b] = _counts(sums.column("totals")[i].as_py(), int(b - a))
-            totals.append(filled)
-        machine = Automaton(row, order, totals, n, v, mu)
-        texts = machine.texts
-        words = np.ones(len(texts.tokens))
-        words[texts.starts] = 0  # the start is no token of the text
-        owner = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
-
-        def per_text(values):
-            return np.bincount(owner, weights=values * words, minlength=len(texts.lengths))
-
-        size = len(texts.lengths)
+            totals.append((keys, filled))
+        size = len(block.lengths)
+        known, base, scores = np.zeros(size), np.zeros(size), np.zeros(size)
+        for part in block.parts():
+            machine = Automaton(part, totals, n, v, mu)
+            known[part.texts] += part.per_text(machine.known > 0)
+            base[part.texts] += part.per_text(machine.base)
+            scores[part.texts] += machine.scores()
         return pa.table(
             [
                 pa.array(row["keys"], pa.int64()),
                 pa.array(row["held_out"], pa.bool_()),
-                pa.array(texts.lengths - 1, pa.int64()),
-                pa.array(per_text(machine.known > 0).astype(np.int64), pa.int64()),
+                pa.array(block.lengths - 1, pa.int64()),
+                pa.array(known.astype(np.int64), pa.int64()),
                 pa.array(np.full(size, n), pa.int64()),
-                pa.array(per_text(machine.base), pa.float64()),
-                pa.array(machine.scores(), pa.float64()),
+                pa.array(base, pa.float64()),
+                pa.array(scores, pa.float64()),
             ],
             names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
