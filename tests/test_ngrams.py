@@ -65,3 +65,14 @@ def test_ids_that_do_not_fit_are_an_error(samples_of, row):
             ngram_counts(samples_of([row]), n).collect()
     got = ngram_counts(samples_of([row * 2]), 5).collect()
     assert sum(r["count"] for r in got) == 4 and any(min(row) in tuple(r) for r in got)
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 9])
+def test_long_ngrams_with_ids_of_any_size(samples_of, n):
+    rows = [[70000, *range(12)], list(range(12)), [*range(12), -1, None, 2], [65536] * 12, [-1] * 12]
+    want = Counter(tuple(r[k : k + n]) for r in rows for k in range(len(r) - n + 1))
+    counts = ngram_counts(samples_of(rows), n)
+    assert counts.dtypes == [*[(f"id{k}", "int") for k in range(n)], ("count", "bigint")]
+    assert {tuple(r)[:-1]: r["count"] for r in counts.collect()} == want
+    again = recombine(counts.union(counts), n)
+    assert {tuple(r)[:-1]: r["count"] for r in again.collect()} == {k: 2 * c for k, c in want.items()}
