@@ -75,6 +75,27 @@ def test_metrics_like_the_full_comparison(samples_of, rows, seq_len, backoff):
             assert r.long_max_id == expected[8]
 
 
+def test_a_context_with_very_many_next_tokens(spark):
+    """The long context 1 has seen the commonest 16,400 tokens after 3, the long context 2 all of them."""
+    n, seen = 20_000, 16_400
+    grams = spark.range(n).select(
+        F.lit(3).alias("id1"), F.col("id").cast("int").alias("id2"), (2 * n - F.col("id")).alias("count")
+    )
+    long = grams.select(F.lit(2).alias("id0"), "*").unionByName(
+        grams.where(F.col("id2") < seen).select(F.lit(1).alias("id0"), "*")
+    )
+    short = grams.select(F.col("id1").alias("id0"), F.col("id2").alias("id1"), "count")
+    some, every = scan.scan_metrics(short, long, 1.0).orderBy("id0").collect()
+    counts = [2 * n - k for k in range(n)]
+    total, n_context = sum(counts), sum(counts[:seen])
+    assert (some.n_context, every.n_context) == (n_context, total)
+    # The commonest of the tokens not seen falls from its short probability to almost none.
+    assert some.p_delta_max == pytest.approx(counts[seen] / total * n_context / (n_context + 1))
+    assert some.logit_inhibit_max == pytest.approx(math.log(n_context + 1))
+    assert every.p_delta_max == pytest.approx(0, abs=1e-9)
+    assert (some.long_max_id, every.long_max_id, every.short_max_id) == (0, 0, 0)
+
+
 def test_probabilities_sum_to_one(samples_of, rows):
     samples = samples_of(rows)
     dist = scan.next_token_distribution(ngram_counts(samples, 2), ngram_counts(samples, 3), 1.0)
