@@ -12,18 +12,21 @@ from foretoken.operators.control import (
     read_manifest,
     require_complete,
 )
-from foretoken.operators.ngrams import ngram_counts, ngram_partials
+from foretoken.operators.ngrams import ngram_counts, ngram_partials, recombine
 from foretoken.operators.packing import pack_wrap
 from foretoken.sources.documents import read_conversations, read_documents, shard_range
 from foretoken.sources.samples import (
+    batch_fits_a_task,
     cap_batches,
     cap_per_shard,
+    gather_batches,
     read_samples,
     spread_samples,
     write_samples,
 )
 from foretoken.sources.tables import (
     read_chunks,
+    read_partials,
     union_chunks,
     write_chunked,
     write_partials,
@@ -120,6 +123,27 @@ def test_rows_are_spread_over_tasks_of_so_many_ids(spark, folder, samples_of, mo
     assert sorted(spread.collect()) == sorted(samples.collect())
 
 
+def test_counts_of_gathered_batches_do_not_move(spark, folder, samples_of):
+    both = samples_of([[k, k + 1, k + 2, 60 - k] for k in range(40)]).unionByName(
+        samples_of([[k, 7, k + 2] for k in range(30)], shard=1)
+    )
+    write_samples(both, folder + "/samples")
+    samples = read_samples(spark, folder + "/samples")
+    gathered = gather_batches(samples, 4, 4)
+    counted = ngram_partials(gathered, 2, 4, 8)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(counted.collect()) == sorted(ngram_partials(both, 2, 4, 8).collect())
+    write_partials(counted, folder + "/partials", gathered=True)
+    read = read_partials(spark, folder + "/partials")
+    assert len(files(folder + "/partials")) == 10
+    assert sorted(recombine(read, 2).collect()) == sorted(ngram_counts(both, 2).collect())
+
+
+def test_whether_a_batch_fits_a_task():
+    assert batch_fits_a_task(128, 256, 4)
+    assert not batch_fits_a_task(2048, 1 << 17, 1650)
+
+
 def test_ranks_of_a_sorted_table(spark, folder):
     table = spark.range(5000).selectExpr("cast(hash(id) % 100 as int) as a", "id").repartition(7)
     ranked = write_ranked(table.orderBy(F.desc("a"), "id"), folder)
