@@ -39,8 +39,11 @@ def write_partial(rows: DataFrame, batch_id: int, n: int, path: str, chunks: int
     nothing once it is part of a merged run."""
     if batch_id <= _last(_runs(rows.sparkSession, path)):
         return
+    # A micro-batch is a file or a few, each read by one task or two.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    spread = rows.repartition(cores, "shard", "sample")
     # A folder for each chunk would cost every run a shuffle, a sort and as many files.
-    write_table(with_chunk(ngram_counts(rows, n), chunks), f"{path}/{BATCH}{batch_id}")
+    write_table(with_chunk(ngram_counts(spread, n), chunks), f"{path}/{BATCH}{batch_id}")
 
 
 def _read(spark: SparkSession, path: str, folders: list[str], n: int) -> DataFrame:

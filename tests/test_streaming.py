@@ -239,3 +239,18 @@ def test_a_run_is_not_a_file_for_every_chunk(spark, folder, samples_of):
     for run in live_folders(spark, folder):
         assert len(spark.read.parquet(f"{folder}/{run}").inputFiles()) <= 4
     assert merge_partials(spark, folder, 2).groupBy().sum("count").first()[0] == 256
+
+
+def test_a_micro_batch_of_one_file_is_counted_by_all_cores(spark, folder, samples_of):
+    samples_of([[k, k + 1, k + 2] for k in range(64)]).coalesce(1).write.parquet(folder + "/samples")
+    group = "one micro-batch"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        write_partial(spark.read.parquet(folder + "/samples"), 0, 2, folder + "/partials", 8)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    status = spark.sparkContext.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds}
+    tasks = [status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s)]
+    assert max(tasks) >= spark.sparkContext.defaultParallelism
+    assert merge_partials(spark, folder + "/partials", 2).groupBy().sum("count").first()[0] == 128
