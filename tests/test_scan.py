@@ -300,6 +300,17 @@ def test_long_ngrams_are_moved_once(spark, samples_of, rows, folder, without_bro
         assert sum("first#" in columns for columns in moved) == 1
 
 
+def test_short_ngrams_are_moved_once(spark, samples_of, rows, folder, without_broadcasts):
+    """And as they are counted, without what the scan says of them."""
+    samples = samples_of(rows)
+    for n in (2, 3):
+        ngram_counts(samples, n).write.parquet(f"{folder}/{n}")
+    short, long = (spark.read.parquet(f"{folder}/{n}") for n in (2, 3))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", formatted(spark, scan.scan_metrics(short, long, 1.0)))
+    whole = [columns for columns in moved if "next#" in columns or "id1#" in columns]
+    assert len(whole) == 1 and "said#" not in whole[0]
+
+
 def test_one_place_of_a_context_and_task_is_moved(spark, samples_of, rows, tokens, folder, without_broadcasts):
     samples = samples_of(rows)
     hits = scan.scan_metrics(ngram_counts(samples, 2), ngram_counts(samples, 3), 1.0)
